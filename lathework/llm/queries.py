@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, private_data, quality, sharding
+from . import mixing, packing, private_data, quality, sharding, token_counts
 from .common import word_count
 
 #: Production parameters.
+TOKENIZER = "word_bpe_49k.json"
 SHARDS = 40
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 MIX_SHARE, MIX_MOST = 1.5, 2.0
@@ -33,12 +35,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *report, "base_failed", "kept", "failed_rule")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER), limit=2048, keep_text=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n"))
     out = mixing.pareto_mix(docs, F.col("n"), F.col("source"), [F.col("doc_id")], MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), window=4096, end_id=2)
+
+
 def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = private_data.detect_private_data(docs, keep_text=False)
@@ -46,5 +58,5 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op7_mixing, op10_private_data)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op6_token_counts, op7_mixing, op9_packing, op10_private_data)}
 ORACLES: dict[str, str] = {}
