@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, private_data, quality, sharding, token_counts
+from . import minhash, mixing, packing, private_data, quality, sharding, token_counts
 from .common import word_count
 
 #: Production parameters.
@@ -46,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), window=4096, end_id=2)
@@ -58,5 +62,5 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op6_token_counts, op7_mixing, op9_packing, op10_private_data)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
 ORACLES: dict[str, str] = {}
