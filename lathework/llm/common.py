@@ -81,13 +81,11 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words (runs without ASCII white space) of the texts in order, and where each text's words start (one more entry than texts)."""
     texts = pc.fill_null(texts, "")
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     ends = np.asarray(pc.list_value_length(parts), dtype=np.int64).cumsum()

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,12 +58,12 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
     A-Z count as a-z. A text with fewer words than `width` has its whole sequence as one shingle, a text
     without words has none.
     """
-    words, starts = words_of(texts, lower=True)
+    words, starts = words_of(texts)
     n = np.diff(starts)
     if not len(words):
         return np.empty(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
     encoded = words.dictionary_encode()
-    known = pd.util.hash_array(encoded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    known = pd.util.hash_array(pc.ascii_lower(encoded.dictionary).to_numpy(zero_copy_only=False), categorize=False)
     ids = known[np.asarray(encoded.indices)]
     span = np.minimum(n, width)
     count = np.where(n > 0, n - span + 1, 0)
