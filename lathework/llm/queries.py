@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, private_data, quality, sharding, token_counts
+from . import lattice, minhash, mixing, packing, private_data, quality, sharding, token_counts
 from .common import word_count
 
 #: Production parameters.
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *report, "base_failed", "kept", "failed_rule")
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER), limit=2048, keep_text=False)
@@ -62,5 +66,5 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
 ORACLES: dict[str, str] = {}
