@@ -35,13 +35,16 @@ COORDINATES, MATCHES = 48, 22
 WORDS, SIMILAR = 5, 75
 #: Lists of more documents are taken last.
 LONG_LIST = 256
-#: Documents to a side of a tile.
-TILE = 512
+#: Coordinates of the whole signature, which checks candidates, and how many of them must agree: at 0.75 fewer have odds
+#: of 3 in 100 000.
+CHECKED, CHECKED_MATCHES = 128, 76
+#: Lists of so many documents give their pairs directly; longer ones go to tiles with so many documents to a side.
+SHORT_LIST, TILE = 24, 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
-_XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_TIMES = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, CHECKED, dtype=np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, CHECKED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, by: int = 0) -> np.ndarray:
@@ -107,14 +110,14 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                 n = np.diff(starts)
                 full = n > 0
                 at = starts[:-1][full]
-                sig = np.empty((len(at), COORDINATES), dtype=np.uint32)
+                sig = np.empty((len(at), CHECKED), dtype=np.uint32)
                 low, high = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
                 if len(at):
-                    for k in range(COORDINATES):
+                    for k in range(CHECKED):
                         sig[:, k] = np.minimum.reduceat(((h ^ _XOR[k]) * _TIMES[k]) >> np.uint64(32), at)
                     low[full] = np.add.reduceat(_mixed(h, 1), at).view(np.int64)
                     high[full] = np.bitwise_xor.reduceat(_mixed(h, 2), at).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(full * COORDINATES)]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(full * CHECKED)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1).view(np.int32)), mask=pa.array(~full))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), lists.cast(to.field("signature").type)], schema=to)
 
@@ -123,7 +126,7 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def prefixes(reps: DataFrame) -> DataFrame:
     """(coordinate, value, rep) for the coordinates in each document's prefix."""
-    every = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
+    every = reps.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES)).alias("coordinate", "value"))
     long = stash(every.groupBy("coordinate", "value").count().where(F.col("count") > LONG_LIST))
     met = every.join(long, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "coordinate"))).alias("long"))  # COORDINATES entries at most
     taken = COORDINATES - MATCHES + 1
@@ -159,8 +162,9 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Adds `matches`, the number of agreeing coordinates, to pairs (a, b) and keeps those with enough of them."""
     sides = [reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return both.select(*pairs.columns, matches.alias("matches")).where(F.col("matches") >= MATCHES)
+    same = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
+    counted = both.select(*pairs.columns, same.alias("same")).where(F.size(F.filter(F.slice("same", 1, COORDINATES), lambda x: x)) >= MATCHES)
+    return counted.select(*pairs.columns, F.size(F.filter("same", lambda x: x)).alias("matches")).where(F.col("matches") >= CHECKED_MATCHES)
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,14 +173,15 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     one = not (side == 1).any()  # a tile of a block with itself
     rows = pdf if one else pdf[side == 0]
     cols = pdf if one else pdf[side == 1]
-    s, t = np.array(rows["signature"].tolist(), dtype=np.int32).reshape(-1, COORDINATES), np.array(cols["signature"].tolist(), dtype=np.int32).reshape(-1, COORDINATES)
+    s, t = (np.array(x["signature"].tolist(), dtype=np.int32).reshape(-1, CHECKED) for x in (rows, cols))
     ra, rb = rows["rep"].to_numpy(), cols["rep"].to_numpy()
     ca, cb = rows["component"].to_numpy(), cols["component"].to_numpy()
     found = []
     for k in range(len(rows)):
         other = np.flatnonzero((cb != ca[k]) & ((rb > ra[k]) if one else True))
         if len(other):
-            other = other[(t[other] == s[k]).sum(axis=1) >= MATCHES]
+            other = other[(t[other, :COORDINATES] == s[k, :COORDINATES]).sum(axis=1) >= MATCHES]
+            other = other[(t[other] == s[k]).sum(axis=1) >= CHECKED_MATCHES]
             found.append(np.stack([np.minimum(ra[k], rb[other]), np.maximum(ra[k], rb[other])], axis=1))
     out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
     return pd.DataFrame(out, columns=["a", "b"])
@@ -187,14 +192,20 @@ def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFr
     placed = postings.join(parts, "rep")
     key = ["coordinate", "value"]
     mixed = stash(placed.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select(*key, "n"))
-    members = placed.join(mixed, key)
+    members = stash(placed.join(mixed, key))
+    # Short lists give their pairs, SHORT_LIST / 2 to a member at most.
+    short = members.where(F.col("n") <= SHORT_LIST)
+    other = short.select(*key, F.col("rep").alias("b"), F.col("component").alias("of_b"))
+    few = short.join(other, key).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b"))).select(F.col("rep").alias("a"), "b").distinct()
+    members = members.where(F.col("n") > SHORT_LIST)
     # Blocks of about TILE members by hash; a tile is two blocks of a list, or one with itself.
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
     rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "tile.i", "tile.j", "tile.side")
     signed = rows.join(reps.select("rep", "signature"), "rep")
-    return signed.groupBy(*key, "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    many = signed.groupBy(*key, "i", "j").applyInPandas(_across, "a long, b long")
+    return agreeing(few, reps).select("a", "b").union(many).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,13 +225,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "signature").dropDuplicates(["rep"]))
     postings = stash(prefixes(reps))
 
-    # One member of each list, another for each coordinate, is tried with all others; a document keeps its two best.
-    mask = F.xxhash64("coordinate")
-    lists = postings.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(mask)).alias("least")).where(F.col("n") > 1)
-    centres = stash(lists.select("coordinate", "value", F.col("least").bitwiseXOR(mask).alias("centre")))
+    # A list's centre is the member that shares its values with most documents, which in a group of edited
+    # copies is the one they stem from. It is tried with all others; a document keeps its three best.
+    lists = stash(postings.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    met = stash(postings.join(lists, ["coordinate", "value"]))
+    shared = met.groupBy("rep").agg(F.sum("n").alias("shared"))
+    rank = F.col("shared") * F.lit(1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
+    centres = stash(met.join(stash(shared.select("rep", rank.alias("rank"))), "rep").groupBy("coordinate", "value").agg(F.max_by("rep", "rank").alias("centre")))
     tried = postings.join(centres, ["coordinate", "value"]).where(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     best = Window.partitionBy("a").orderBy(F.desc("matches"), "b")  # one row for each coordinate at most
-    first = agreeing(tried, reps).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2)
+    first = agreeing(tried, reps).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 3)
     texts = docs.select(F.col("doc").alias("rep"), "text")
     pairs = stash(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stash(similar(pairs, texts))
