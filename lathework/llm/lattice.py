@@ -5,8 +5,8 @@ lattice E8, whose cells are rounder than any other's in eight dimensions: near v
 far ones hardly ever do. A vector also probes the neighbouring cells that it lies closest to.
 
 Links are needed only to find components, so a cell never lists all its pairs: its members are compared
-with one of them first, and only cells that hold several components after that are compared in tiles, each of
-which gives a spanning forest. Links never leave a component, so each component's vectors are then compared
+with one of them first, and only cells that hold several components after that are compared in full, large
+ones in tiles that each give a spanning forest. Links never leave a component, so each component's vectors are then compared
 once in tiles to count them.
 """
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import stash
 from .components import connected_components
 
-#: At a cosine of 0.95 a table finds a pair with odds of about 0.7, so that ten miss 1 in 100 000.
-TABLES, PROBES = 10, 6
-#: Width of a lattice unit in projected distance.
-WIDTH = 1.5
-#: Vectors to a side of a tile.
-TILE = 1024
+#: At a cosine of 0.95 a table finds a pair with odds of 0.43, so that eight miss 1 in 100; chains make up for most of those.
+TABLES, PROBES = 8, 3
+#: Width of a lattice unit in projected distance. Wider cells find more, and hold more vectors that are far apart.
+WIDTH = 1.0
+#: Cells with so many entries give their pairs directly; others go to tiles with so many vectors to a side.
+SHORT_CELL, TILE = 24, 1024
 
 #: The 240 shortest vectors of E8: two entries of +-1, or all of +-1/2 with an even number of minus signs.
 NEIGHBOURS = np.array(
@@ -195,14 +195,20 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     own = F.when(F.col("home"), F.col("rep").bitwiseXOR(mask))
     met = stash(posted.groupBy("slot", "cell").agg(F.count("*").alias("n"), F.min(own).bitwiseXOR(mask).alias("centre")).where(F.col("centre").isNotNull() & (F.col("n") > 1)))
     tried = posted.join(met, ["slot", "cell"]).where(F.col("rep") != F.col("centre")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    tried = stash(tried)
     links = stash(linked(tried, vectors, least))
 
     parts = stash(_labelled(vectors, links))
     members = posted.join(met.select("slot", "cell"), ["slot", "cell"]).join(parts, "rep")
     mixed = stash(members.groupBy("slot", "cell").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("slot", "cell", "n"))
-    tiles = tiled(members.join(mixed, ["slot", "cell"]), ["slot", "cell"], F.col("n")).drop("n").join(vectors.select("rep", "vector"), "rep")
-    more = tiles.groupBy("slot", "cell", "i", "j").applyInPandas(lambda pdf: _forest(pdf, least), "a long, b long")
-    links = stash(links.union(more).distinct())
+    members = stash(members.join(mixed, ["slot", "cell"]))
+    short = members.where(F.col("n") <= SHORT_CELL)
+    other = short.select("slot", "cell", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("home").alias("home_b"))
+    few = short.join(other, ["slot", "cell"]).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b")) & (F.col("home") | F.col("home_b")))
+    few = linked(few.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), vectors, least)
+    tiles = tiled(members.where(F.col("n") > SHORT_CELL), ["slot", "cell"], F.col("n")).drop("n").join(vectors.select("rep", "vector"), "rep")
+    many = tiles.groupBy("slot", "cell", "i", "j").applyInPandas(lambda pdf: _forest(pdf, least), "a long, b long")
+    links = stash(links.union(few).union(many).distinct())
     parts = stash(_labelled(vectors, links))
 
     sizes = stash(parts.groupBy("component").count().where(F.col("count") > 1))

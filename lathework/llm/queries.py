@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, mixing, packing, private_data, quality, sharding, token_counts
+from . import conversations, html_text, lattice, minhash, mixing, packing, private_data, quality, sharding, token_counts
 from .common import word_count
 
 #: Production parameters.
@@ -28,6 +28,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversations.format_conversations(table(spark, sf_dir, "conversations"))
+    return out.withColumn("n_chars", F.length("rendered").cast("long"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -66,5 +75,26 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_conversations, op3_html_text, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
+ORACLES = {
+    "op2_conversations": """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM turns
+), prefixes AS (
+  SELECT conv_id, place, n_turns, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM placed
+), whole AS (
+  SELECT min(conv_id) AS conv_id, prefix FROM prefixes WHERE place = n_turns GROUP BY prefix
+), kept AS (
+  SELECT conv_id FROM whole WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.place < p.n_turns AND p.prefix = whole.prefix)
+), pieces AS (
+  SELECT conv_id, ((place - 1) // 256)::INT AS piece, any_value(ceil(n_turns / 256.0)::INT) AS n_pieces, any_value(n_turns) AS n_turns,
+    string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+  FROM placed SEMI JOIN kept USING (conv_id) GROUP BY ALL
+)
+SELECT conv_id, piece, n_pieces, n_turns, rendered, length(rendered) AS n_chars FROM pieces
+""",
+}
