@@ -8,7 +8,9 @@ their coordinates agree, which is a count-threshold join over the lists (coordin
 * Skip: values in very long lists come last, so most of these lists are in no prefix and are never merged;
   whether they agree is read off the signatures of the candidates that the short lists gave.
 * Documents with equal shingle sets are one. A list first links its members with one of them; only lists
-  that hold several components after that are compared member by member, in tiles of bounded size.
+  that hold several components after that are compared member by member, in tiles of bounded size. The
+  likeliest pairs go first, one for each two components at most, so that only pairs that may still join
+  components are left for the last round, which tests them all.
 
 Every link is confirmed on the full shingle sets.
 """
@@ -40,6 +42,8 @@ LONG_LIST = 256
 CHECKED, CHECKED_MATCHES = 128, 76
 #: Lists of so many documents give their pairs directly; longer ones go to tiles with so many documents to a side.
 SHORT_LIST, TILE = 24, 512
+#: Agreeing coordinates that make a pair likely; such pairs are tried before the rest.
+LIKELY = 97
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
@@ -94,12 +98,16 @@ SIGNED = T.StructType(
         T.StructField("low", T.LongType()),
         T.StructField("high", T.LongType()),
         T.StructField("signature", T.ArrayType(T.IntegerType())),
+        T.StructField("sketch", T.ArrayType(T.ByteType())),
     ]
 )
 
 
 def sign(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, number of shingles, 128 bits that stand for the whole shingle set, and the signature (null without shingles)."""
+    """key, number of shingles, 128 bits that stand for the whole shingle set, the first COORDINATES minima, and a byte of each of CHECKED minima (null without shingles).
+
+    Bytes agree wherever minima do, and once in 256 times elsewhere, so that checking them loses nothing.
+    """
     schema = T.StructType([df.schema[key]] + SIGNED.fields)
     to = arrow_schema(schema)
 
@@ -117,16 +125,18 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                         sig[:, k] = np.minimum.reduceat(((h ^ _XOR[k]) * _TIMES[k]) >> np.uint64(32), at)
                     low[full] = np.add.reduceat(_mixed(h, 1), at).view(np.int64)
                     high[full] = np.bitwise_xor.reduceat(_mixed(h, 2), at).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(full * CHECKED)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1).view(np.int32)), mask=pa.array(~full))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), lists.cast(to.field("signature").type)], schema=to)
+                lists = []
+                for values, name in ((np.ascontiguousarray(sig[:, :COORDINATES]).view(np.int32), "signature"), (sig.astype(np.uint8).view(np.int8), "sketch")):
+                    ends = np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)), mask=pa.array(~full)).cast(to.field(name).type))
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), *lists], schema=to)
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
     """(coordinate, value, rep) for the coordinates in each document's prefix."""
-    every = reps.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES)).alias("coordinate", "value"))
+    every = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
     long = stash(every.groupBy("coordinate", "value").count().where(F.col("count") > LONG_LIST))
     met = every.join(long, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "coordinate"))).alias("long"))  # COORDINATES entries at most
     taken = COORDINATES - MATCHES + 1
@@ -158,22 +168,25 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Adds `matches`, the number of agreeing coordinates, to pairs (a, b) and keeps those with enough of them."""
-    sides = [reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab"]
+def agreeing(pairs: DataFrame, reps: DataFrame, least: int = CHECKED_MATCHES) -> DataFrame:
+    """Adds `matches`, the number of agreeing coordinates, to pairs (a, b, ...) and keeps those with enough of them."""
+    sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sig_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     same = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
     counted = both.select(*pairs.columns, same.alias("same")).where(F.size(F.filter(F.slice("same", 1, COORDINATES), lambda x: x)) >= MATCHES)
-    return counted.select(*pairs.columns, F.size(F.filter("same", lambda x: x)).alias("matches")).where(F.col("matches") >= CHECKED_MATCHES)
+    return counted.select(*pairs.columns, F.size(F.filter("same", lambda x: x)).alias("matches")).where(F.col("matches") >= least)
+
 
+def _across(pdf: pd.DataFrame, least: int, forest: bool) -> pd.DataFrame:
+    """Pairs of one tile that agree in `least` coordinates and lie in different components.
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile that agree in enough coordinates and lie in different components."""
+    With `forest` only those that join components which the pairs with more agreement have not joined.
+    """
     side = pdf["side"].to_numpy()
     one = not (side == 1).any()  # a tile of a block with itself
     rows = pdf if one else pdf[side == 0]
     cols = pdf if one else pdf[side == 1]
-    s, t = (np.array(x["signature"].tolist(), dtype=np.int32).reshape(-1, CHECKED) for x in (rows, cols))
+    s, t = (np.array(x["sketch"].tolist(), dtype=np.int8).reshape(-1, CHECKED) for x in (rows, cols))
     ra, rb = rows["rep"].to_numpy(), cols["rep"].to_numpy()
     ca, cb = rows["component"].to_numpy(), cols["component"].to_numpy()
     found = []
@@ -181,14 +194,32 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
         other = np.flatnonzero((cb != ca[k]) & ((rb > ra[k]) if one else True))
         if len(other):
             other = other[(t[other, :COORDINATES] == s[k, :COORDINATES]).sum(axis=1) >= MATCHES]
-            other = other[(t[other] == s[k]).sum(axis=1) >= CHECKED_MATCHES]
-            found.append(np.stack([np.minimum(ra[k], rb[other]), np.maximum(ra[k], rb[other])], axis=1))
-    out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components within the lists that hold several."""
+            matches = (t[other] == s[k]).sum(axis=1)
+            other, matches = other[matches >= least], matches[matches >= least]
+            found.append(np.stack([matches, np.full(len(other), ra[k]), rb[other], np.full(len(other), ca[k]), cb[other]], axis=1))
+    all_pairs = np.concatenate(found) if found else np.empty((0, 5), dtype=np.int64)
+    if forest:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kept = []
+        for pair in all_pairs[np.argsort(-all_pairs[:, 0], kind="stable")].tolist():
+            x, y = top(pair[3]), top(pair[4])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append(pair)
+        all_pairs = np.array(kept, dtype=np.int64).reshape(-1, 5)
+    m, a, b, x, y = all_pairs.T
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": m, "x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+
+def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame, least: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components within the lists that hold several; with `forest` one for two components."""
     placed = postings.join(parts, "rep")
     key = ["coordinate", "value"]
     mixed = stash(placed.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select(*key, "n"))
@@ -196,16 +227,20 @@ def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFr
     # Short lists give their pairs, SHORT_LIST / 2 to a member at most.
     short = members.where(F.col("n") <= SHORT_LIST)
     other = short.select(*key, F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    few = short.join(other, key).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b"))).select(F.col("rep").alias("a"), "b").distinct()
+    few = short.join(other, key).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b")))
+    few = few.select(F.col("rep").alias("a"), "b", F.least("component", "of_b").alias("x"), F.greatest("component", "of_b").alias("y")).distinct()
     members = members.where(F.col("n") > SHORT_LIST)
     # Blocks of about TILE members by hash; a tile is two blocks of a list, or one with itself.
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
     rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "tile.i", "tile.j", "tile.side")
-    signed = rows.join(reps.select("rep", "signature"), "rep")
-    many = signed.groupBy(*key, "i", "j").applyInPandas(_across, "a long, b long")
-    return agreeing(few, reps).select("a", "b").union(many).distinct()
+    signed = rows.join(reps.select("rep", "sketch"), "rep")
+    many = signed.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _across(pdf, least, forest), "a long, b long, matches long, x long, y long")
+    found = agreeing(few, reps, least).select("a", "b", F.col("matches").cast("long"), "x", "y").union(many)
+    if forest:
+        return found.groupBy("x", "y").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,8 +256,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     signed = stash(sign(docs, "doc", "text"))
     same = ["n_shingles", "low", "high"]
     classes = stash(signed.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*same).agg(F.min("doc").alias("rep")))
-    placed = stash(signed.join(classes, same, "left").select("doc", "n_shingles", "signature", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
-    reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "signature").dropDuplicates(["rep"]))
+    placed = stash(signed.join(classes, same, "left").select("doc", "n_shingles", *[F.when(F.col("doc") == F.col("rep"), F.col(c)).alias(c) for c in ("signature", "sketch")], F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
+    reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "signature", "sketch").dropDuplicates(["rep"]))
     postings = stash(prefixes(reps))
 
     # A list's centre is the member that shares its values with most documents, which in a group of edited
@@ -239,12 +274,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     pairs = stash(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stash(similar(pairs, texts))
 
-    # Whatever candidates are still apart.
+    # Whatever candidates are still apart: first likely ones, then all.
     parts = stash(_labelled(reps, links))
-    more = stash(unresolved(postings, parts, reps).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = stash(links.union(similar(more, texts)))
-        parts = stash(_labelled(reps, links))
+    for least, forest in ((LIKELY, True), (CHECKED_MATCHES, False)):
+        more = stash(unresolved(postings, parts, reps, least, forest).join(pairs, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            pairs = stash(pairs.union(more))
+            links = stash(links.union(similar(more, texts)))
+            parts = stash(_labelled(reps, links))
     out = placed.join(parts, "rep", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
