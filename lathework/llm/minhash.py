@@ -170,8 +170,8 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, reps: DataFrame, least: int = CHECKED_MATCHES) -> DataFrame:
     """Adds `matches`, the number of agreeing coordinates, to pairs (a, b, ...) and keeps those with enough of them."""
-    sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sig_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))  # else they share too little
     same = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
     counted = both.select(*pairs.columns, same.alias("same")).where(F.size(F.filter(F.slice("same", 1, COORDINATES), lambda x: x)) >= MATCHES)
     return counted.select(*pairs.columns, F.size(F.filter("same", lambda x: x)).alias("matches")).where(F.col("matches") >= least)
@@ -189,9 +189,11 @@ def _across(pdf: pd.DataFrame, least: int, forest: bool) -> pd.DataFrame:
     s, t = (np.array(x["sketch"].tolist(), dtype=np.int8).reshape(-1, CHECKED) for x in (rows, cols))
     ra, rb = rows["rep"].to_numpy(), cols["rep"].to_numpy()
     ca, cb = rows["component"].to_numpy(), cols["component"].to_numpy()
+    na, nb = rows["n_shingles"].to_numpy(), cols["n_shingles"].to_numpy()
     found = []
     for k in range(len(rows)):
-        other = np.flatnonzero((cb != ca[k]) & ((rb > ra[k]) if one else True))
+        sized = 100 * np.minimum(na[k], nb) >= SIMILAR * np.maximum(na[k], nb)
+        other = np.flatnonzero((cb != ca[k]) & sized & ((rb > ra[k]) if one else True))
         if len(other):
             other = other[(t[other, :COORDINATES] == s[k, :COORDINATES]).sum(axis=1) >= MATCHES]
             matches = (t[other] == s[k]).sum(axis=1)
@@ -235,7 +237,7 @@ def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame, least: in
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
     rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "tile.i", "tile.j", "tile.side")
-    signed = rows.join(reps.select("rep", "sketch"), "rep")
+    signed = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     many = signed.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _across(pdf, least, forest), "a long, b long, matches long, x long, y long")
     found = agreeing(few, reps, least).select("a", "b", F.col("matches").cast("long"), "x", "y").union(many)
     if forest:
@@ -257,7 +259,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     same = ["n_shingles", "low", "high"]
     classes = stash(signed.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*same).agg(F.min("doc").alias("rep")))
     placed = stash(signed.join(classes, same, "left").select("doc", "n_shingles", *[F.when(F.col("doc") == F.col("rep"), F.col(c)).alias(c) for c in ("signature", "sketch")], F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
-    reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "signature", "sketch").dropDuplicates(["rep"]))
+    reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "n_shingles", "signature", "sketch").dropDuplicates(["rep"]))
     postings = stash(prefixes(reps))
 
     # A list's centre is the member that shares its values with most documents, which in a group of edited
