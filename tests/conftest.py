@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
