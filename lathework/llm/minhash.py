@@ -4,11 +4,13 @@ A signature has COORDINATES minima of hashed word shingles. Two documents are ca
 their coordinates agree, which is a count-threshold join over the lists (coordinate, value) -> documents.
 
 * Prefix: documents that agree in MATCHES of their coordinates share one among any
-  COORDINATES - MATCHES + 1 of each, if both take them by one order. Rare values come first in it.
+  COORDINATES - MATCHES + 1 of each, if both take them by one order. Rarest values come first in it, so a
+  document's values of its own fill its prefix and it is posted only where another one can be met.
 * Skip: values in very long lists come last, so most of these lists are in no prefix and are never merged;
   whether they agree is read off the signatures of the candidates that the short lists gave.
 * Documents with equal shingle sets are one. A list first links its members with one of them; only lists
-  that hold several components after that are compared member by member, in tiles of bounded size. The
+  that hold several components after that are compared across these, in tiles of bounded size; a pair comes
+  from the first list that both its documents are posted in. The
   likeliest pairs go first, one for each two components at most, so that only pairs that may still join
   components are left for the last round, which tests them all.
 
@@ -35,20 +37,18 @@ from .components import connected_components
 COORDINATES, MATCHES = 48, 22
 #: Words to a shingle, and the similarity (in hundredths) that makes a link.
 WORDS, SIMILAR = 5, 75
-#: Lists of more documents are taken last.
-LONG_LIST = 256
 #: Coordinates of the whole signature, which checks candidates, and how many of them must agree: at 0.75 fewer have odds
 #: of 3 in 100 000.
-CHECKED, CHECKED_MATCHES = 128, 76
+CHECKED, CHECKED_MATCHES = 256, 164
 #: Lists of so many documents give their pairs directly; longer ones go to tiles with so many documents to a side.
-SHORT_LIST, TILE = 24, 512
+SHORT_LIST, TILE = 24, 1024
 #: Agreeing coordinates that make a pair likely; such pairs are tried before the rest.
-LIKELY = 97
+LIKELY = 194
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
-_XOR = _RNG.integers(0, 1 << 63, CHECKED, dtype=np.uint64)
-_TIMES = _RNG.integers(0, 1 << 63, CHECKED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 32, CHECKED, dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 31, CHECKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mixed(h: np.ndarray, by: int = 0) -> np.ndarray:
@@ -98,13 +98,13 @@ SIGNED = T.StructType(
         T.StructField("low", T.LongType()),
         T.StructField("high", T.LongType()),
         T.StructField("signature", T.ArrayType(T.IntegerType())),
-        T.StructField("sketch", T.ArrayType(T.ByteType())),
+        T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
 def sign(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, number of shingles, 128 bits that stand for the whole shingle set, the first COORDINATES minima, and a byte of each of CHECKED minima (null without shingles).
+    """key, number of shingles, 128 bits that stand for the whole shingle set, the first COORDINATES of CHECKED minima, and a sketch of all: those in whole, one byte of each other (null without shingles).
 
     Bytes agree wherever minima do, and once in 256 times elsewhere, so that checking them loses nothing.
     """
@@ -121,29 +121,40 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                 sig = np.empty((len(at), CHECKED), dtype=np.uint32)
                 low, high = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
                 if len(at):
+                    short = (h >> np.uint64(32)).astype(np.uint32)
                     for k in range(CHECKED):
-                        sig[:, k] = np.minimum.reduceat(((h ^ _XOR[k]) * _TIMES[k]) >> np.uint64(32), at)
+                        sig[:, k] = np.minimum.reduceat((short ^ _XOR[k]) * _TIMES[k], at)
                     low[full] = np.add.reduceat(_mixed(h, 1), at).view(np.int64)
                     high[full] = np.bitwise_xor.reduceat(_mixed(h, 2), at).view(np.int64)
-                lists = []
-                for values, name in ((np.ascontiguousarray(sig[:, :COORDINATES]).view(np.int32), "signature"), (sig.astype(np.uint8).view(np.int8), "sketch")):
-                    ends = np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)), mask=pa.array(~full)).cast(to.field(name).type))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), *lists], schema=to)
+                whole = np.ascontiguousarray(sig[:, :COORDINATES])
+                ends = np.concatenate([[0], np.cumsum(full * COORDINATES)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.view(np.int32).reshape(-1)), mask=pa.array(~full)).cast(to.field("signature").type)
+                packed = iter(np.hstack([whole.view(np.uint8), sig[:, COORDINATES:].astype(np.uint8)]))
+                sketches = pa.array([next(packed).tobytes() if f else None for f in full], to.field("sketch").type)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), listed, sketches], schema=to)
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
-    """(coordinate, value, rep) for the coordinates in each document's prefix."""
+    """(rep, coordinate, value, count, posted) for the coordinates in each document's prefix whose value others have too.
+
+    count: documents with that value; posted: a bit for each coordinate that the document has rows for.
+    """
     every = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
-    long = stash(every.groupBy("coordinate", "value").count().where(F.col("count") > LONG_LIST))
-    met = every.join(long, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "coordinate"))).alias("long"))  # COORDINATES entries at most
-    taken = COORDINATES - MATCHES + 1
-    last = F.coalesce(F.transform("long", lambda x: x["coordinate"]), F.array().cast("array<int>"))
-    order = F.concat(F.array_except(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), last), last)
-    chosen = reps.join(met, "rep", "left").withColumn("coordinate", F.explode(F.slice(order, 1, taken)))
-    return chosen.select("coordinate", F.element_at("signature", F.col("coordinate") + 1).alias("value"), "rep")
+    shared = stash(every.groupBy("coordinate", "value").agg(F.count("*").alias("count")).where(F.col("count") > 1))
+    met = every.join(shared, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "coordinate", "value"))).alias("met"))  # COORDINATES entries at most
+    # The values of its own come first, and fill COORDINATES - size(met) places.
+    left = F.greatest(F.size("met") - (MATCHES - 1), F.lit(0))
+    chosen = met.select("rep", F.slice("met", F.lit(1), left).alias("met"))
+    posted = F.aggregate("met", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["coordinate"])))
+    return chosen.select("rep", posted.alias("posted"), F.explode("met").alias("met")).select("rep", "met.coordinate", "met.value", "met.count", "posted")
+
+
+def _unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The whole minima and the bytes of the other ones, a row for each sketch."""
+    rows = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), 3 * COORDINATES + CHECKED)
+    return np.ascontiguousarray(rows[:, : 4 * COORDINATES]).view(np.uint32), rows[:, 4 * COORDINATES :]
 
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -170,11 +181,20 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, reps: DataFrame, least: int = CHECKED_MATCHES) -> DataFrame:
     """Adds `matches`, the number of agreeing coordinates, to pairs (a, b, ...) and keeps those with enough of them."""
-    sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab"]
+    sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))  # else they share too little
-    same = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
-    counted = both.select(*pairs.columns, same.alias("same")).where(F.size(F.filter(F.slice("same", 1, COORDINATES), lambda x: x)) >= MATCHES)
-    return counted.select(*pairs.columns, F.size(F.filter("same", lambda x: x)).alias("matches")).where(F.col("matches") >= least)
+    schema = T.StructType([*pairs.schema.fields, T.StructField("matches", T.LongType())])
+    to, names = arrow_schema(schema), pairs.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, xs), (y, ys) = (_unpacked(batch.column(f"sketch_{c}").to_pylist()) for c in "ab")
+            listed = (x == y).sum(axis=1)
+            matches = listed + (xs == ys).sum(axis=1)
+            rows = pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(matches.astype(np.int64))], schema=to)
+            yield rows.filter(pa.array((listed >= MATCHES) & (matches >= least)))
+
+    return both.select(*names, "sketch_a", "sketch_b").mapInArrow(count, schema)
 
 
 def _across(pdf: pd.DataFrame, least: int, forest: bool) -> pd.DataFrame:
@@ -182,21 +202,24 @@ def _across(pdf: pd.DataFrame, least: int, forest: bool) -> pd.DataFrame:
 
     With `forest` only those that join components which the pairs with more agreement have not joined.
     """
-    side = pdf["side"].to_numpy()
-    one = not (side == 1).any()  # a tile of a block with itself
-    rows = pdf if one else pdf[side == 0]
-    cols = pdf if one else pdf[side == 1]
-    s, t = (np.array(x["sketch"].tolist(), dtype=np.int8).reshape(-1, CHECKED) for x in (rows, cols))
+    at, one = int(pdf["coordinate"].iloc[0]), pdf["i"].iloc[0] == pdf["j"].iloc[0]  # one: a tile of a block with itself
+    rows = pdf if one else pdf[pdf["side"] == 0]
+    cols = pdf if one else pdf[pdf["side"] == 1]
+    (s, s_bytes), (t, t_bytes) = (_unpacked(x["sketch"].tolist()) for x in (rows, cols))
     ra, rb = rows["rep"].to_numpy(), cols["rep"].to_numpy()
     ca, cb = rows["component"].to_numpy(), cols["component"].to_numpy()
     na, nb = rows["n_shingles"].to_numpy(), cols["n_shingles"].to_numpy()
+    posted_a, posted_b = ((x["posted"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 > 0 for x in (rows, cols))
     found = []
     for k in range(len(rows)):
         sized = 100 * np.minimum(na[k], nb) >= SIMILAR * np.maximum(na[k], nb)
         other = np.flatnonzero((cb != ca[k]) & sized & ((rb > ra[k]) if one else True))
         if len(other):
-            other = other[(t[other, :COORDINATES] == s[k, :COORDINATES]).sum(axis=1) >= MATCHES]
-            matches = (t[other] == s[k]).sum(axis=1)
+            agree = t[other] == s[k]
+            listed = agree.sum(axis=1)
+            mine = (listed >= MATCHES) & ((agree & posted_a[k] & posted_b[other]).argmax(axis=1) == at)  # the first list that has both
+            other, listed = other[mine], listed[mine]
+            matches = listed + (t_bytes[other] == s_bytes[k]).sum(axis=1)
             other, matches = other[matches >= least], matches[matches >= least]
             found.append(np.stack([matches, np.full(len(other), ra[k]), rb[other], np.full(len(other), ca[k]), cb[other]], axis=1))
     all_pairs = np.concatenate(found) if found else np.empty((0, 5), dtype=np.int64)
@@ -224,7 +247,10 @@ def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame, least: in
     """Candidate pairs (a, b) of different components within the lists that hold several; with `forest` one for two components."""
     placed = postings.join(parts, "rep")
     key = ["coordinate", "value"]
-    mixed = stash(placed.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select(*key, "n"))
+    sizes = placed.groupBy(*key, "component").agg(F.count("*").alias("size"))
+    largest = F.max(F.struct("size", "component"))
+    mixed = sizes.groupBy(*key).agg(F.sum("size").alias("n"), largest.alias("top")).where(F.col("n") > F.col("top.size"))
+    mixed = stash(mixed.select(*key, "n", F.col("top.component").alias("main"), F.col("top.size").alias("n_main")))
     members = stash(placed.join(mixed, key))
     # Short lists give their pairs, SHORT_LIST / 2 to a member at most.
     short = members.where(F.col("n") <= SHORT_LIST)
@@ -232,14 +258,20 @@ def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame, least: in
     few = short.join(other, key).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b")))
     few = few.select(F.col("rep").alias("a"), "b", F.least("component", "of_b").alias("x"), F.greatest("component", "of_b").alias("y")).distinct()
     members = members.where(F.col("n") > SHORT_LIST)
-    # Blocks of about TILE members by hash; a tile is two blocks of a list, or one with itself.
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
-    rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "tile.i", "tile.j", "tile.side")
+    # Blocks of about TILE members by hash: first those outside a list's largest component, then those of it. A
+    # tile is two blocks, or one with itself, but never two of the largest component.
+    outside = F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int")
+    inside = F.ceil(F.col("n_main") / TILE).cast("int")
+    of_main = F.col("component") == F.col("main")
+    dealt = F.xxhash64("rep")
+    block = F.when(of_main, F.col("outside") + F.pmod(dealt, "inside")).otherwise(F.pmod(dealt, "outside")).cast("int")
+    others = F.sequence(F.lit(0), F.when(of_main, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
+    members = members.withColumn("outside", outside).withColumn("inside", inside).withColumn("block", block)
+    tiles = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
+    rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "posted", "tile.i", "tile.j", "tile.side")
     signed = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     many = signed.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _across(pdf, least, forest), "a long, b long, matches long, x long, y long")
-    found = agreeing(few, reps, least).select("a", "b", F.col("matches").cast("long"), "x", "y").union(many)
+    found = agreeing(few, reps, least).select("a", "b", "matches", "x", "y").union(many)
     if forest:
         return found.groupBy("x", "y").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
     return found.select("a", "b").distinct()
@@ -264,11 +296,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     # A list's centre is the member that shares its values with most documents, which in a group of edited
     # copies is the one they stem from. It is tried with all others; a document keeps its three best.
-    lists = stash(postings.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    met = stash(postings.join(lists, ["coordinate", "value"]))
-    shared = met.groupBy("rep").agg(F.sum("n").alias("shared"))
+    shared = postings.groupBy("rep").agg(F.sum("count").alias("shared"))
     rank = F.col("shared") * F.lit(1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
-    centres = stash(met.join(stash(shared.select("rep", rank.alias("rank"))), "rep").groupBy("coordinate", "value").agg(F.max_by("rep", "rank").alias("centre")))
+    centres = stash(postings.join(stash(shared.select("rep", rank.alias("rank"))), "rep").groupBy("coordinate", "value").agg(F.max_by("rep", "rank").alias("centre")))
     tried = postings.join(centres, ["coordinate", "value"]).where(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     best = Window.partitionBy("a").orderBy(F.desc("matches"), "b")  # one row for each coordinate at most
     first = agreeing(tried, reps).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 3)

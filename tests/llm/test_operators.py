@@ -241,7 +241,10 @@ def brute_near(texts):
     return sets, smallest(keys, links)
 
 
-def test_minhash(spark):
+@pytest.mark.parametrize("short, tile", [(minhash.SHORT_LIST, minhash.TILE), (2, 8)])
+def test_minhash(spark, monkeypatch, short, tile):
+    monkeypatch.setattr(minhash, "SHORT_LIST", short)
+    monkeypatch.setattr(minhash, "TILE", tile)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rng = random.Random(1)
     stem = [f"t{k}" for k in range(90)]
