@@ -2,13 +2,15 @@
 
 The documents of a task are gathered into shards of a few million tokens, each with an inverted index of
 its own. A seed document asks the index for the unused documents most like it by BM25; these fill the
-seed's window one after the other, and the last one is cut where the window ends. What is left of it seeds
-the next window, so only a shard's last window is ever short.
+seed's window one after the other, as many as it takes, and the last one is cut where the window ends. What
+is left of it seeds the next window, so only a shard's last window is ever short. Where no unused document
+shares a term with the seed, the next one in input order goes on as the seed.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from .token_counts import compiled
 
 #: Tokens of a shard (one more document may stand over). A shard is what one task holds at a time.
 SHARD_TOKENS = 3_000_000
-#: Terms of a seed that are looked up, rarest first, and neighbours that one search returns.
+#: Terms of a seed that are looked up, rarest first, and neighbours in the first page of a search.
 QUERY_TERMS, NEIGHBOURS = 12, 32
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -44,7 +46,7 @@ class Bm25:
     """Inverted index of a shard: for each token, its documents with their BM25 weights."""
 
     def __init__(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        self.n = len(starts) - 1
+        self.n, self.asked = len(starts) - 1, -1
         length = np.diff(starts)
         doc = np.repeat(np.arange(self.n, dtype=np.int64), length)
         key, often = np.unique(ids.astype(np.int64) * self.n + doc, return_counts=True)
@@ -60,17 +62,27 @@ class Bm25:
         self.query_terms = np.repeat(np.arange(len(self.terms)), spread)[shared][own]
         self.query_starts = np.concatenate([[0], np.cumsum(np.bincount(self.doc[shared], minlength=self.n))])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents with the highest scores, best first, ties by place; none that shares no term."""
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of each document for the seed's terms."""
         mine = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]][:QUERY_TERMS]
         score = np.zeros(self.n)
         for t in mine:
             lo, hi = self.first[t], self.first[t + 1]
             score[self.doc[lo:hi]] += self.weight[lo:hi]
-        score[~unused] = 0
-        top = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
+        """The `most` unused documents with the highest scores, best first, ties by place; none that shares no term."""
+        if seed != self.asked:
+            self.asked, self.score = seed, self.scores(seed)
+        found = np.flatnonzero(unused & (self.score > 0))
+        score = self.score[found]
+        if len(found) > most:
+            least = np.partition(score, -most)[-most]
+            above, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
+            top = np.concatenate([above, level[: most - len(above)]])
+            found, score = found[top], score[top]
+        return found[np.lexsort((found, -score))]
 
 
 def pack_shard(ids: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -81,26 +93,31 @@ def pack_shard(ids: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[i
     out: list[tuple[int, int, int, int, int]] = []
     sequence, room, next_seed = 0, window, 0
     doc, at = -1, 0  # the document being laid out, and how much of it is done
-    queue: list[int] = []
+    seed, queue = -1, deque()  # whose neighbours fill the window, and those found so far
+    most = NEIGHBOURS
     while True:
         if doc < 0 or at == length[doc]:
-            doc = next((d for d in queue if unused[d]), -1)
-            if doc < 0:
+            if seed >= 0 and not queue:
+                # A document has a token at least, so a second page holds all that the window can take.
+                queue, most = deque(index.neighbours(seed, unused, most).tolist()), room
+            if queue:
+                doc = queue.popleft()
+            else:
                 while next_seed < n and not unused[next_seed]:
                     next_seed += 1
                 if next_seed == n:
                     return out
-                doc = next_seed
+                doc = seed = next_seed
+                most = NEIGHBOURS
             at = 0
             unused[doc] = False
-            if room == window or not queue:  # it seeds a window, or must find the rest of one
-                queue = index.neighbours(doc, unused).tolist()
         take = min(room, int(length[doc]) - at)
         out.append((doc, at, take, sequence, window - room))
         at, room = at + take, room - take
         if not room:
             sequence, room = sequence + 1, window
-            queue = index.neighbours(doc, unused).tolist() if at < length[doc] else []
+            seed, most = doc if at < length[doc] else -1, NEIGHBOURS
+            queue.clear()
 
 
 def pack(df: DataFrame, path: str, text: str = "text", window: int = 4096, end_id: int = 2) -> DataFrame:

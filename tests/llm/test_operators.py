@@ -310,6 +310,19 @@ def test_bm25_prefers_shared_rare_terms():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [1, 2]
 
 
+def test_packing_searches_until_the_window_is_full():
+    # Two topics in turn, with many more documents of each in a window than one page of a search.
+    n, size = 400, 8
+    ids = np.concatenate([[10 + d % 2, 20 + d % 2, *range(1000 + 6 * d, 1006 + 6 * d)] for d in range(n)]).astype(np.uint32)
+    pieces = packing.pack_shard(ids, np.arange(n + 1) * size, 100 * size)
+    assert 100 > 3 * packing.NEIGHBOURS and sum(p[2] for p in pieces) == n * size
+    for sequence in range(4):
+        assert len({p[0] % 2 for p in pieces if p[3] == sequence}) == 1
+    # A seed without relatives: the next document in input order goes on as the seed.
+    texts = [[1, 2], [5, 6], [7, 8], [5, 9]]
+    assert [p[0] for p in packing.pack_shard(np.concatenate(texts).astype(np.uint32), np.arange(5) * 2, 8)] == [0, 1, 3, 2]
+
+
 # 10
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
