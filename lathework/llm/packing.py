@@ -25,8 +25,10 @@ from .token_counts import compiled
 
 #: Tokens of a shard (one more document may stand over). A shard is what one task holds at a time.
 SHARD_TOKENS = 3_000_000
-#: Terms of a seed that are looked up, rarest first, and neighbours in the first page of a search.
-QUERY_TERMS, NEIGHBOURS = 12, 32
+#: Neighbours in the first page of a search.
+NEIGHBOURS = 32
+#: The most frequent terms, each in an eighth of a shard's documents or more, have a full row of weights, up to this many cells.
+DENSE_CELLS = 4 << 20
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -46,43 +48,67 @@ class Bm25:
     """Inverted index of a shard: for each token, its documents with their BM25 weights."""
 
     def __init__(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        self.n, self.asked = len(starts) - 1, -1
+        self.ids, self.starts, self.asked = ids, starts, -1
+        n = len(starts) - 1
         length = np.diff(starts)
-        doc = np.repeat(np.arange(self.n, dtype=np.int64), length)
-        key, often = np.unique(ids.astype(np.int64) * self.n + doc, return_counts=True)
-        term, self.doc = key // self.n, key % self.n
-        self.terms, self.first, spread = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(self.first, len(key))
-        idf = np.log1p((self.n - spread + 0.5) / (spread + 0.5))
+        doc = np.repeat(np.arange(n, dtype=np.int64), length)
+        key, often = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
+        term, doc = key // n, key % n
+        self.terms, first, spread = np.unique(term, return_index=True, return_counts=True)
+        idf = np.log1p((n - spread + 0.5) / (spread + 0.5))
         damp = K1 * (1 - B + B * length / max(1.0, length.mean()))
-        self.weight = np.repeat(idf, spread) * often * (K1 + 1) / (often + damp[self.doc])
-        # Each document's own terms, rarest first, without those that no other document has.
-        shared = np.repeat(spread, spread) > 1
-        own = np.lexsort((np.repeat(spread, spread)[shared], self.doc[shared]))
-        self.query_terms = np.repeat(np.arange(len(self.terms)), spread)[shared][own]
-        self.query_starts = np.concatenate([[0], np.cumsum(np.bincount(self.doc[shared], minlength=self.n))])
+        weight = np.repeat(idf, spread) * often * (K1 + 1) / (often + damp[doc])
+        # Rows of the index are documents by place; those used up are taken out from time to time.
+        self.place = np.arange(n)
+        common = np.argsort(-spread, kind="stable")[: DENSE_CELLS // max(1, n)]
+        common = common[8 * spread[common] >= n]
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        for k, t in enumerate(common.tolist()):
+            at = slice(first[t], first[t] + spread[t])
+            self.dense[k, doc[at]] = weight[at]
+        # A term of one document scores that document alone, which is never its own neighbour.
+        listed = (self.row < 0) & (spread > 1)
+        kept = np.repeat(listed, spread)
+        self.doc, self.weight = doc[kept], weight[kept]
+        self.first = np.concatenate([[0], np.cumsum(np.where(listed, spread, 0))])
+
+    def narrow(self, unused: np.ndarray) -> None:
+        """Takes the used documents out of the index where they are half of it. Weights stay those of the whole shard."""
+        kept = unused[self.place]
+        if 2 * np.count_nonzero(kept) > len(kept):
+            return
+        self.asked = -1
+        to = np.cumsum(kept) - 1
+        posted = kept[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(posted)])[self.first]
+        self.doc, self.weight = to[self.doc[posted]], self.weight[posted]
+        self.dense, self.place = self.dense[:, kept], self.place[kept]
 
     def scores(self, seed: int) -> np.ndarray:
-        """The BM25 score of each document for the seed's terms."""
-        mine = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]][:QUERY_TERMS]
-        score = np.zeros(self.n)
-        for t in mine:
-            lo, hi = self.first[t], self.first[t + 1]
-            score[self.doc[lo:hi]] += self.weight[lo:hi]
+        """The BM25 score of each document of the index for all distinct terms of the seed."""
+        mine = np.searchsorted(self.terms, np.unique(self.ids[self.starts[seed] : self.starts[seed + 1]]))
+        lo, size = self.first[mine], self.first[mine + 1] - self.first[mine]
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        # Added term by term in both parts, so that equal documents have equal scores.
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.place)).astype(np.float64)
+        for k in self.row[mine][self.row[mine] >= 0].tolist():
+            score += self.dense[k]
         return score
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """The `most` unused documents with the highest scores, best first, ties by place; none that shares no term."""
         if seed != self.asked:
             self.asked, self.score = seed, self.scores(seed)
-        found = np.flatnonzero(unused & (self.score > 0))
+        found = np.flatnonzero(unused[self.place] & (self.score > 0))
         score = self.score[found]
         if len(found) > most:
             least = np.partition(score, -most)[-most]
             above, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
             top = np.concatenate([above, level[: most - len(above)]])
             found, score = found[top], score[top]
-        return found[np.lexsort((found, -score))]
+        return self.place[found[np.lexsort((found, -score))]]
 
 
 def pack_shard(ids: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -98,6 +124,7 @@ def pack_shard(ids: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[i
     while True:
         if doc < 0 or at == length[doc]:
             if seed >= 0 and not queue:
+                index.narrow(unused)
                 # A document has a token at least, so a second page holds all that the window can take.
                 queue, most = deque(index.neighbours(seed, unused, most).tolist()), room
             if queue:

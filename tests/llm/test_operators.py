@@ -310,6 +310,26 @@ def test_bm25_prefers_shared_rare_terms():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [1, 2]
 
 
+def test_bm25_of_whole_texts():
+    rng = np.random.default_rng(5)
+    texts = [rng.zipf(1.3, rng.integers(1, 400)) % 3000 for _ in range(300)]
+    texts[7] = texts[3]
+    ids, starts = np.concatenate(texts).astype(np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    index, counts, mean = packing.Bm25(ids, starts), [Counter(t.tolist()) for t in texts], len(ids) / len(texts)
+    spread = Counter(w for c in counts for w in c)
+    idf = {w: np.log1p((len(texts) - k + 0.5) / (k + 0.5)) for w, k in spread.items()}
+    unused = np.ones(len(texts), dtype=bool)
+    for seed in rng.permutation(len(texts))[:250].tolist():
+        unused[seed] = False
+        want = np.array([sum(idf[w] * c[w] * (packing.K1 + 1) / (c[w] + packing.K1 * (1 - packing.B + packing.B * sum(c.values()) / mean)) for w in counts[seed] if w in c) for c in counts])
+        want[~unused] = 0
+        got = index.neighbours(seed, unused)
+        assert len(got) == min(packing.NEIGHBOURS, np.count_nonzero(want)) and unused[got].all() and len(set(got.tolist())) == len(got)
+        assert want[got] == pytest.approx(np.sort(want)[::-1][: len(got)])
+        index.narrow(unused)
+    assert len(index.place) < 100
+
+
 def test_packing_searches_until_the_window_is_full():
     # Two topics in turn, with many more documents of each in a window than one page of a search.
     n, size = 400, 8
