@@ -13,6 +13,11 @@ from lathework.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, TOKENIZER
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A stash of docs with a number for each row, `_number`, as ids may be null or repeated."""
+    return stash(docs.withColumn("_number", F.monotonically_increasing_id()))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.cascade(docs).where("kept").select(*COLUMNS)
@@ -32,10 +37,11 @@ def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Only sizes are ranked; texts are joined to what was taken."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"))
-    mixed = mixing.pareto_mix(sizes, F.col("n"), F.col("source"), [F.col("doc_id")], MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
-    taken = stash(mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from")).agg(F.max("copies").alias("copies")).where("copies > 0"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"]) & docs["source"].eqNullSafe(taken["from"]))
+    docs = numbered(docs)
+    sizes = docs.select("_number", "doc_id", "source", word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("_hash"))
+    # Rows draw by id and text, so that those with a null or repeated id are sampled one by one.
+    mixed = mixing.pareto_mix(sizes, F.col("n"), F.col("source"), [F.col("doc_id"), F.col("_hash")], MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
+    rows = docs.join(stash(mixed.select("_number", "copies").where("copies > 0")), "_number")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lathework.llm import private_data
 from lathework.llm.common import stash
+from lathework.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,27 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stash(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def test_mixing_samples_rows_without_an_id(spark):
+    # A third of each source has a null id, another third one id in common.
+    rows = [(None if k % 3 == 0 else -1 if k % 3 == 1 else k, f"w{k} " * (20 + k % 17), "en", "abc"[k // 300], 0) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got, had = Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    for r in rows:
+        had[r[3]] += len(WORD.findall(r[1]))
+    # The first source is at its limit, its rest goes to the others by weight until they are.
+    level, caps = MIX_SHARE * sum(had.values()), {s: MIX_MOST * n for s, n in had.items()}
+    weights, targets = dict(zip("abc", MIX_WEIGHTS, strict=True)), {}
+    while True:
+        free = [s for s in weights if s not in targets]
+        left = (level - sum(targets.values())) / sum(weights[s] for s in free)
+        over = [s for s in free if weights[s] * left >= caps[s]]
+        if not over:
+            targets |= {s: weights[s] * left for s in free}
+            break
+        targets |= {s: caps[s] for s in over}
+    for s, target in targets.items():
+        assert abs(got[s] - target) <= 36
