@@ -24,9 +24,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = stash(minhash.near_duplicates(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates: the one with the smallest id, null last.
+
+    Rows are documents of their own, whatever their ids: repeated rows and equal texts without an id are a
+    group as well. Texts without words are groups of their own but for rows of equal id and text.
+    """
+    docs = numbered(docs)
+    groups = minhash.near_duplicates(docs, key="_number").where("n_shingles > 0").select("_number", F.col("component_id").alias("_group"))
+    ranks = docs.select("_number", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "_number").alias("_rank"), "doc_id", F.xxhash64("text").alias("_hash"))
+    placed = ranks.join(groups, "_number", "left")
+    alone = F.col("_group").isNull()
+    by = [F.col("_group"), F.when(alone, F.col("doc_id")), F.when(alone, F.col("_hash"))]
+    kept = stash(placed.groupBy(*[c.alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.min("_rank").alias("_rank")).select("_rank._number"))
+    return docs.join(kept, "_number", "left_semi").select(*COLUMNS)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

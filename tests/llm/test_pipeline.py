@@ -92,3 +92,11 @@ def test_mixing_samples_rows_without_an_id(spark):
         targets |= {s: caps[s] for s in over}
     for s, target in targets.items():
         assert abs(got[s] - target) <= 36
+
+
+def test_near_duplicates_of_rows_without_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(4, long), (4, long), (None, long), (3, long + " more"), (None, "lost " + long[::-1]), (None, "lost " + long[::-1]), (7, "of its own " + long.replace("w", "v")), (8, ""), (8, ""), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert out == Counter([(3, long + " more"), (None, rows[4][1]), rows[6], (8, ""), (9, ""), (None, None)])
