@@ -26,9 +26,10 @@ FEATURES, TRAINING_PAGES, ROUNDS = 1 << 12, 400, 60
 
 #: Elements without content of their own, elements whose text is never shown, and elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object select textarea canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea canvas audio video annotation annotation-xml".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+                   "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom menclose merror mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd annotation annotation-xml".split())
 #: A start tag of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: A start tag of the key ends an open element of the values, up to the list or table around it.
@@ -37,10 +38,20 @@ AROUND = frozenset("ul ol dl table body html menu".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDES = re.compile(r"(?:\s|\A)hidden(?:[\s=]|\Z)|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:\A|[;\s])display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+def hiding(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element: the attribute hidden, or a style without display."""
+    for a in _NAMED.finditer(attributes):
+        name = a[1].lower()
+        if name == "hidden" or (name == "style" and _NO_DISPLAY.search(a[2] or a[3] or a[4] or "")):
+            return True
+    return False
+
+
 class Block:
     """A run of text, the ancestors it stands in (tag and marks), and how much of it is inside links."""
 
@@ -117,7 +128,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m[3].endswith("/"):
             continue
         marks = tuple(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _WORD.findall(a[2] or a[3] or a[4] or "")) if m[3] else ()
-        hides = tag in HIDDEN or bool(m[3] and _HIDES.search(m[3]))
+        hides = tag in HIDDEN or (bool(m[3]) and hiding(m[3]))
         if tag in RAW:  # up to its own end tag, whatever stands inside
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)

@@ -119,6 +119,11 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_hides_only_what_is_hidden():
+    page = "<article><p>By <a title='the hidden lake' data-x=\"display:none\" href=/l>the lake</a> and <b class=hidden>mark</b>.</p><p>So <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math> holds.</p><p hidden>one</p><p HIDDEN=''>two</p><p style='color:red; display : none'>three</p><p id=a hidden=until-found>four</p></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["By the lake and mark.", "So x=2 holds."]
+
+
 # 4
 def brute_quality(text):
     text = text or ""
