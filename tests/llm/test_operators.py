@@ -91,6 +91,17 @@ def test_conversations(spark):
     assert [p["piece"] for p in pieces] == [0, 1, 2] and "".join(p["rendered"] for p in pieces) == "".join(f"<|im_start|>user\n{k}<|im_end|>\n" for k in range(600))
 
 
+def test_conversations_rows(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    found = con.execute(queries.ORACLES["op2_conversations"])
+    names = sorted(d[0] for d in found.description)
+    want = Counter(tuple(dict(zip((d[0] for d in found.description), r, strict=True))[n] for n in names) for r in found.fetchall())
+    out = queries.op2_conversations(spark, SF)
+    assert sorted(out.columns) == names
+    assert Counter(map(tuple, out.select(*names).collect())) == want
+
+
 # 3
 def test_html(spark):
     read, labels = html_text.labelled_blocks(77, 60)
