@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,18 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step inside a task works on; longer single texts form a slice of their own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark hands to Python (one row at least).
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lathework-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded in bytes, as 10,000 long texts would fill a worker. A bound that the session sets itself stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage for good."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
@@ -35,13 +48,22 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a stash() that nothing reads any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the tables behind stash()es that nothing reads any more, and the shuffle files of steps that are over.
+
+    Spark deletes a shuffle's files when the driver's JVM collects the plan that it belongs to, which by itself may
+    come hours later; so a collection is asked for here.
+    """
+    for df in tables:
+        path = getattr(df, "_stash_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._stash_path = None
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def task_rows(df: DataFrame, pid: str = "_pid", row: str = "_row") -> DataFrame:

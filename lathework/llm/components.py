@@ -25,8 +25,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         far = hooked.select(F.col("node").alias("label"), F.col("label").alias("far"))
         jumped = stash(hooked.join(far, "label").select("node", "old", F.least("label", "far").alias("label")))
         changed = jumped.where(F.col("label") != F.col("old")).limit(1).count()
-        discard(labels)
-        discard(hooked)
+        discard(labels, hooked)
         labels = jumped
         if not changed:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, bounded, slices
 from .token_counts import compiled
 
 #: Tokens of a shard (one more document may stand over). A shard is what one task holds at a time.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_000_000
 #: Neighbours in the first page of a search.
 NEIGHBOURS = 32
 #: The most frequent terms, each in an eighth of a shard's documents or more, have a full row of weights, up to this many cells.
@@ -51,9 +51,11 @@ class Bm25:
         self.ids, self.starts, self.asked = ids, starts, -1
         n = len(starts) - 1
         length = np.diff(starts)
-        doc = np.repeat(np.arange(n, dtype=np.int64), length)
-        key, often = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
-        term, doc = key // n, key % n
+        key = ids.astype(np.int64)
+        key *= n
+        key += np.repeat(np.arange(n, dtype=np.int32), length)
+        key, often = np.unique(key, return_counts=True)
+        term, doc = (key // n).astype(np.int32), (key % n).astype(np.int32)
         self.terms, first, spread = np.unique(term, return_index=True, return_counts=True)
         idf = np.log1p((n - spread + 0.5) / (spread + 0.5))
         damp = K1 * (1 - B + B * length / max(1.0, length.mean()))
@@ -200,4 +202,4 @@ def pack(df: DataFrame, path: str, text: str = "text", window: int = 4096, end_i
         if held:
             yield flush()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, bounded, slices
 
 
 def luhn(digits: str) -> bool:
@@ -173,7 +173,7 @@ def detect_private_data(df: DataFrame, text: str = "text", keep_text: bool = Tru
                     cols.append(pa.array([redact(t, s) for t, s in zip(texts, spans, strict=True)], type=to.field("redacted").type))
                 yield pa.RecordBatch.from_arrays(cols, schema=to)
 
-    return df.mapInArrow(scan, schema)
+    return bounded(df).mapInArrow(scan, schema)
 
 
 def base_digest(spans: F.Column) -> F.Column:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, sums
+from .common import arrow_schema, bounded, slices, sums
 
 #: Code points per chunk of the splitter.
 CHUNK = 256
@@ -94,6 +94,9 @@ class Splitter:
             k += 1
         self.maps, self.step = np.array(maps), np.array(step, dtype=np.int16)
         self.product = np.array([[known[b[a].tobytes()] for b in maps] for a in maps], dtype=np.int16)  # first a, then b
+        # The same tables in one row, by 9 times the element or state plus the class; the latter with what starts in the two low bits.
+        self.next_element = (9 * self.step).astype(np.int32).reshape(-1)
+        self.next_state = (36 * self.to.astype(np.int32) + self.out).reshape(-1)
 
     def starts(self, classes: np.ndarray) -> np.ndarray:
         """Which characters start a word. The classes must end in a space."""
@@ -102,20 +105,22 @@ class Splitter:
         grid = np.full(chunks * CHUNK, SPACE, dtype=np.uint8)
         grid[:n] = classes
         grid = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
-        element = np.full(chunks, self.unit, dtype=np.int16)
+        element = np.full(chunks, 9 * self.unit, dtype=np.int32)
         for row in grid:
-            element = self.step[element, row]
+            element = self.next_element.take(element + row)
+        element //= 9
         # Parallel prefix scan: after the round with distance d, an element covers 2 d chunks.
         d = 1
         while d < chunks:
             element = np.concatenate([element[:d], self.product[element[:-d], element[d:]]])
             d *= 2
         entry = np.concatenate([[self.unit], element[:-1]])
-        state = self.maps[entry, GAP]
+        state = 9 * self.maps[entry, GAP].astype(np.int32)
         marks = np.empty((CHUNK, chunks), dtype=np.uint8)
         for k, row in enumerate(grid):
-            marks[k] = self.out[state, row]
-            state = self.to[state, row]
+            found = self.next_state.take(state + row)
+            marks[k] = found & 3
+            state = found >> 2
         marks = marks.T.reshape(-1)[:n]
         here = (marks & 1).astype(bool)
         here[:-1] |= marks[1:] > 1
@@ -341,12 +346,17 @@ class CompiledTokenizer:
         """As the library's normalizer gives it, but for the kind of white space."""
         if text.isascii():
             return text.lower()
-        if max(text) < "ɐ" and "İ" not in text:  # precomposed letters, each with one lower case
+        try:
+            text.encode("latin-1")
+            simple = True
+        except UnicodeEncodeError:
+            simple = max(text) < "ɐ" and "İ" not in text
+        if simple:  # precomposed letters, each with one lower case
             return unicodedata.normalize("NFC", text).lower()
         return self.library.normalizer.normalize_str(text)
 
-    def _words(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """UTF-8 of all texts, the words' places and lengths in it, the first word of each text, and each text's place."""
+    def _words(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 of all texts, the words' places and lengths in it, and the first word of each text (one more entry than texts)."""
         joined = " ".join([*normal, ""])
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         classes = self.classes[points]
@@ -356,14 +366,28 @@ class CompiledTokenizer:
             classes = self.classes[points]
         at = np.flatnonzero(self.splitter.starts(classes))
         # A word ends where the next one starts or at white space.
-        breaks = np.flatnonzero(classes == SPACE)
-        ends = np.minimum(np.append(at[1:], len(points)), breaks[np.searchsorted(breaks, at)])
+        blank = classes == SPACE
+        breaks = np.flatnonzero(blank)
+        ends = np.minimum(np.append(at[1:], len(points)), breaks[np.cumsum(blank, dtype=np.int32)[at]])
         wide = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
         text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in normal])])
-        return np.frombuffer(joined.encode(), dtype=np.uint8), wide[at], wide[ends] - wide[at], np.searchsorted(at, text_starts), wide[text_starts]
+        return np.frombuffer(joined.encode(), dtype=np.uint8), wide[at], wide[ends] - wide[at], np.searchsorted(at, text_starts)
+
+    @staticmethod
+    def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words' bytes, places and lengths, and which of them each word is."""
+        # Words and the gaps between them in turn, as one array over the same bytes.
+        cuts = np.empty(2 * len(starts) + 1, dtype=np.int64)
+        cuts[:-1:2], cuts[1:-1:2], cuts[-1] = starts, starts + lengths, len(data)
+        runs = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        words = runs.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+        known = words.dictionary
+        size = np.asarray(pc.binary_length(known), dtype=np.int64)
+        offsets = np.frombuffer(known.buffers()[1], dtype=np.int64)[known.offset : known.offset + len(known)]
+        return np.frombuffer(known.buffers()[2], dtype=np.uint8), offsets, size, np.asarray(words.indices)
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text."""
+        """Tokens of each text. Each distinct word is read once."""
         special, normal = np.zeros(len(texts), dtype=np.int64), []
         for k, text in enumerate(texts):
             if self._has_added(text):
@@ -374,17 +398,26 @@ class CompiledTokenizer:
                 normal.append(self._normal(text))
         if not normal:
             return special
-        data, starts, lengths, first, _ = self._words(normal)
-        return special + sums(self.words.counts(data, starts, lengths), first)
+        data, starts, lengths, first = self._words(normal)
+        if not len(starts):
+            return special
+        data, starts, lengths, which = self._distinct(data, starts, lengths)
+        return special + sums(self.words.counts(data, starts, lengths)[which], first)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's ids start (one more entry than texts)."""
         odd = {k: self.library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if self._has_added(t)}
         if not texts:
             return np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-        data, starts, lengths, _, text_starts = self._words(["" if k in odd else self._normal(t) for k, t in enumerate(texts)])
-        ids, where = self.words.tokens(data, starts, lengths)
-        first = np.searchsorted(where, text_starts)
+        data, starts, lengths, first = self._words(["" if k in odd else self._normal(t) for k, t in enumerate(texts)])
+        ids = np.empty(0, dtype=np.uint32)
+        if len(starts):  # each distinct word is read once
+            data, starts, lengths, which = self._distinct(data, starts, lengths)
+            known, ends = self.words.tokens(data, starts, lengths)
+            begin = np.searchsorted(ends, starts)
+            size = np.diff(np.append(begin, len(known)))[which]
+            total = np.concatenate([[0], np.cumsum(size)])
+            ids, first = known[np.repeat(begin[which] - total[:-1], size) + np.arange(total[-1])], total[first]
         if odd:
             parts = [np.array(odd[k], dtype=np.uint32) if k in odd else ids[first[k] : first[k + 1]] for k in range(len(texts))]
             ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -421,4 +454,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048
                 size = pc.cast(pc.binary_length(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), size, pa.array(n), pa.array(n > limit)], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
