@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, sums, words_of
+from .common import arrow_schema, bounded, slices, sums, words_of
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -140,7 +140,7 @@ def _trial(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(spent), pa.array(np.full(len(rules), seen)), pa.array(out)], schema=to)
 
-    return df.select(text).mapInArrow(measure, "rule int, seconds double, rows long, rejected long")
+    return bounded(df.select(text)).mapInArrow(measure, "rule int, seconds double, rows long, rejected long")
 
 
 def order_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, fraction: float = 0.01, seed: int = 5) -> tuple[Rule, ...]:
@@ -154,13 +154,14 @@ def order_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: -gain.get(k, 0.0)))
 
 
-def cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None, report: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
+def cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None, report: tuple[str, ...] = (), keep_text: bool = True, keep_rejected: bool = True) -> DataFrame:
     """Adds `kept`, `base_failed`, `failed_rule` (the first that rejected; null if kept), `n_rules` (rules tried) and the statistics in `report`.
 
     Each rule sees only the rows that the rules before it have let through. With "n_words" and
     "n_repeat_words" reported, base_failed is known for all rows; otherwise it is null where the cascade
     stopped before the base rules. Null texts count as empty; an empty text fails on its words. Repeated
-    rows get the same verdict. Columns of these names are replaced. One pass, no shuffle.
+    rows get the same verdict. Columns of these names are replaced. Without keep_rejected only rows that are
+    kept come back. One pass, no shuffle.
     """
     rules = rules or order_rules(df, text)
     df = df.drop("kept", "base_failed", "failed_rule", "n_rules", *report)
@@ -194,6 +195,7 @@ def cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None =
                 cols = [part.column(f.name) for f in fields]
                 cols += [pa.array(failed < 0), pa.array(base, mask=~(known | base)), pa.array([names[k] if k >= 0 else None for k in failed], type=to.field("failed_rule").type), pa.array(tried)]
                 cols += [pa.array(stats[s]) for s in report]
-                yield pa.RecordBatch.from_arrays(cols, schema=to)
+                out = pa.RecordBatch.from_arrays(cols, schema=to)
+                yield out if keep_rejected else out.filter(pa.array(failed < 0))
 
-    return df.mapInArrow(judge, schema)
+    return bounded(df).mapInArrow(judge, schema)
