@@ -20,7 +20,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.cascade(docs).where("kept").select(*COLUMNS)
+    return quality.cascade(docs.select(*COLUMNS), keep_rejected=False).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
