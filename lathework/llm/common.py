@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stash import discard, finished, stash  # noqa: F401  for the operators
+
 #: Bytes of text that one step inside a task works on; longer single texts form a slice of their own.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch that Spark hands to Python (one row at least).
 BATCH_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all runs on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lathework-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are bounded in bytes, as 10,000 long texts would fill a worker. A bound that the session sets itself stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -39,33 +27,6 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage for good."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the tables behind stash()es that nothing reads any more, and the shuffle files of steps that are over.
-
-    Spark deletes a shuffle's files when the driver's JVM collects the plan that it belongs to, which by itself may
-    come hours later; so a collection is asked for here.
-    """
-    for df in tables:
-        path = getattr(df, "_stash_path", None)
-        if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            df._stash_path = None
-    if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
-
-
 def task_rows(df: DataFrame, pid: str = "_pid", row: str = "_row") -> DataFrame:
     """A stash of df in which each row knows the task that wrote it and its place there."""
     mid = F.monotonically_increasing_id()
@@ -86,7 +47,7 @@ def with_position(df: DataFrame, order: list[Column], to: str) -> DataFrame:
         total += n
     spark = df.sparkSession
     offsets = spark.createDataFrame(starts, "_pid long, _start long")  # one row for each partition
-    return placed.join(F.broadcast(offsets), "_pid").withColumn(to, F.col("_start") + F.col("_row")).drop("_pid", "_row", "_start")
+    return placed.join(offsets, "_pid").withColumn(to, F.col("_start") + F.col("_row")).drop("_pid", "_row", "_start")
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -122,6 +83,48 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def tile_rows(members: DataFrame, kept: list[str], n: Column, n_main: Column, of_main: Column, tile: int) -> DataFrame:
+    """A row of `kept` for each tile that a member of a group goes to, with the tile's blocks i <= j and the member's side.
+
+    Groups have n rows, n_main of them (where of_main) in one component, and rows of one component need no
+    comparing. Blocks hold about `tile` rows by hash of `rep`: first those outside the largest component, then
+    those of it. A tile is two blocks, or one with itself, but never two of the largest component. A group of
+    `tile` rows or fewer is one tile. Give n_main 0 where all pairs are needed.
+    """
+    small = n <= tile
+    outside = F.when(small, 1).otherwise(F.ceil((n - n_main) / tile)).cast("int")
+    inside = F.when(small, 0).otherwise(F.ceil(n_main / tile)).cast("int")
+    placed = members.withColumns({"_out": outside, "_in": inside, "_main": ~small & of_main})
+    dealt = F.xxhash64("rep")
+    block = F.when(F.col("_main"), F.col("_out") + F.pmod(dealt, F.col("_in"))).otherwise(F.pmod(dealt, F.col("_out"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("_main"), F.col("_out")).otherwise(F.col("_out") + F.col("_in")) - 1)
+    tiles = F.transform(others, lambda o: F.struct(F.least("_block", o).alias("i"), F.greatest("_block", o).alias("j"), F.when(F.col("_block") > o, 1).otherwise(0).alias("side")))
+    return placed.withColumn("_block", block).withColumn("_tile", F.explode(tiles)).select(*kept, "_tile.i", "_tile.j", "_tile.side")
+
+
+def tiles_of(columns: dict[str, np.ndarray], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each tile (equal in key, i and j) of a step."""
+    by = [*key, "i", "j"]
+    order = np.lexsort([columns[c] for c in reversed(by)])
+    sorted_by = np.stack([columns[c][order] for c in by])
+    cuts = np.flatnonzero((sorted_by[:, 1:] != sorted_by[:, :-1]).any(axis=0)) + 1
+    for rows in np.split(order, cuts):
+        yield {c: x[rows] for c, x in columns.items()}
+
+
+def tile_sides(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows and columns to compare in a tile, and whether both are of the same block."""
+    if tile["i"][0] == tile["j"][0]:
+        every = np.arange(len(tile["i"]))
+        return every, every, True
+    return np.flatnonzero(tile["side"] == 0), np.flatnonzero(tile["side"] == 1), False
+
+
+def in_steps(rows: DataFrame, key: list[str], steps: int) -> DataFrame:
+    """Adds `step`, which deals the tiles of rows at random into `steps` groups (one at least)."""
+    return rows.withColumn("step", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, steps))))
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

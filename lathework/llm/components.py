@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from .common import discard, stash
 
 
+class Union:
+    """Components that pairs have joined so far, inside a task."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def joins(self, x: int, y: int) -> bool:
+        """Joins two components; false if they were one."""
+        x, y = self.top(x), self.top(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) of all nodes (rep, ...), linked or not."""
+    found = connected_components(links)
+    return nodes.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node reachable.
 

@@ -8,13 +8,16 @@ their coordinates agree, which is a count-threshold join over the lists (coordin
   document's values of its own fill its prefix and it is posted only where another one can be met.
 * Skip: values in very long lists come last, so most of these lists are in no prefix and are never merged;
   whether they agree is read off the signatures of the candidates that the short lists gave.
-* Documents with equal shingle sets are one. A list first links its members with one of them; only lists
-  that hold several components after that are compared across these, in tiles of bounded size; a pair comes
-  from the first list that both its documents are posted in. The
-  likeliest pairs go first, one for each two components at most, so that only pairs that may still join
-  components are left for the last round, which tests them all.
-
-Every link is confirmed on the full shingle sets.
+* Documents with equal shingle sets are one. Each document is first compared with one other, the centre of
+  most of its lists. Only lists that hold several components after that are merged: their members are
+  compared across components in tiles of bounded size, many small tiles to a task's step; a pair is
+  compared in the first list that both its documents are posted in. The likeliest pairs go first, one for
+  each two components at most. The last round tests all pairs above the match threshold that may still
+  join components. It does so inside the tiles, to which the texts of documents in such pairs are brought,
+  so that the pairs, which may be very many among texts just below the similarity, are never rows.
+
+Minima are 64 bits wide: with 32, documents without a shingle in common would meet ever more often as
+their number grows. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,25 +33,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import arrow_schema, slices, stash, words_of
-from .components import connected_components
+from .common import arrow_schema, bounded, discard, in_steps, slices, stash, tile_rows, tile_sides, tiles_of, words_of
+from .components import Union, labelled
 
-#: At a similarity of 0.75 a pair agrees in 36 coordinates on average; fewer than 22 has odds of 4 in a million.
-COORDINATES, MATCHES = 48, 22
+#: At a similarity of 0.75 a pair agrees in 24 coordinates on average; fewer than 12 has odds of 1.5 in a million.
+COORDINATES, MATCHES = 32, 12
 #: Words to a shingle, and the similarity (in hundredths) that makes a link.
 WORDS, SIMILAR = 5, 75
 #: Coordinates of the whole signature, which checks candidates, and how many of them must agree: at 0.75 fewer have odds
-#: of 3 in 100 000.
+#: of 4 in 100 000.
 CHECKED, CHECKED_MATCHES = 256, 164
-#: Lists of so many documents give their pairs directly; longer ones go to tiles with so many documents to a side.
-SHORT_LIST, TILE = 24, 1024
+#: Documents on each side of a tile, and rows that one step of a task takes on average (a tile's at least).
+TILE, STEP_ROWS = 512, 1024
+#: Bytes of text on each side of a tile, and in a step, where texts are compared (one text at least).
+STEP_BYTES = 4 << 20
+#: Pairs of a tile that are compared at a time.
+BLOCK = 1 << 13
 #: Agreeing coordinates that make a pair likely; such pairs are tried before the rest.
 LIKELY = 194
 
+#: Places in `slot` for the coordinate; the other bits are of the value.
+_PLACE = 63
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
-_XOR = _RNG.integers(0, 1 << 32, CHECKED, dtype=np.uint32)
-_TIMES = _RNG.integers(0, 1 << 31, CHECKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _RNG.integers(0, 1 << 64, CHECKED, dtype=np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, CHECKED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, by: int = 0) -> np.ndarray:
@@ -97,16 +106,18 @@ SIGNED = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("low", T.LongType()),
         T.StructField("high", T.LongType()),
-        T.StructField("signature", T.ArrayType(T.IntegerType())),
+        T.StructField("slots", T.BinaryType()),
         T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
 def sign(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, number of shingles, 128 bits that stand for the whole shingle set, the first COORDINATES of CHECKED minima, and a sketch of all: those in whole, one byte of each other (null without shingles).
+    """key, number of shingles, 128 bits that stand for the whole shingle set, `slots` and `sketch` (null without shingles).
 
-    Bytes agree wherever minima do, and once in 256 times elsewhere, so that checking them loses nothing.
+    slots: a 64-bit number for each of the first COORDINATES minima, the coordinate in its low bits. sketch:
+    32 bits of each of those, and one byte of each other minimum. Bytes agree wherever minima do, and once in
+    256 times elsewhere, so that checking them loses nothing.
     """
     schema = T.StructType([df.schema[key]] + SIGNED.fields)
     to = arrow_schema(schema)
@@ -118,163 +129,223 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                 n = np.diff(starts)
                 full = n > 0
                 at = starts[:-1][full]
-                sig = np.empty((len(at), CHECKED), dtype=np.uint32)
+                listed = np.empty((len(at), COORDINATES), dtype=np.uint64)
+                others = np.empty((len(at), CHECKED - COORDINATES), dtype=np.uint8)
                 low, high = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
                 if len(at):
                     short = (h >> np.uint64(32)).astype(np.uint32)
                     for k in range(CHECKED):
-                        sig[:, k] = np.minimum.reduceat((short ^ _XOR[k]) * _TIMES[k], at)
+                        if k < COORDINATES:
+                            least = np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], at)
+                            listed[:, k] = (_mixed(least, k) & ~np.uint64(_PLACE)) | np.uint64(k)
+                        else:
+                            others[:, k - COORDINATES] = np.minimum.reduceat((short ^ _XOR[k].astype(np.uint32)) * _TIMES[k].astype(np.uint32), at).astype(np.uint8)
                     low[full] = np.add.reduceat(_mixed(h, 1), at).view(np.int64)
                     high[full] = np.bitwise_xor.reduceat(_mixed(h, 2), at).view(np.int64)
-                whole = np.ascontiguousarray(sig[:, :COORDINATES])
-                ends = np.concatenate([[0], np.cumsum(full * COORDINATES)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.view(np.int32).reshape(-1)), mask=pa.array(~full)).cast(to.field("signature").type)
-                packed = iter(np.hstack([whole.view(np.uint8), sig[:, COORDINATES:].astype(np.uint8)]))
-                sketches = pa.array([next(packed).tobytes() if f else None for f in full], to.field("sketch").type)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array(low), pa.array(high), listed, sketches], schema=to)
+                sketch = np.hstack([(listed >> np.uint64(8)).astype("<u4").view(np.uint8).reshape(len(at), -1), others])
+                columns = [part.column(key), pa.array(n), pa.array(low), pa.array(high)]
+                for rows, name in ((listed.astype("<u8").view(np.uint8).reshape(len(at), -1), "slots"), (sketch, "sketch")):
+                    each = iter(rows)
+                    columns.append(pa.array([next(each).tobytes() if f else None for f in full], to.field(name).type))
+                yield pa.RecordBatch.from_arrays(columns, schema=to)
+
+    return bounded(df.select(key, text)).mapInArrow(run, schema)
+
+
+def posted(reps: DataFrame) -> DataFrame:
+    """(rep, slot) for each listed coordinate."""
+    to = pa.schema([("rep", pa.int64()), ("slot", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.frombuffer(b"".join(batch.column("slots").to_pylist()), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("rep")), COORDINATES)), pa.array(slots)], schema=to)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return bounded(reps.select("rep", "slots")).mapInArrow(run, "rep long, slot long")
 
 
-def prefixes(reps: DataFrame) -> DataFrame:
-    """(rep, coordinate, value, count, posted) for the coordinates in each document's prefix whose value others have too.
+def lists(reps: DataFrame) -> DataFrame:
+    """(rep, slot, posted, centre) for the slots in each document's prefix where another one is posted too.
 
-    count: documents with that value; posted: a bit for each coordinate that the document has rows for.
+    posted: a bit for each coordinate that the document has rows for. centre: the member that shares its
+    values with most documents, which in a group of edited copies is the one they stem from.
     """
-    every = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
-    shared = stash(every.groupBy("coordinate", "value").agg(F.count("*").alias("count")).where(F.col("count") > 1))
-    met = every.join(shared, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "coordinate", "value"))).alias("met"))  # COORDINATES entries at most
+    every = posted(reps)
+    shared = stash(every.groupBy("slot").agg(F.count("*").alias("count")).where(F.col("count") > 1))
+    met = every.join(shared, "slot").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "slot"))).alias("met"))  # COORDINATES entries at most
     # The values of its own come first, and fill COORDINATES - size(met) places.
-    left = F.greatest(F.size("met") - (MATCHES - 1), F.lit(0))
-    chosen = met.select("rep", F.slice("met", F.lit(1), left).alias("met"))
-    posted = F.aggregate("met", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["coordinate"])))
-    return chosen.select("rep", posted.alias("posted"), F.explode("met").alias("met")).select("rep", "met.coordinate", "met.value", "met.count", "posted")
+    left = F.size("met") - (MATCHES - 1)
+    chosen = met.where(left > 0).select("rep", F.slice("met", F.lit(1), left).alias("met"))
+    bits = F.aggregate("met", F.lit(0).cast("long"), lambda had, x: had.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["slot"].bitwiseAND(_PLACE).cast("int"))))
+    often = F.aggregate("met", F.lit(0).cast("long"), lambda had, x: had + x["count"])
+    rank = often * F.lit(1 << 16) + F.pmod(F.xxhash64("rep"), F.lit(1 << 16))
+    rows = stash(chosen.select("rep", bits.alias("posted"), rank.alias("rank"), F.explode("met.slot").alias("slot")))
+    discard(shared)
+    centres = rows.groupBy("slot").agg(F.count("*").alias("n"), F.max_by("rep", "rank").alias("centre")).where(F.col("n") > 1)
+    out = stash(rows.join(centres, "slot").select("rep", "slot", "posted", "centre"))
+    discard(rows)
+    return out
 
 
 def _unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The whole minima and the bytes of the other ones, a row for each sketch."""
+    """32 bits of the listed minima and the bytes of the other ones, a row for each sketch."""
     rows = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), 3 * COORDINATES + CHECKED)
     return np.ascontiguousarray(rows[:, : 4 * COORDINATES]).view(np.uint32), rows[:, 4 * COORDINATES :]
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; docs: (rep, text). Only texts of some pair are kept."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    docs = stash(docs.join(needed, "rep", "left_semi").dropDuplicates(["rep"]))
-    both = pairs.join(docs.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(docs.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingle hashes, sorted, are similar enough."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= SIMILAR * (len(x) + len(y) - shared) > 0
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough; texts: (rep, text)."""
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     to = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_b"):
                 (h, s), (g, t) = shingles(part.column("text_a")), shingles(part.column("text_b"))
-                keep = np.zeros(part.num_rows, dtype=bool)
-                for k in range(part.num_rows):
-                    x, y = h[s[k] : s[k + 1]], g[t[k] : t[k + 1]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[k] = 100 * shared >= SIMILAR * (len(x) + len(y) - shared) > 0
-                mask = pa.array(keep)
+                mask = pa.array([alike(h[s[k] : s[k + 1]], g[t[k] : t[k + 1]]) for k in range(part.num_rows)])
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], schema=to)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    return bounded(both.select("a", "b", "text_a", "text_b")).mapInArrow(confirm, "a long, b long")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, least: int = CHECKED_MATCHES) -> DataFrame:
-    """Adds `matches`, the number of agreeing coordinates, to pairs (a, b, ...) and keeps those with enough of them."""
+def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in MATCHES listed and CHECKED_MATCHES of all coordinates, and whose sizes allow a link."""
     sides = [reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))  # else they share too little
-    schema = T.StructType([*pairs.schema.fields, T.StructField("matches", T.LongType())])
-    to, names = arrow_schema(schema), pairs.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, xs), (y, ys) = (_unpacked(batch.column(f"sketch_{c}").to_pylist()) for c in "ab")
             listed = (x == y).sum(axis=1)
-            matches = listed + (xs == ys).sum(axis=1)
-            rows = pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(matches.astype(np.int64))], schema=to)
-            yield rows.filter(pa.array((listed >= MATCHES) & (matches >= least)))
+            keep = (listed >= MATCHES) & (listed + (xs == ys).sum(axis=1) >= CHECKED_MATCHES)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select(*names, "sketch_a", "sketch_b").mapInArrow(count, schema)
+    return bounded(both.select("a", "b", "sketch_a", "sketch_b")).mapInArrow(count, "a long, b long")
 
 
-def _across(pdf: pd.DataFrame, least: int, forest: bool) -> pd.DataFrame:
-    """Pairs of one tile that agree in `least` coordinates and lie in different components.
+def _across(tile: dict[str, np.ndarray], least: int, forest: bool) -> np.ndarray:
+    """(matches, a, b, component of a, of b) of the pairs of one tile that agree in `least` coordinates and lie in different components.
 
     With `forest` only those that join components which the pairs with more agreement have not joined.
     """
-    at, one = int(pdf["coordinate"].iloc[0]), pdf["i"].iloc[0] == pdf["j"].iloc[0]  # one: a tile of a block with itself
-    rows = pdf if one else pdf[pdf["side"] == 0]
-    cols = pdf if one else pdf[pdf["side"] == 1]
-    (s, s_bytes), (t, t_bytes) = (_unpacked(x["sketch"].tolist()) for x in (rows, cols))
-    ra, rb = rows["rep"].to_numpy(), cols["rep"].to_numpy()
-    ca, cb = rows["component"].to_numpy(), cols["component"].to_numpy()
-    na, nb = rows["n_shingles"].to_numpy(), cols["n_shingles"].to_numpy()
-    posted_a, posted_b = ((x["posted"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 > 0 for x in (rows, cols))
-    found = []
-    for k in range(len(rows)):
-        sized = 100 * np.minimum(na[k], nb) >= SIMILAR * np.maximum(na[k], nb)
-        other = np.flatnonzero((cb != ca[k]) & sized & ((rb > ra[k]) if one else True))
-        if len(other):
-            agree = t[other] == s[k]
-            listed = agree.sum(axis=1)
-            mine = (listed >= MATCHES) & ((agree & posted_a[k] & posted_b[other]).argmax(axis=1) == at)  # the first list that has both
-            other, listed = other[mine], listed[mine]
-            matches = listed + (t_bytes[other] == s_bytes[k]).sum(axis=1)
-            other, matches = other[matches >= least], matches[matches >= least]
-            found.append(np.stack([matches, np.full(len(other), ra[k]), rb[other], np.full(len(other), ca[k]), cb[other]], axis=1))
-    all_pairs = np.concatenate(found) if found else np.empty((0, 5), dtype=np.int64)
-    if forest:
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept = []
-        for pair in all_pairs[np.argsort(-all_pairs[:, 0], kind="stable")].tolist():
-            x, y = top(pair[3]), top(pair[4])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append(pair)
-        all_pairs = np.array(kept, dtype=np.int64).reshape(-1, 5)
-    m, a, b, x, y = all_pairs.T
+    at = int(tile["slot"][0]) & _PLACE
+    rep, of, size, bits, listed, others = (tile[c] for c in ("rep", "component", "n_shingles", "posted", "listed", "others"))
+    rows, cols, one = tile_sides(tile)
+    if one:  # those outside the tile's largest component against all
+        known, often = np.unique(of, return_counts=True)
+        main = known[often.argmax()]
+        rows = np.flatnonzero(of != main)
+    found = [np.empty((0, 5), dtype=np.int64)]
+    step = max(1, BLOCK // max(1, len(cols)))
+    for lo in range(0, len(rows) if len(cols) else 0, step):
+        some = rows[lo : lo + step]
+        a, b = np.repeat(some, len(cols)), np.tile(cols, len(some))
+        ok = (of[a] != of[b]) & (100 * np.minimum(size[a], size[b]) >= SIMILAR * np.maximum(size[a], size[b]))
+        if one:
+            ok &= (of[b] == main) | (rep[a] < rep[b])
+        if "part" in tile:  # a piece of a larger tile, which has sides of its own
+            ok &= tile["whole"][a] | (tile["part"][a] != tile["part"][b])
+        a, b = a[ok], b[ok]
+        agree = listed[a] == listed[b]
+        matches = agree.sum(axis=1)
+        both = (bits[a] & bits[b])[:, None] >> np.arange(COORDINATES) & 1 > 0
+        ok = (matches >= MATCHES) & ((agree & both).argmax(axis=1) == at)  # the first list that has both
+        a, b, matches = a[ok], b[ok], matches[ok]
+        matches = matches + (others[a] == others[b]).sum(axis=1)
+        ok = matches >= least
+        a, b = a[ok], b[ok]
+        found.append(np.stack([matches[ok], rep[a], rep[b], of[a], of[b]], axis=1))
+    pairs = np.concatenate(found)
+    if forest and len(pairs):
+        joined, order = Union(), np.argsort(-pairs[:, 0], kind="stable")
+        pairs = pairs[[k for k in order.tolist() if joined.joins(int(pairs[k, 3]), int(pairs[k, 4]))]]
+    return pairs
+
+
+TILED = ["slot", "i", "j", "side", "rep", "component", "n_shingles", "posted"]
+
+
+def _read(pdf: pd.DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+    columns = {c: pdf[c].to_numpy() for c in names}
+    columns["listed"], columns["others"] = _unpacked(pdf["sketch"].tolist())
+    return columns
+
+
+def _likeliest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Likely pairs of all tiles of a step, as many as join components there."""
+    m, a, b, x, y = np.concatenate([_across(tile, LIKELY, True) for tile in tiles_of(_read(pdf, TILED), ["slot"])]).T
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": m, "x": np.minimum(x, y), "y": np.maximum(x, y)})
 
 
-def unresolved(postings: DataFrame, parts: DataFrame, reps: DataFrame, least: int, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components within the lists that hold several; with `forest` one for two components."""
-    placed = postings.join(parts, "rep")
-    key = ["coordinate", "value"]
-    sizes = placed.groupBy(*key, "component").agg(F.count("*").alias("size"))
-    largest = F.max(F.struct("size", "component"))
-    mixed = sizes.groupBy(*key).agg(F.sum("size").alias("n"), largest.alias("top")).where(F.col("n") > F.col("top.size"))
-    mixed = stash(mixed.select(*key, "n", F.col("top.component").alias("main"), F.col("top.size").alias("n_main")))
-    members = stash(placed.join(mixed, key))
-    # Short lists give their pairs, SHORT_LIST / 2 to a member at most.
-    short = members.where(F.col("n") <= SHORT_LIST)
-    other = short.select(*key, F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    few = short.join(other, key).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b")))
-    few = few.select(F.col("rep").alias("a"), "b", F.least("component", "of_b").alias("x"), F.greatest("component", "of_b").alias("y")).distinct()
-    members = members.where(F.col("n") > SHORT_LIST)
-    # Blocks of about TILE members by hash: first those outside a list's largest component, then those of it. A
-    # tile is two blocks, or one with itself, but never two of the largest component.
-    outside = F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int")
-    inside = F.ceil(F.col("n_main") / TILE).cast("int")
-    of_main = F.col("component") == F.col("main")
-    dealt = F.xxhash64("rep")
-    block = F.when(of_main, F.col("outside") + F.pmod(dealt, "inside")).otherwise(F.pmod(dealt, "outside")).cast("int")
-    others = F.sequence(F.lit(0), F.when(of_main, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
-    members = members.withColumn("outside", outside).withColumn("inside", inside).withColumn("block", block)
-    tiles = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
-    rows = members.withColumn("tile", F.explode(tiles)).select(*key, "rep", "component", "posted", "tile.i", "tile.j", "tile.side")
-    signed = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    many = signed.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _across(pdf, least, forest), "a long, b long, matches long, x long, y long")
-    found = agreeing(few, reps, least).select("a", "b", "matches", "x", "y").union(many)
-    if forest:
-        return found.groupBy("x", "y").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
-    return found.select("a", "b").distinct()
+def _involved(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of each tile of a step that are in a candidate pair there."""
+    found = []
+    for tile in tiles_of(_read(pdf, TILED), ["slot"]):
+        pairs = _across(tile, CHECKED_MATCHES, False)
+        here = np.isin(tile["rep"], pairs[:, 1:3])
+        found.append(pd.DataFrame({c: tile[c][here] for c in TILED}))
+    return pd.concat(found)
+
+
+def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect whatever the candidate pairs of each tile connect, by their full shingle sets."""
+    columns = _read(pdf, [*TILED, "tile", "whole", "part"])
+    batch = pa.record_batch([pa.array(pdf["text"], pa.large_string())], ["text"])
+    sets = []
+    for part in slices(batch, "text"):
+        h, starts = shingles(part.column(0))
+        sets += [h[starts[k] : starts[k + 1]] for k in range(part.num_rows)]
+    columns["row"] = np.arange(len(pdf))
+    out = [np.empty((0, 2), dtype=np.int64)]
+    for tile in tiles_of(columns, ["slot", "tile"]):
+        row, joined = dict(zip(tile["rep"].tolist(), tile["row"].tolist(), strict=True)), Union()
+        pairs = _across(tile, CHECKED_MATCHES, False)
+        for _, a, b, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            if joined.top(x) != joined.top(y) and alike(sets[row[a]], sets[row[b]]):
+                joined.joins(x, y)
+                out.append(np.array([[min(a, b), max(a, b)]]))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def tiled(listed: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Tiles of the lists that hold several components, dealt to steps: TILED, sketch and step."""
+    placed = listed.select("rep", "slot", "posted").join(parts, "rep")
+    sizes = placed.groupBy("slot", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("slot").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top")).where(F.col("n") > F.col("top.size"))
+    mixed = stash(mixed.select("slot", "n", F.col("top.component").alias("main"), F.col("top.size").alias("n_main")))
+    members = placed.join(mixed, "slot")
+    rows = stash(tile_rows(members, ["slot", "rep", "component", "posted"], F.col("n"), F.col("n_main"), F.col("component") == F.col("main"), TILE))
+    discard(mixed)
+    return in_steps(rows, ["slot"], rows.count() // STEP_ROWS).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+
+
+def likely_pairs(listed: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of different components, one for two components at most."""
+    found = tiled(listed, parts, reps).groupBy("step").applyInPandas(_likeliest, "a long, b long, matches long, x long, y long")
+    return found.groupBy("x", "y").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def remaining_links(listed: DataFrame, parts: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components which any candidate pair links."""
+    kinds = "slot long, i int, j int, side int, rep long, component long, n_shingles long, posted long"
+    found = stash(tiled(listed, parts, reps).groupBy("step").applyInPandas(_involved, kinds))
+    sized = found.join(texts.select("rep", F.octet_length("text").alias("bytes")), "rep")
+    sized = sized.select("slot", F.xxhash64("slot", "i", "j").alias("tile"), (F.col("i") == F.col("j")).alias("whole"), F.col("side").alias("part"), "rep", "component", "n_shingles", "posted", "bytes")
+    key = ["slot", "tile"]
+    totals = sized.groupBy(*key).agg(F.sum("bytes").alias("all_bytes"))
+    kept = [*key, "whole", "part", "rep", "component", "n_shingles", "posted"]
+    rows = stash(tile_rows(sized.join(totals, key), [*kept, "bytes"], F.col("all_bytes"), F.lit(0), F.lit(False), STEP_BYTES))
+    steps = (rows.agg(F.sum("bytes")).first()[0] or 0) // STEP_BYTES
+    full = in_steps(rows.drop("bytes"), key, steps).join(reps.select("rep", "sketch"), "rep").join(texts, "rep")
+    links = stash(full.groupBy("step").applyInPandas(_confirmed, "a long, b long"))
+    discard(found, rows)
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,35 +361,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     signed = stash(sign(docs, "doc", "text"))
     same = ["n_shingles", "low", "high"]
     classes = stash(signed.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*same).agg(F.min("doc").alias("rep")))
-    placed = stash(signed.join(classes, same, "left").select("doc", "n_shingles", *[F.when(F.col("doc") == F.col("rep"), F.col(c)).alias(c) for c in ("signature", "sketch")], F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
-    reps = stash(placed.where((F.col("doc") == F.col("rep")) & (F.col("n_shingles") > 0)).select("rep", "n_shingles", "signature", "sketch").dropDuplicates(["rep"]))
-    postings = stash(prefixes(reps))
-
-    # A list's centre is the member that shares its values with most documents, which in a group of edited
-    # copies is the one they stem from. It is tried with all others; a document keeps its three best.
-    shared = postings.groupBy("rep").agg(F.sum("count").alias("shared"))
-    rank = F.col("shared") * F.lit(1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
-    centres = stash(postings.join(stash(shared.select("rep", rank.alias("rank"))), "rep").groupBy("coordinate", "value").agg(F.max_by("rep", "rank").alias("centre")))
-    tried = postings.join(centres, ["coordinate", "value"]).where(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    best = Window.partitionBy("a").orderBy(F.desc("matches"), "b")  # one row for each coordinate at most
-    first = agreeing(tried, reps).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 3)
-    texts = docs.select(F.col("doc").alias("rep"), "text")
+    placed = stash(signed.select("doc", *same).join(classes, same, "left").select("doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
+    own = classes.select(F.col("rep").alias("doc"), *same)
+    reps = stash(signed.join(own, ["doc", *same], "left_semi").select(F.col("doc").alias("rep"), "n_shingles", "slots", "sketch").dropDuplicates(["rep"]))
+    discard(signed, classes)
+    listed = lists(reps)
+    texts = stash(docs.join(listed.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("rep"), "text").dropDuplicates(["rep"]))
+
+    # Each document is tried with the one that is the centre of most of its lists.
+    hits = listed.where(F.col("rep") != F.col("centre")).groupBy("rep", "centre").agg(F.count("*").alias("hits"))
+    tried = hits.groupBy("rep").agg(F.max_by("centre", F.struct("hits", "centre")).alias("centre"))
+    first = agreeing(tried.select(F.col("rep").alias("a"), F.col("centre").alias("b")), reps)
     pairs = stash(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stash(similar(pairs, texts))
 
     # Whatever candidates are still apart: first likely ones, then all.
-    parts = stash(_labelled(reps, links))
-    for least, forest in ((LIKELY, True), (CHECKED_MATCHES, False)):
-        more = stash(unresolved(postings, parts, reps, least, forest).join(pairs, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            pairs = stash(pairs.union(more))
-            links = stash(links.union(similar(more, texts)))
-            parts = stash(_labelled(reps, links))
+    parts = stash(labelled(reps, links))
+    likely = stash(likely_pairs(listed, parts, reps).join(pairs, ["a", "b"], "left_anti"))
+    discard(pairs)
+    for more in (lambda: similar(likely, texts), lambda: remaining_links(listed, parts, reps, texts)):
+        old = (links, parts)
+        links = stash(links.union(more()))
+        parts = stash(labelled(reps, links))
+        discard(*old)
+    discard(reps, listed, texts, likely, links)
     out = placed.join(parts, "rep", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, component) of all documents, linked or not."""
-    found = connected_components(links)
-    return reps.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
