@@ -25,6 +25,11 @@ def format_table(spark: SparkSession, writable: tuple[str, ...] = WRITABLE) -> D
     return spark.createDataFrame(rows, "format string, display_name string, file_extension string, is_lossless boolean, supports_quality boolean, can_encode boolean")
 
 
+def lossy_choices(spark: SparkSession, writable: tuple[str, ...] = WRITABLE) -> DataFrame:
+    """The formats with a quality that can be written here."""
+    return format_table(spark, writable).where(F.col("can_encode") & ~F.col("is_lossless"))
+
+
 def _pick(fmt: Column, field: int) -> Column:
     pairs = [F.lit(x) for row in FORMATS for x in (row[0], row[field])]
     return F.element_at(F.create_map(*pairs), fmt)
@@ -47,6 +52,11 @@ def is_readable(extension: Column) -> Column:
     return F.coalesce(F.lower(extension).isin(*READABLE), F.lit(False))
 
 
+def document_error(extension: Column) -> Column:
+    """Null for the extension of a document that can be unlocked, in any case; else the code of its error."""
+    return F.when(F.coalesce(F.lower(extension) == "pdf", F.lit(False)), F.lit(None).cast("string")).otherwise("unsupportedInput")
+
+
 def magic_format(content: Column) -> Column:
     """The format that a file's first bytes tell; null if none of ours."""
     head = F.hex(F.substring(content, 1, 12))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.texts import counted, summary
@@ -21,12 +22,12 @@ class JobError(Exception):
         self.code = code
 
 
-def run_jobs(df: DataFrame, job: Callable[[pd.Series], tuple[str | None, str | None]], width: int | None = None, path: str = "path") -> DataFrame:
+def run_jobs(df: DataFrame, job: Callable[[pd.Series], tuple[str | None, str | None]], width: int | None = None, path: str = "path", step: Accumulator | None = None) -> DataFrame:
     """One outcome for each row of df (idx, path, ...): job(row) gives (output, detail) or raises.
 
     A row's exception becomes its failure; the batch goes on. `width` is the number of partitions that the
     rows are spread over, many more than there are cores, so that slow rows do not hold up others. An empty
-    batch has no outcomes; rows with the same path are jobs of their own.
+    batch has no outcomes; rows with the same path are jobs of their own. `step` (of a Progress) counts the rows.
     """
     if width is not None and width < 1:
         raise ValueError("width must be at least 1")
@@ -42,11 +43,32 @@ def run_jobs(df: DataFrame, job: Callable[[pd.Series], tuple[str | None, str | N
                     out.append((row["idx"], row[path], None, None, str(e), e.code))
                 except Exception as e:  # whatever a job raises is that row's failure
                     out.append((row["idx"], row[path], None, None, str(e), "unexpected"))
+            if step is not None:
+                step.add(len(out))
             yield pd.DataFrame(out, columns=["idx", "input", "output", "detail", "failure", "error_code"])
 
     return (df.repartition(width) if width else df).mapInPandas(run, OUTCOME)
 
 
+class Progress:
+    """How many rows of a running batch are done, for whoever watches it on the driver; pass `step` to run_jobs.
+
+    Counts come in as tasks end. Rows of a task that had to run again count once more, so `done` is a
+    progress to show and nothing to compute with.
+    """
+
+    def __init__(self, spark: SparkSession, total: int) -> None:
+        self.total, self._count = total, spark.sparkContext.accumulator(0)
+
+    @property
+    def step(self) -> Accumulator:
+        return self._count
+
+    @property
+    def done(self) -> int:
+        return min(self.total, self._count.value)
+
+
 def succeeded(failure: Column) -> Column:
     return failure.isNull()
 

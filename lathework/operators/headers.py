@@ -2,39 +2,136 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: width and height are null where the header is not whole. undeclared: the file is an image of a kind whose size is known
+#: only once it is decoded. more: the size lies beyond the bytes that were given.
+SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("undeclared", T.BooleanType()), T.StructField("more", T.BooleanType())])
+#: Bytes of a file that are looked at first; the whole file goes to Python only where its size lies further on.
+HEAD = 1 << 16
+
+_Found = tuple[int | None, int | None, bool, bool]
+_NOTHING: _Found = (None, None, False, False)
+_MORE: _Found = (None, None, False, True)
+
+
+def _found(width: int, height: int) -> _Found:
+    return (width, height, False, False) if 0 < width < 1 << 31 and 0 < height < 1 << 31 else _NOTHING
 
-SIZE = "width int, height int"
-
-
-def image_size(head: bytes | None) -> tuple[int | None, int | None]:
-    """Width and height of a PNG, GIF, BMP or JPEG file's first frame; nulls where the header is not whole."""
-    head = head or b""
-    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
-        return int.from_bytes(head[16:20]), int.from_bytes(head[20:24])
-    if head[:4] == b"GIF8" and len(head) >= 10:
-        return int.from_bytes(head[6:8], "little"), int.from_bytes(head[8:10], "little")
-    if head[:2] == b"BM" and len(head) >= 26:
-        return int.from_bytes(head[18:22], "little", signed=True), abs(int.from_bytes(head[22:26], "little", signed=True))
-    at = 2 if head[:2] == b"\xff\xd8" else len(head)
-    while at + 9 <= len(head) and head[at] == 0xFF:
-        kind = head[at + 1]
+
+def _jpeg(data: bytes) -> _Found:
+    at = 2
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
         if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
-            return int.from_bytes(head[at + 7 : at + 9]), int.from_bytes(head[at + 5 : at + 7])
+            return _found(int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7]))
         if kind == 0xFF or 0xD0 <= kind <= 0xD8 or kind == 1:  # filling and markers without a body
             at += 1 if kind == 0xFF else 2
         else:
-            at += 2 + int.from_bytes(head[at + 2 : at + 4])
-    return None, None
+            at += 2 + int.from_bytes(data[at + 2 : at + 4])
+    return _MORE if at + 9 > len(data) else _NOTHING
 
 
-def declared_size(content: Column) -> Column:
-    """struct<width, height> of each file's content."""
+def _tiff(data: bytes) -> _Found:
+    """The first directory's width and height, which are numbers of 16 or 32 bits."""
+    end = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(end + "I", data, 4)[0] if len(data) >= 8 else 0
+    if at + 2 > len(data):
+        return _MORE
+    entries = struct.unpack_from(end + "H", data, at)[0]
+    if at + 2 + 12 * entries > len(data):
+        return _MORE
+    size = {}
+    for k in range(entries):
+        tag, kind, count = struct.unpack_from(end + "HHI", data, at + 2 + 12 * k)
+        if tag in (256, 257) and count == 1 and kind in (3, 4):
+            size[tag] = struct.unpack_from(end + ("H" if kind == 3 else "I"), data, at + 10 + 12 * k)[0]
+    return _found(size[256], size[257]) if len(size) == 2 else _NOTHING
+
+
+def _webp(data: bytes) -> _Found:
+    kind = data[12:16]
+    if kind == b"VP8X" and len(data) >= 30:
+        return _found(1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little"))
+    if kind == b"VP8L" and len(data) >= 25 and data[20] == 0x2F:
+        bits = int.from_bytes(data[21:25], "little")
+        return _found(1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF))
+    if kind == b"VP8 " and len(data) >= 30 and data[23:26] == b"\x9d\x01\x2a":
+        return _found(int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF)
+    return _NOTHING
+
 
-    @F.pandas_udf(SIZE)
-    def read(heads: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([image_size(h) for h in heads], columns=["width", "height"]).astype("Int32")
+def _boxes(data: bytes, at: int, end: int) -> list[tuple[bytes, int, int]]:
+    """Kind, start and end of the content of each box; one that is not whole is the last."""
+    out = []
+    while at + 8 <= end:
+        size, kind, head = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8], 8
+        if size == 1 and at + 16 <= end:
+            size, head = int.from_bytes(data[at + 8 : at + 16]), 16
+        if size == 0:
+            size = end - at
+        if size < head:
+            break
+        out.append((kind, at + head, at + size))
+        at += size
+    return out
 
-    return read(content)
+
+def _heif(data: bytes) -> _Found:
+    """The largest image of a HEIC or AVIF file; tiles and thumbnails have sizes of their own."""
+    for kind, start, end in _boxes(data, 0, len(data)):
+        if kind != b"meta":
+            continue
+        if end > len(data):
+            return _MORE
+        sizes = []
+        for part, a, b in _boxes(data, start + 4, end):
+            for inner, c, d in _boxes(data, a, b) if part == b"iprp" else []:
+                sizes += [struct.unpack_from(">II", data, x + 4) for name, x, y in _boxes(data, c, d) if name == b"ispe" and y - x >= 12] if inner == b"ipco" else []
+        return _found(*max(sizes, key=lambda s: s[0] * s[1])) if sizes else _NOTHING
+    return _MORE if _boxes(data, 0, len(data))[-1:] else _NOTHING
+
+
+def image_header(data: bytes | None) -> _Found:
+    """What the first bytes of a file declare: width, height, undeclared, more."""
+    data = data or b""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return _found(int.from_bytes(data[16:20]), int.from_bytes(data[20:24]))
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return _found(int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"))
+    if data[:2] == b"BM" and len(data) >= 26:
+        return _found(int.from_bytes(data[18:22], "little", signed=True), abs(int.from_bytes(data[22:26], "little", signed=True)))
+    if data[:2] == b"\xff\xd8":
+        return _jpeg(data)
+    if data[:4] in (b"II*\0", b"MM\0*", b"IIRO", b"IIRS", b"MMOR"):
+        return _tiff(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _webp(data)
+    if data[4:8] == b"ftyp":
+        return _heif(data)
+    if data[:15] == b"FUJIFILMCCD-RAW":
+        return None, None, True, False
+    return _NOTHING
+
+
+def image_size(data: bytes | None) -> tuple[int | None, int | None]:
+    """Width and height that a whole file declares; nulls where it does not."""
+    return image_header(data)[:2]
+
+
+@F.pandas_udf(SIZE)
+def _read(heads: pd.Series) -> pd.DataFrame:
+    found = pd.DataFrame([image_header(h) for h in heads], columns=["width", "height", "undeclared", "more"])
+    return found.astype({"width": "Int32", "height": "Int32", "undeclared": "bool", "more": "bool"})
+
+
+def declared_size(content: Column) -> Column:
+    """struct<width, height, undeclared> of each file's content, of which HEAD bytes go to Python unless the size lies beyond."""
+    first = _read(F.substring(content, 1, HEAD))
+    whole = _read(F.when(first["more"] & (F.octet_length(content) > HEAD), content))
+    return F.struct(*[F.coalesce(first[c], whole[c]).alias(c) for c in ("width", "height")], (first["undeclared"] | whole["undeclared"]).alias("undeclared"))

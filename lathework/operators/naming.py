@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.paths import parent
+from ..sources.stash import stash
 
 #: A base has itself and so many numbered names; rows beyond that fail.
 MOST = 9999
+#: Groups of names that can meet are dealt to so many steps.
+STEPS = 4096
 
 
 def output_folder(path: Column, folder: str | None = None) -> Column:
@@ -47,32 +50,61 @@ def assign_names(df: DataFrame, folder: str = "out_dir", base: str = "base", ext
     their folder and extension. existing: (folder, base, extension) of files that are there already.
     Nulls in the three columns count as empty.
 
-    Names can only meet if they agree up to their trailing numbers, so those are the groups, and a group
-    without a repeated or existing base needs no numbering at all. In a group no base has more than
-    MOST + 1 rows that can get a name; those are found by a ranked limit that works before the shuffle, so
-    a name that a third of all rows share does not come to one task.
+    A row can only lose its name to a repeated or existing base from which numbers lead to it over bases that
+    are there: with two rows `scan`, one of them may take `scan-1`, which pushes a row `scan-1` on to
+    `scan-1-1`, but not `scan-7-1` unless there is a base `scan-7`, nor a number beyond MOST. Rows that no such
+    base leads to keep their names, and a repeated base that leads to no other numbers its rows by rank; both
+    are plain columns. Only the rest is numbered one after the other, a group for each base that others are
+    reached from; many groups make a step of a task. No base has more than MOST + 1 rows that can get a name;
+    those are found by a ranked limit that works before the shuffle, so a name that a third of all rows share
+    does not come to one task.
     """
     where = [F.coalesce(F.col(c), F.lit("")) for c in (folder, base, extension)]
-    rows = df.select(F.col(order).alias("_idx"), *[w.alias(n) for w, n in zip(where, ("_dir", "_base", "_ext"), strict=True)])
+    # Read several times below, and narrow: written once, so that what df is made of is not made again each time.
+    rows = stash(df.select(F.col(order).alias("_idx"), *[w.alias(n) for w, n in zip(where, ("_dir", "_base", "_ext"), strict=True)]))
     key = ["_dir", "_base", "_ext"]
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("_idx"))
-    able = rows.withColumn("_rank", rank).where(F.col("_rank") <= MOST + 1).drop("_rank").withColumn("_there", F.lit(False))
+    able = rows.withColumn("_rank", rank).where(F.col("_rank") <= MOST + 1).withColumn("_there", F.lit(False))
     if existing is not None:
         there = existing.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip((folder, base, extension), key, strict=True)]).distinct()
-        able = able.unionByName(there.select(F.lit(None).cast(df.schema[order].dataType).alias("_idx"), *key, F.lit(True).alias("_there")))
-    able = able.withColumn("_root", F.regexp_replace("_base", r"(-[0-9]+)+$", ""))
+        able = able.unionByName(there.select(F.lit(None).cast(df.schema[order].dataType).alias("_idx"), *key, F.lit(0).alias("_rank"), F.lit(True).alias("_there")))
+
+    # The bases a number further up each time, as long as they are there; the topmost crowded one of them is the root.
+    bases = able.groupBy(*key).agg(F.count("*").alias("_n"), F.max("_there").alias("_taken"))
+    tail = F.regexp_extract("_base", r"((?:-[1-9][0-9]{0,3})+)$", 1)
+    numbers = F.split(F.substr(tail, F.lit(2)), "-")
+    stem = F.expr("left(_base, length(_base) - length(_tail))")
+    chained = bases.withColumn("_tail", tail).withColumn("_stem", stem).withColumn("_numbers", F.when(tail != "", numbers))
+    up = F.transform(F.sequence(F.lit(1), F.size("_numbers")), lambda k: F.struct(k.alias("k"), F.array_join(F.concat(F.array("_stem"), F.slice("_numbers", F.lit(1), F.size("_numbers") - k)), "-").alias("base")))
+    above = chained.where(F.col("_numbers").isNotNull()).select(*key, F.explode(up).alias("_up")).select(*key, "_up.*")
+    known = bases.select("_dir", F.col("_base").alias("base"), "_ext", F.col("_n").alias("n"))
+    chains = above.join(known, ["_dir", "base", "_ext"], "left").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "base", F.coalesce("n", F.lit(0)).alias("n")))).alias("_chain"))  # one entry for each number in a name
+
+    def climb(at: Column, x: Column) -> Column:
+        going = at["going"] & (x["n"] > 0)
+        return F.struct(going.alias("going"), F.when(going & (x["n"] > 1), x["base"]).otherwise(at["root"]).alias("root"))
+
+    top = F.aggregate("_chain", F.struct(F.lit(True).alias("going"), F.lit(None).cast("string").alias("root")), climb)["root"]
+    roots = bases.join(chains, key, "left").select(*key, "_n", "_taken", F.coalesce(top, F.when(F.col("_n") > 1, F.col("_base"))).alias("_root"))
     group = ["_dir", "_root", "_ext"]
-    met = able.groupBy(*group, "_base").count().groupBy(*group).agg(F.max("count").alias("_most"))
-    busy = able.join(met.where(F.col("_most") > 1).drop("_most"), group, "left_semi")
-    free = able.join(met.where(F.col("_most") == 1).drop("_most"), group, "left_semi").where(~F.col("_there"))
+    crowds = roots.where(F.col("_root").isNotNull()).groupBy(*group).agg(F.count("*").alias("_bases"))
+    placed = stash(able.join(roots, key).join(crowds, group, "left"))
+
+    index = F.col("_rank") - 1 + F.col("_taken").cast("int")
+    numbered = F.when(index == 0, F.col("_base")).when(index <= MOST, F.concat_ws("-", "_base", index.cast("string")))
+    alone = placed.where(~F.col("_there") & (F.coalesce("_bases", F.lit(1)) == 1)).select("_idx", F.when(F.col("_root").isNull(), F.col("_base")).otherwise(numbered).alias("_name"))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_there", "_idx"], ascending=[False, True])
-        pdf["_name"] = list(_greedy(zip(pdf["_base"], pdf["_there"], strict=True)))
-        return pdf.loc[~pdf["_there"], ["_idx", "_name"]]
+        out = []
+        for _, rows in pdf.groupby(group, sort=False):
+            rows = rows.sort_values(["_there", "_idx"], ascending=[False, True])
+            rows["_name"] = list(_greedy(zip(rows["_base"], rows["_there"], strict=True)))
+            out.append(rows.loc[~rows["_there"], ["_idx", "_name"]])
+        return pd.concat(out)
 
-    named = busy.groupBy(*group).applyInPandas(number, f"_idx {df.schema[order].dataType.simpleString()}, _name string")
-    named = named.unionByName(free.select("_idx", F.col("_base").alias("_name")))
+    busy = placed.where(F.col("_bases") > 1).select("_idx", *key, "_root", "_there", F.pmod(F.xxhash64(*group), F.lit(STEPS)).alias("_step"))
+    named = busy.groupBy("_step").applyInPandas(number, f"_idx {df.schema[order].dataType.simpleString()}, _name string")
+    named = named.unionByName(alone)
     out = df.join(named, df[order] == F.col("_idx"), "left")
     full = F.concat(F.col("_name"), F.when(where[2] != "", F.concat(F.lit("."), where[2])).otherwise(""))
     return out.withColumn("out_name", full).drop("_idx", "_name")

@@ -19,27 +19,33 @@ def latest_tag(tags: DataFrame, tag: str = "tag") -> DataFrame:
 
 
 def bump_kind(labels: Column, bump: Column) -> Column:
-    """major, minor or patch: labels (space-separated words, with or without `release:`) beat bump, major beats minor."""
-    words = F.split(F.coalesce(labels, F.lit("")), r"\s+")
-    has = {k: F.arrays_overlap(words, F.array(F.lit(k), F.lit(f"release:{k}"))) for k in ("major", "minor", "patch")}
-    return F.when(has["major"], "major").when(has["minor"], "minor").when(has["patch"], "patch").otherwise(F.coalesce(bump, F.lit("patch")))
+    """The bump asked for (patch if null or empty), unless a label says major or minor; of both labels major wins.
+
+    Labels are words between single spaces, with or without `release:` before them. Any other label, patch
+    included, changes nothing.
+    """
+    words = F.split(F.coalesce(labels, F.lit("")), " ")
+    has = {k: F.arrays_overlap(words, F.array(F.lit(k), F.lit(f"release:{k}"))) for k in ("major", "minor")}
+    return F.when(has["major"], "major").when(has["minor"], "minor").otherwise(F.coalesce(F.when(bump != "", bump), F.lit("patch")))
 
 
-def next_version(latest: Column, labels: Column, bump: Column, explicit: Column) -> Column:
-    """struct<version, error>: the version after `latest` (X.Y.Z with or without v; null: none yet).
+def with_next_version(df: DataFrame, latest: Column, labels: Column, bump: Column, explicit: Column) -> DataFrame:
+    """Adds `version` and `error`: the version after `latest` (X.Y.Z with or without v; null or empty: none yet).
 
     A well-formed explicit version is returned as it is, any other one is an error. Without a tag the
-    first version is 1.0.0. A latest version of another form, or an unknown bump, is an error.
+    first version is 1.0.0, whatever the bump. A latest version of another form, or an unknown bump, is an error.
     """
-    given = F.when(explicit != "", explicit)
-    last = F.when(latest != "", F.regexp_replace(latest, "^v", ""))
-    parts = F.when(last.rlike(VERSION), version_parts(last))
-    x, y, z = (F.get(parts, k) for k in range(3))
-    kind = bump_kind(labels, bump)
-    bumped = F.when(kind == "major", F.concat_ws(".", x + 1, F.lit(0), F.lit(0))).when(kind == "minor", F.concat_ws(".", x, y + 1, F.lit(0))).when(kind == "patch", F.concat_ws(".", x, y, z + 1))
-    version = F.when(given.isNotNull(), F.when(given.rlike(VERSION), given)).when(last.isNull(), "1.0.0").when(parts.isNotNull(), bumped)
-    error = F.when(given.isNotNull() & ~given.rlike(VERSION), "bad version").when(given.isNotNull() | last.isNull(), None).when(parts.isNull(), "bad latest tag").when(bumped.isNull(), "bad bump")
-    return F.struct(version.alias("version"), error.cast("string").alias("error"))
+    last = F.coalesce(F.regexp_replace(latest, "^v", ""), F.lit(""))
+    rows = df.withColumns({"_given": F.coalesce(explicit, F.lit("")), "_last": last, "_kind": bump_kind(labels, bump)})
+    part = {k: F.when(F.col("_last").rlike(VERSION), F.split_part("_last", F.lit("."), F.lit(n))).cast("long") for n, k in enumerate("xyz", 1)}
+    rows = rows.withColumns({f"_{k}": c for k, c in part.items()})
+    x, y, z = (F.col(f"_{k}") for k in "xyz")
+    kind = F.col("_kind")
+    bumped = F.when(kind == "major", F.concat((x + 1).cast("string"), F.lit(".0.0"))).when(kind == "minor", F.concat_ws(".", x, y + 1, F.lit("0"))).when(kind == "patch", F.concat_ws(".", x, y, z + 1))
+    given, sound = F.col("_given"), F.col("_given").rlike(VERSION)
+    version = F.when(given != "", F.when(sound, given)).when(F.col("_last") == "", "1.0.0").when(x.isNotNull(), bumped)
+    error = F.when((given != "") & ~sound, "bad version").when((given != "") | (F.col("_last") == ""), None).when(x.isNull(), "bad latest tag").when(~kind.isin("major", "minor", "patch"), "bad bump")
+    return rows.withColumns({"version": version, "error": error.cast("string")}).drop("_given", "_last", "_kind", "_x", "_y", "_z")
 
 
 def previous_version(latest: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import WRITABLE, clamped_quality, display_name, file_extension, inferred_format, is_readable, magic_format
@@ -14,6 +14,7 @@ from ..functions.sizes import keeps_original
 from ..functions.texts import compress_detail, convert_detail, error_message, resize_detail
 from ..operators.headers import declared_size
 from ..operators.naming import assign_names, output_folder
+from ..sources.stash import stash
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,10 @@ class Options:
     writable: tuple[str, ...] = WRITABLE
 
 
+#: The metadata that a rewritten file keeps. Orientation is not among it, as it goes into the pixels.
+METADATA_KEPT = ("exif", "tiff", "iptc", "gps", "dpiWidth", "dpiHeight")
+#: The tools with their titles and categories.
+TOOLS = (("pdf-unlock", "Remove PDF Password", "PDF"), ("heic-convert", "Convert Image Format", "Images"), ("compress", "Compress Images", "Images"), ("resize", "Resize Images", "Images"))
 #: The settings that define the tools.
 CONVERT = Options(quality=0.9)
 COMPRESS_LOSSLESS = Options(quality=1.0, strip_metadata=True, suffix="-compressed", guard=True)
@@ -43,22 +48,37 @@ def resize_options(rule: Resize, allow_upscale: bool = False) -> Options:
     return replace(RESIZE, resize=rule, allow_upscale=allow_upscale or rule.kind == "exact")
 
 
+def carried_metadata(metadata: Column, strip: Column) -> Column:
+    """What of a metadata map goes into the new file: the kept keys, or nothing if it is to be stripped."""
+    kept = F.map_filter(metadata, lambda key, value: key.isin(*METADATA_KEPT) & value.isNotNull() & ~strip)
+    return F.coalesce(kept, F.create_map().cast("map<string,string>"))
+
+
+def tools_in(spark: SparkSession, category: str) -> DataFrame:
+    """The tools of a category, in their order."""
+    return spark.createDataFrame(TOOLS, "id string, title string, category string").where(F.col("category") == category)
+
+
 def plan_images(files: DataFrame, options: Options, existing: DataFrame | None = None) -> DataFrame:
     """One row for each file (idx, path, length, content): format, quality, sizes, output name, or why it fails.
 
     Checks come in the order extension, header, output format, name; the first that fails gives
     error_code and failure. Names are given in the plan, before anything is written, so that two files of a
-    batch never get the same one. The content is read for the header only and not carried along.
+    batch never get the same one. The content is read for the header only and not carried along. A file
+    of a kind that declares no size is planned without one, and is not resized.
     """
     path = F.col("path")
     ext = extension(path)
-    size = F.when(is_readable(ext), declared_size(F.col("content")))
-    rows = files.select("idx", "path", F.coalesce("length", F.lit(0)).cast("long").alias("original_bytes"), ext.alias("ext"), magic_format(F.col("content")).alias("magic"), size.alias("size"))
+    # Content of other files never leaves the JVM: a function of Python's runs on all rows that reach it.
+    content = F.when(is_readable(ext), F.col("content"))
+    rows = files.select("idx", "path", F.coalesce("length", F.lit(0)).cast("long").alias("original_bytes"), ext.alias("ext"), magic_format(F.col("content")).alias("magic"), declared_size(content).alias("size"))
     rows = rows.withColumn("format", F.coalesce(F.lit(options.fmt), inferred_format(F.col("magic"), F.col("ext"))))
-    code = F.when(~is_readable(F.col("ext")), "unsupportedInput").when(F.col("size.width").isNull(), "decodeFailed").when(~F.col("format").isin(*options.writable), "unsupportedOutput")
+    unread = F.col("size.width").isNull() & ~F.col("size.undeclared")
+    code = F.when(~is_readable(F.col("ext")), "unsupportedInput").when(unread, "decodeFailed").when(~F.col("format").isin(*options.writable), "unsupportedOutput")
     rows = rows.withColumn("error_code", code)
     target = target_size(options.resize, F.col("size.width"), F.col("size.height"), options.allow_upscale)
     rows = rows.withColumns({"target": target, "quality": clamped_quality(F.lit(options.quality), F.col("format")), "strip_metadata": F.lit(options.strip_metadata), "out_dir": output_folder(path, options.folder), "base": F.concat(base_name(path), F.lit(options.suffix)), "out_ext": file_extension(F.col("format"))})
+    rows = stash(rows)  # headers are read once
     good = assign_names(rows.where(F.col("error_code").isNull()), existing=existing)
     out = good.unionByName(rows.where(F.col("error_code").isNotNull()).withColumn("out_name", F.lit(None).cast("string")))
     code = F.coalesce("error_code", F.when(F.col("out_name").isNull(), "writeFailed"))

@@ -224,16 +224,59 @@ def locked_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.locked_count(_outcomes(spark, sf_dir), F.col("failure").isNotNull(), "user_id")
 
 
-# Releases: lineitem, with its integers as version numbers and its flags as labels.
+# Releases: lineitem, with its integers as version numbers; labels, bump, explicit version and the tag's form go by l_partkey and l_suppkey.
+_LABELS = ("", "docs", "patch", "minor", "release:major", "docs release:minor", "minor major", "majority xminor", None)
+_BUMPS = (None, "", "patch", "minor", "major", "junk")
+
+
+def _listed(values: tuple[str | None, ...]) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
 @query(
-    """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN (x + 1) || '.0.0' WHEN 'N' THEN x || '.' || (y + 1) || '.0' ELSE x || '.' || y || '.' || (z + 1) END AS version
-FROM (SELECT *, l_linenumber AS x, l_suppkey AS y, l_partkey AS z FROM lineitem)"""
+    f"""WITH given AS (
+  SELECT l_orderkey, l_linenumber, {_listed(_LABELS)}[l_partkey % {len(_LABELS)} + 1] AS labels, {_listed(_BUMPS)}[l_suppkey % {len(_BUMPS)} + 1] AS bump,
+    CASE l_partkey % 11 WHEN 0 THEN '7.' || l_linenumber || '.0' WHEN 1 THEN '7.x' WHEN 2 THEN NULL ELSE '' END AS explicit,
+    CASE l_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN 'v1.2' WHEN 2 THEN '' WHEN 3 THEN l_linenumber || '.' || l_suppkey || '.' || l_partkey
+      ELSE 'v' || l_linenumber || '.' || l_suppkey || '.' || l_partkey END AS tag
+  FROM lineitem
+), asked AS (
+  SELECT *, CASE WHEN list_has_any(string_split(coalesce(labels, ''), ' '), ['major', 'release:major']) THEN 'major'
+    WHEN list_has_any(string_split(coalesce(labels, ''), ' '), ['minor', 'release:minor']) THEN 'minor'
+    WHEN coalesce(bump, '') = '' THEN 'patch' ELSE bump END AS kind,
+    regexp_extract(coalesce(tag, ''), '^v?([0-9]+)\\.([0-9]+)\\.([0-9]+)$', ['x', 'y', 'z']) AS p
+  FROM given
+)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN coalesce(explicit, '') <> '' THEN CASE WHEN regexp_full_match(explicit, '[0-9]+\\.[0-9]+\\.[0-9]+') THEN explicit END
+    WHEN coalesce(tag, '') = '' THEN '1.0.0' WHEN p.x = '' THEN NULL
+    WHEN kind = 'major' THEN (try_cast(p.x AS BIGINT) + 1) || '.0.0' WHEN kind = 'minor' THEN p.x || '.' || (try_cast(p.y AS BIGINT) + 1) || '.0'
+    WHEN kind = 'patch' THEN p.x || '.' || p.y || '.' || (try_cast(p.z AS BIGINT) + 1) END AS version,
+  CASE WHEN coalesce(explicit, '') <> '' THEN CASE WHEN NOT regexp_full_match(explicit, '[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'bad version' END
+    WHEN coalesce(tag, '') = '' THEN NULL WHEN p.x = '' THEN 'bad latest tag' WHEN kind NOT IN ('major', 'minor', 'patch') THEN 'bad bump' END AS error
+FROM asked"""
 )
 def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.concat(F.lit("v"), F.concat_ws(".", "l_linenumber", "l_suppkey", "l_partkey"))
-    labels = F.when(F.col("l_returnflag") == "A", "minor release:major").when(F.col("l_returnflag") == "N", "docs minor").otherwise("")
-    made = release.next_version(last, labels, F.lit("patch"), F.lit(""))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made["version"].alias("version"))
+    part, number = F.col("l_partkey"), F.concat_ws(".", "l_linenumber", "l_suppkey", "l_partkey")
+    labels = F.get(F.array(*map(F.lit, _LABELS)), (part % len(_LABELS)).cast("int"))
+    bump = F.get(F.array(*map(F.lit, _BUMPS)), (F.col("l_suppkey") % len(_BUMPS)).cast("int"))
+    explicit = F.when(part % 11 == 0, F.concat(F.lit("7."), F.col("l_linenumber").cast("string"), F.lit(".0"))).when(part % 11 == 1, "7.x").when(part % 11 == 2, None).otherwise("")
+    tag = F.when(part % 13 == 0, None).when(part % 13 == 1, "v1.2").when(part % 13 == 2, "").when(part % 13 == 3, number).otherwise(F.concat(F.lit("v"), number))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", labels.alias("labels"), bump.alias("bump"), explicit.alias("explicit"), tag.alias("tag"))
+    return release.with_next_version(rows, F.col("tag"), F.col("labels"), F.col("bump"), F.col("explicit")).select("l_orderkey", "l_linenumber", "version", "error")
+
+
+@query("SELECT event_id, replace(tag, 'v', '') AS previous FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'v1.' || (event_id % 9) || '.' || user_id END AS tag FROM events)")
+def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version before a release; a fifth of the rows has no tag yet."""
+    tag = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("v1."), (F.col("event_id") % 9).cast("string"), F.lit("."), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", release.previous_version(tag).alias("previous"))
+
+
+@query("SELECT count(*) AS build FROM orders")
+def build_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders stand for commits; one row is the operator's result."""
+    return release.build_number(table(spark, sf_dir, "orders"))
 
 
 @query("SELECT 'v' || x || '.' || y || '.' || z AS tag FROM (SELECT p_size AS x, p_partkey % 97 AS y, p_partkey AS z FROM part) ORDER BY x DESC, y DESC, z DESC LIMIT 1")

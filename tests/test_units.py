@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lathework.functions import formats, paths, sizes, texts
 from lathework.functions.resize import Resize, target_size
 from lathework.operators import batch, naming, release
-from lathework.operators.headers import image_size
+from lathework.operators.headers import HEAD, declared_size, image_header, image_size
 from lathework.plans.image_job import COMPRESS_LOSSLESS, Options, finish_images, plan_images, resize_options
 from lathework.sources import feed, intake
 
@@ -133,10 +133,10 @@ def test_batch(spark):
 
 @pytest.mark.parametrize(
     ("tag", "labels", "bump", "given", "want"),
-    [("v1.10.0", "", None, "", ("1.10.1", None)), ("1.2.3", "minor major", None, "", ("2.0.0", None)), (None, "major", None, "", ("1.0.0", None)), ("v2.0.0-rc1", "", None, "", (None, "bad latest tag")), ("1.2.3", "release:minor", "major", "", ("1.3.0", None)), ("1.2.3", "minority", "major", "", ("2.0.0", None)), ("1.2.3", "", "odd", "", (None, "bad bump")), ("1.2.3", "", None, "9.9.9", ("9.9.9", None)), ("1.2.3", "", None, "9.9", (None, "bad version"))],
+    [("v1.10.0", "", None, "", ("1.10.1", None)), ("1.2.3", "minor major", None, "", ("2.0.0", None)), (None, "major", None, "", ("1.0.0", None)), ("v2.0.0-rc1", "", None, "", (None, "bad latest tag")), ("1.2.3", "release:minor", "major", "", ("1.3.0", None)), ("1.2.3", "minority", "major", "", ("2.0.0", None)), ("1.2.3", "", "odd", "", (None, "bad bump")), ("1.2.3", "", None, "9.9.9", ("9.9.9", None)), ("1.2.3", "", None, "9.9", (None, "bad version")), ("1.2.3", "patch", "major", "", ("2.0.0", None)), ("1.2.3", "", "", "", ("1.2.4", None)), ("", None, "junk", None, ("1.0.0", None)), ("1.2.3", "docs\tmajor", None, "", ("1.2.4", None))],
 )
 def test_next_version(spark, tag, labels, bump, given, want):
-    row = one(spark, release.next_version(*[F.lit(x).cast("string") for x in (tag, labels, bump, given)]).alias("x"))[0]
+    row = release.with_next_version(spark.range(1), *[F.lit(x).cast("string") for x in (tag, labels, bump, given)]).select("version", "error").first()
     assert tuple(row) == want
 
 
@@ -176,6 +176,63 @@ def test_headers():
     assert image_size(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6) and image_size(b"\x01\x02\x03\x04") == (None, None) and image_size(None) == (None, None)
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I", 8 + len(body)) + kind + body
+
+
+def test_headers_of_other_kinds():
+    ispe = [box(b"ispe", struct.pack(">III", 0, w, h)) for w, h in ((512, 512), (4032, 3024), (320, 240))]
+    heic = box(b"ftyp", b"heic\0\0\0\0mif1") + box(b"meta", b"\0" * 4, box(b"hdlr", b"x" * 20), box(b"iprp", box(b"ipco", *ispe), box(b"ipma", b"\0" * 8)))
+    assert image_size(heic + box(b"mdat", b"z" * 100)) == image_size(heic.replace(b"heic", b"avif")) == (4032, 3024)
+    for end in "<>":
+        entries = struct.pack(end + "HHIHH", 256, 3, 1, 640, 0) + struct.pack(end + "HHII", 257, 4, 1, 480) + struct.pack(end + "HHII", 258, 3, 3, 9)
+        tiff = (b"II*\0" if end == "<" else b"MM\0*") + struct.pack(end + "I", 90_000) + b"p" * 89_992 + struct.pack(end + "H", 3) + entries
+        assert image_size(tiff) == (640, 480) and image_header(tiff[:HEAD]) == (None, None, False, True)
+    assert image_size(b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + (1999).to_bytes(3, "little") + (999).to_bytes(3, "little")) == (2000, 1000)
+    assert image_size(b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (99 | 49 << 14).to_bytes(4, "little")) == (100, 50)
+    assert image_size(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 300, 200)) == (300, 200)
+    assert image_header(b"FUJIFILMCCD-RAW 0201") == (None, None, True, False)
+    for whole in (heic, tiff, JPEG, png(3, 4)):
+        for n in range(0, len(whole), 1 + len(whole) // 200):
+            assert image_size(whole[:n]) in ((None, None), image_size(whole))  # cut off anywhere, never raises
+
+
+def test_sizes_beyond_the_head(spark):
+    long = JPEG[:2] + (b"\xff\xe1\xff\xff" + b"e" * 65_533) * 3 + JPEG[2:]
+    rows = spark.createDataFrame([(1, long), (2, png(5, 6)), (3, None), (4, b"x")], "k long, c binary").select("k", declared_size(F.col("c")).alias("s")).orderBy("k").collect()
+    assert [(r["s"]["width"], r["s"]["height"]) for r in rows] == [(400, 300), (5, 6), (None, None), (None, None)]
+
+
+def test_names_of_random_bases(spark):
+    import random
+
+    rng = random.Random(6)
+    bases = [rng.choice("ab") + "".join(rng.choice(("", "-1", "-2", "-3", "-0", "-01", "-12345")) for _ in range(3)) for _ in range(400)]
+    there = sorted({rng.choice(bases) for _ in range(25)} | {"a-9", "b-1-1-1"})
+    df = spark.createDataFrame([(k, "d", b, "png") for k, b in enumerate(bases)], "idx long, out_dir string, base string, out_ext string")
+    for existing in ((), there):
+        old = spark.createDataFrame([("d", b, "png") for b in existing], "out_dir string, base string, out_ext string")
+        found = {r["idx"]: r["out_name"] for r in naming.assign_names(df, existing=old).collect()}
+        assert found == brute_names(list(enumerate(bases)), existing)
+
+
+def test_many_numbered_names_are_not_one_group(spark):
+    # One repeat among 30,000 numbered scans: only the numbers within reach are numbered one after the other.
+    df = spark.range(30_000).select(F.col("id").alias("idx"), F.lit("d").alias("out_dir"), F.concat(F.lit("scan-"), (F.col("id") + 20_000).cast("string")).alias("base"), F.lit("png").alias("out_ext"))
+    df = df.union(spark.createDataFrame([(30_000, "d", "scan", "png"), (30_001, "d", "scan", "png")], df.schema))
+    out = naming.assign_names(df)
+    assert out.select("out_name").distinct().count() == 30_002 and out.where("out_name = 'scan-1.png'").first()["idx"] == 30_001
+
+
+def test_progress(spark):
+    files = intake.path_list(spark, [f"/tmp/{k}" for k in range(40)])
+    progress = batch.Progress(spark, 40)
+    assert progress.done == 0
+    batch.run_jobs(files, lambda row: (row["path"], None), width=4, step=progress.step).collect()
+    assert progress.done == progress.total == 40
+
+
 def test_image_plan(spark, tmp_path):
     for name, data in {"a.png": png(40, 30), "b.jpg": JPEG, "notes.txt": b"hello", "broken.png": b"\x01\x02\x03\x04", "a.heic": b"\0\0\0\x18ftypheic"}.items():
         (tmp_path / name).write_bytes(data)
@@ -185,7 +242,7 @@ def test_image_plan(spark, tmp_path):
     assert rows["a.png"]["out_name"] == "a-resized.png" and tuple(rows["a.png"]["target"]) == (20, 15)
     assert rows["b.jpg"]["format"] == "jpeg" and rows["b.jpg"]["out_name"] == "b-resized.jpg"
     assert rows["notes.txt"]["error_code"] == "unsupportedInput" and "txt" in rows["notes.txt"]["failure"]
-    assert rows["broken.png"]["error_code"] == "decodeFailed" and rows["a.heic"]["error_code"] == "decodeFailed"
+    assert rows["broken.png"]["error_code"] == "decodeFailed" and rows["a.heic"]["error_code"] == "decodeFailed"  # cut off before its size
     plan = plan_images(files, COMPRESS_LOSSLESS)
     written = plan.where("error_code IS NULL").select("idx", (F.col("original_bytes") + F.when(F.col("format") == "png", 0).otherwise(-1)).alias("new_bytes"))
     done = {r["input"].rsplit("/", 1)[1]: r for r in finish_images(plan, written, COMPRESS_LOSSLESS).collect()}
