@@ -11,165 +11,231 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, bounded, slices
 
 #: Hashed feature space, labelled pages to train on, and rounds over them.
-FEATURES, TRAINING_PAGES, ROUNDS = 1 << 12, 400, 60
-
-#: Elements without content of their own, elements whose text is never shown, and elements inside a line.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea canvas audio video annotation annotation-xml".split())
-RAW = frozenset("script style noscript template title textarea iframe".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+FEATURES, TRAINING_PAGES, ROUNDS = 1 << 13, 600, 80
+
+#: The words in class, id and role (and in the names of custom elements) that are features; the generated pages use them too.
+OF_ARTICLES = "article blog body content copy detail document entry main markdown news page post primary prose single story text".split()
+OF_MENUS = "bar breadcrumb breadcrumbs menu nav navbar navigation pager pagination skip tabs toc topbar".split()
+OF_HEADERS, OF_FOOTERS, OF_SIDES = "banner header logo masthead tagline".split(), "bottom colophon copyright foot footer legal".split(), "aside complementary rail side sidebar widget widgets".split()
+OF_ADVERTS = "ad ads advert advertisement promo promoted sponsor sponsored teaser".split()
+OF_NOTICES = "alert consent cookie cookies dialog gdpr modal notice overlay popup toast warning".split()
+OF_FORMS = "form login newsletter register search signup subscribe".split()
+OF_LINKS = "more popular recommended related share sharing social tags trending".split()
+OF_COMMENTS = "comment commentlist comments disqus discussion feedback replies reply respond responses thread".split()
+OF_PARTS = "abstract author byline caption code date dateline example figure heading intro lead meta note quote references section standfirst subtitle summary table time tip title".split()
+OF_LAYOUT = "app area block box card col column columns container grid inner item layout left list outer panel right root row site view wrap wrapper".split()
+MARKS = frozenset(sum((OF_ARTICLES, OF_MENUS, OF_HEADERS, OF_FOOTERS, OF_SIDES, OF_ADVERTS, OF_NOTICES, OF_FORMS, OF_LINKS, OF_COMMENTS, OF_PARTS, OF_LAYOUT), []))
+
+#: Elements without content of their own, elements whose text is never shown, elements whose content is no
+#: markup, and elements inside a line that say nothing about the text in them.
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea canvas audio video datalist annotation annotation-xml".split())
+RAW = frozenset("script style noscript title textarea iframe noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr br "
                    "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom menclose merror mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd annotation annotation-xml".split())
-#: A start tag of these ends an open p.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
-#: A start tag of the key ends an open element of the values, up to the list or table around it.
-ENDS_ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that start and end a block.
+BLOCK = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html input "
+                  "legend li listing main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
+#: A start tag of these ends an open p; within these an open p further out counts no more; what may stand in a head.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split())
+P_SCOPE = frozenset("html table td th caption button object template marquee".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: A start tag of the key ends an open element of its kind (an item, a term or its definition, a row, a cell), up to the list or table around it.
+KINDS = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
 AROUND = frozenset("ul ol dl table body html menu".split())
+_NONE = (-1, -1, -1, -1)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAMED = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKUP = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)?))?")
+_TAG_END = re.compile(r"[\s/]*")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _NO_DISPLAY = re.compile(r"(?:\A|[;\s])display\s*:\s*none", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def hiding(attributes: str) -> bool:
-    """Whether a tag's attributes hide its element: the attribute hidden, or a style without display."""
-    for a in _NAMED.finditer(attributes):
-        name = a[1].lower()
-        if name == "hidden" or (name == "style" and _NO_DISPLAY.search(a[2] or a[3] or a[4] or "")):
-            return True
-    return False
+@lru_cache(maxsize=1 << 16)
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % FEATURES
 
 
 class Block:
-    """A run of text, the ancestors it stands in (tag and marks), and how much of it is inside links."""
+    """A run of text, the tag that it stands in, the features of all its ancestors, and how much of it is inside links."""
 
-    __slots__ = ("ancestors", "linked", "text")
+    __slots__ = ("ancestors", "linked", "parent", "text")
 
-    def __init__(self, text: str, ancestors: tuple, linked: int) -> None:
-        self.text, self.ancestors, self.linked = text, ancestors, linked
+    def __init__(self, text: str, parent: str, ancestors: frozenset, linked: int) -> None:
+        self.text, self.parent, self.ancestors, self.linked = text, parent, ancestors, linked
+
+
+class _Open:
+    """An open element. What it takes over from the elements around it is held here, so that no step looks through the stack."""
+
+    __slots__ = ("ancestors", "foreign", "hidden", "items", "p_at", "parent", "tag")
+
+    def __init__(self, tag: str, around: _Open | None, at: int, hides: bool, marks: list[str]) -> None:
+        self.tag = tag
+        self.hidden = hides or (around is not None and around.hidden)
+        self.foreign = tag in ("svg", "math") or (around is not None and around.foreign)
+        self.p_at = at if tag == "p" else -1 if around is None or tag in P_SCOPE else around.p_at
+        items = _NONE if around is None or tag in AROUND else around.items
+        kind = KINDS.get(tag)
+        self.items = items if kind is None else items[:kind] + (at,) + ((-1,) if kind == 2 else items[kind + 1 :])[: 3 - kind]
+        self.ancestors, self.parent = (around.ancestors, around.parent) if around else (frozenset(), "")
+        if tag not in INLINE:
+            self.parent = tag
+            own = {_slot(f"mark={w}") for w in marks}
+            if tag in BLOCK:
+                own.add(_slot(f"in={tag}"))
+            if not own <= self.ancestors:  # there are as many as known tags and marks at most, however deep the page
+                self.ancestors = self.ancestors | own
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The shown text blocks of a page in order, white space collapsed and references decoded; never raises."""
+    """The shown text blocks of a page in order, white space collapsed and references decoded.
+
+    Tags and attributes end where the HTML standard has them end. Time and memory are linear in the page, also
+    where markup is broken or nested without end; never raises.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, marks, hidden
+    stack: list[_Open] = []
+    open_tags: Counter = Counter()
     parts: list[str] = []
-    linked = at = links = hidden = 0
+    linked, at, link = 0, 0, -1  # link: depth of the stack where a link was opened
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple((t, m) for t, m, _ in stack if t not in INLINE), linked))
+            top = stack[-1] if stack else None
+            out.append(Block(text, top.parent if top else "", top.ancestors if top else frozenset(), linked))
         parts.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal links, hidden
-        tag, _, hides = stack.pop()
-        links -= tag == "a"
-        hidden -= hides
+    def pop_to(depth: int) -> None:
+        nonlocal link
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
+        del stack[depth:]
+        if len(stack) < link:
+            link = -1
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not hidden:
+        if not text:
+            return
+        if stack and stack[-1].tag == "head" and not text.isspace():
+            pop_to(len(stack) - 1)
+        if not (stack and stack[-1].hidden):
             text = html.unescape(text)
             parts.append(text)
-            if links:
+            if link >= 0:
                 linked += len(text.strip())
 
     while True:
-        m = _TAG.search(page, at)
+        m = _MARKUP.search(page, at)
         if not m:
             add(page[at:])
             break
         add(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if m[0] == "<!--":  # also ended by > alone right after it
+                short = page.startswith((">", "->"), at)
+                end = None if short else _COMMENT_END.search(page, at)
+                at = page.index(">", at) + 1 if short else end.end() if end else len(page)
+            else:
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
             continue
         tag, ends = m[2].lower(), bool(m[1])
-        if tag not in INLINE:
+        marks, hides, seen = [], tag in HIDDEN or tag == "dialog", set()
+        while (a := _ATTRIBUTE.match(page, at)) is not None:
+            at = a.end()
+            name = a[1].lower()
+            if ends or name in seen or name not in ("class", "id", "role", "hidden", "style", "open"):
+                continue
+            seen.add(name)
+            value = a[2] or a[3] or a[4] or ""
+            if name == "hidden" or (name == "style" and _NO_DISPLAY.search(value)):
+                hides = True
+            elif name == "open":
+                hides = hides and tag != "dialog"
+            elif name != "style":
+                marks += [w for x in _WORD.findall(value) if (w := x.lower()) in MARKS]
+        at = _TAG_END.match(page, at).end()
+        if at >= len(page):  # a tag without an end
+            break
+        closed = page[at - 1] == "/"
+        at += 1
+        if tag in BLOCK:
             close()
-        if tag == "br":
+        elif tag == "br" and not (stack and stack[-1].hidden):
             parts.append(" ")
         if ends:
-            if tag in VOID:
-                continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            while 0 <= k < len(stack):
-                pop()
+            if open_tags[tag] and tag not in VOID:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop_to(k)
+            if tag == "a":
+                link = -1
             continue
-        if tag in ENDS_P and any(s[0] == "p" for s in stack[-16:]):
-            while (last := stack[-1][0]) in INLINE or last == "p":
-                pop()
-                if last == "p":
-                    break
-        if tag in ENDS_ITEM:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in AROUND:
-                    break
-                if stack[k][0] in ENDS_ITEM[tag]:
-                    while k < len(stack):
-                        pop()
-                    break
-        if tag in VOID or m[3].endswith("/"):
+        top = stack[-1] if stack else None
+        if top is not None and top.tag == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
+        if tag in ENDS_P and stack and stack[-1].p_at >= 0:
+            pop_to(stack[-1].p_at)
+        kind = KINDS.get(tag)
+        if kind is not None and stack and stack[-1].items[kind] >= 0:
+            pop_to(stack[-1].items[kind])
+        top = stack[-1] if stack else None
+        if tag in VOID or (closed and (tag in ("svg", "math") or (top is not None and top.foreign))):
             continue
-        marks = tuple(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _WORD.findall(a[2] or a[3] or a[4] or "")) if m[3] else ()
-        hides = tag in HIDDEN or (bool(m[3]) and hiding(m[3]))
         if tag in RAW:  # up to its own end tag, whatever stands inside
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _RAW_END[tag].search(page, at)
+            at = end.start() if end else len(page)
             continue
-        stack.append((tag, marks, hides))
-        links += tag == "a"
-        hidden += hides
-        if tag == "body":  # a head left open
-            for k in range(len(stack) - 1):
-                if stack[k][2] and stack[k][0] == "head":
-                    hidden -= 1
-                    stack[k] = ("head", (), False)
+        if "-" in tag:  # a custom element
+            marks += [w for w in tag.split("-") if w in MARKS]
+        stack.append(_Open(tag, top, len(stack), hides, marks))
+        open_tags[tag] += 1
+        if tag == "a":
+            link = len(stack)
     close()
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % FEATURES
-
-
-@lru_cache(maxsize=1 << 14)
-def _of_ancestors(ancestors: tuple) -> tuple[int, ...]:
-    found = {"bias", f"parent={ancestors[-1][0]}" if ancestors else "parent="}
-    for tag, marks in ancestors:
-        found.add(f"in={tag}")
-        found.update(f"mark={w}" for w in marks)
-    return tuple(sorted({_slot(f) for f in found}))
-
-
 def features(block: Block) -> tuple[int, ...]:
+    """Hashed features of a block's ancestors, its tag and its text."""
     text = block.text
     words = text.count(" ") + 1
+    stops = sum(text.count(c) for c in ".!?")
     own = (
+        "bias",
+        f"parent={block.parent}",
         f"words={min(words, 64).bit_length()}",
         f"linked={4 * block.linked // max(1, len(text))}",
+        f"stops={min(stops, 4)}",
         f"end={text[-1] if text[-1] in '.!?:,' else 'a' if text[-1].isalnum() else '-'}",
         f"start={'A' if text[0].isupper() else 'a' if text[0].isalpha() else '-'}",
         f"sign={any(c in text for c in '©®|»·')}",
     )
-    return _of_ancestors(block.ancestors) + tuple(_slot(f) for f in own)
+    return (*block.ancestors, *map(_slot, own))
 
 
 class Chain:
@@ -180,7 +246,8 @@ class Chain:
 
     def scores(self, page: list[tuple[int, ...]]) -> np.ndarray:
         size = np.array([len(f) for f in page])
-        return np.add.reduceat(self.emit[np.concatenate([np.array(f) for f in page])], np.concatenate([[0], np.cumsum(size)[:-1]]))
+        flat = np.fromiter(chain.from_iterable(page), dtype=np.int64, count=int(size.sum()))
+        return np.add.reduceat(self.emit[flat], np.concatenate([[0], np.cumsum(size)[:-1]]))
 
     def decode(self, page: list[tuple[int, ...]]) -> list[int]:
         """The most likely labels (Viterbi); ties go to the surroundings."""
@@ -241,105 +308,193 @@ def train(pages: list[list[tuple[int, ...]]], labels: list[list[int]], rounds: i
     return Chain(*weights)
 
 
-def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
-    """A page in one of many usual layouts, and its blocks with their labels; the training and the held-out pages are of this kind."""
-    syllables = "ba co de fi gu lan mer nor pol quis ran sto tur vel win xo yer zam the and".split()
+class _Page:
+    """Builds one labelled page: parts of usual layouts, dealt at random, with the label of each block of text."""
+
+    def __init__(self, rng: random.Random) -> None:
+        self.rng, self.gold = rng, []
+
+    def some(self, odds: float) -> bool:
+        return self.rng.random() < odds
+
+    def words(self, lo: int, hi: int) -> str:
+        syllables = "ba co de fi gu lan mer nor pol quis ran sto tur vel win xo yer zam the and".split()
+        return " ".join("".join(self.rng.choice(syllables) for _ in range(self.rng.randint(1, 3))) for _ in range(self.rng.randint(lo, hi)))
+
+    def sentence(self, lo: int = 4, hi: int = 25) -> str:
+        text = self.words(lo, hi).capitalize()
+        if self.some(0.2):
+            text = text.replace(" ", ", ", 1)
+        return text + self.rng.choice((".", ".", ".", "!", "?"))
+
+    def sentences(self, most: int) -> str:
+        return " ".join(self.sentence() for _ in range(self.rng.randint(1, most)))
+
+    def block(self, text: str, label: int) -> str:
+        self.gold.append((" ".join(text.split()), label))
+        text = html.escape(text, quote=False).replace(" ", self.rng.choice((" ", " ", "\n  ")))
+        if " " in text and self.some(0.15):  # markup inside the line
+            first, rest = text.split(" ", 1)
+            text = self.rng.choice(("<b>{}</b> {}", "<em>{}</em> {}", '<a href="/x">{}</a> {}', '<span class="x">{}</span> {}')).format(first, rest)
+        return text
+
+    def named(self, tag: str, words: list[str], inner: str, odds: float = 0.85) -> str:
+        """An element with a class or id of one or two of the words, or one that says nothing."""
+        if self.some(odds):
+            name = self.rng.choice("- _").join(self.rng.sample(words, min(len(words), self.rng.choice((1, 1, 2)))))
+        else:
+            name = self.words(1, 1)
+        return f'<{tag} {self.rng.choice(("class", "class", "id"))}="{name}">{inner}</{tag}>'
+
+    def plain(self, tag: str, inner: str) -> str:
+        return f"<{tag}>{inner}</{tag}>"
+
+    def links(self, label: int = 0) -> str:
+        tag = self.rng.choice(("ul", "ul", "ol", "div"))
+        shown = [f'<a href="/{k}">{html.escape(self.words(1, 4))}</a>' for k in range(self.rng.randint(2, 8))]
+        if tag == "div":
+            self.gold.append((re.sub("<[^>]*>", "", " ".join(shown)), label))
+            return self.plain(tag, " ".join(shown))
+        self.gold += [(re.sub("<[^>]*>", "", x), label) for x in shown]
+        return self.plain(tag, "".join(self.plain("li", x) for x in shown))
+
+    # Parts of an article.
+    def paragraph(self) -> str:
+        text = self.block(self.sentences(self.rng.choice((1, 2, 4, 7))), 1)
+        kind = self.rng.random()
+        if kind < 0.08:
+            return f"<p><b>{text}<br>"  # left open
+        if kind < 0.14:
+            return f"<blockquote><p>{text}</p></blockquote>"
+        return self.plain("div", text) if kind < 0.2 else self.named("p", OF_PARTS, text) if kind < 0.25 else self.plain("p", text)
+
+    def cells(self) -> str:
+        head = self.plain("caption", self.block(self.words(2, 8).capitalize(), 1)) if self.some(0.4) else ""
+        width = self.rng.randint(2, 4)
+        rows = ["".join(self.plain("th", self.block(self.words(1, 2).capitalize(), 1)) for _ in range(width))] if self.some(0.7) else []
+        for _ in range(self.rng.randint(1, 5)):
+            rows.append("".join(self.plain("td", self.block(self.rng.choice((self.words(1, 3), str(self.rng.randint(1, 9999)), self.sentence(3, 9))), 1)) for _ in range(width)))
+        return self.plain("table", head + "".join(self.plain("tr", r) for r in rows))
 
-    def words(lo: int, hi: int) -> str:
-        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(lo, hi)))
+    def terms(self) -> str:
+        return self.plain("dl", "".join(self.plain("dt", self.block(self.words(1, 3), 1)) + self.plain("dd", self.block(self.rng.choice((self.sentence(), self.words(1, 6))), 1)) for _ in range(self.rng.randint(1, 5))))
 
-    def sentence(lo: int = 4, hi: int = 25) -> str:
-        return words(lo, hi).capitalize() + rng.choice((".", ".", ".", "!", "?"))
+    def picture(self) -> str:
+        shown = '<img src="/x.png" alt="x">'
+        return self.plain("figure", shown + (self.plain("figcaption", self.block(self.rng.choice((self.sentence(3, 14), self.words(2, 6))), 1)) if self.some(0.85) else ""))
 
-    gold: list[tuple[str, int]] = []
+    def items(self) -> str:
+        return self.plain(self.rng.choice(("ul", "ol")), "".join(self.plain("li", self.block(self.rng.choice((self.sentence(3, 16), self.words(1, 6))), 1)) for _ in range(self.rng.randint(2, 6))))
 
-    def block(text: str, label: int) -> str:
-        gold.append((" ".join(text.split()), label))
-        text = html.escape(text, quote=False)
-        return text.replace(" ", rng.choice((" ", " ", "\n  ")))
+    def code(self) -> str:
+        return self.plain("pre", self.rng.choice(("{}", "<code>{}</code>")).format(self.block(self.words(3, 14) + self.rng.choice((";", " {", ")", "")), 1)))
 
-    def links(tag: str, k: int) -> str:
-        return f"<{tag}>" + "".join(f'<li><a href="/{j}">{block(words(1, 3), 0)}</a></li>' for j in range(k)) + f"</{tag}>"
+    def byline(self) -> str:
+        text = self.block(self.rng.choice(("By ", "", "Published ", "Updated ")) + self.words(1, 4).title() + self.rng.choice(("", ", 3 May 2021", " | 12:40")), 1)
+        return self.named(self.rng.choice(("p", "div", "address")), ["author", "byline", "date", "dateline", "meta", "time"], text)
 
-    def paragraph() -> str:
-        text = block(" ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 7)))), 1)
-        kind = rng.random()
-        if kind < 0.1:
-            return f"<p><b>{text}<br>"  # left open
-        return f"<blockquote>{text}</blockquote>" if kind < 0.15 else f"<p>{text}</p>"
+    def heading(self, tag: str) -> str:
+        return self.plain(tag, self.block(self.words(2, 10).capitalize(), 1))
 
-    def article() -> str:
+    def article(self) -> str:
         out = []
-        if rng.random() < 0.85:
-            out.append(f"<h1>{block(words(3, 10).capitalize(), 1)}</h1>")
-        for _ in range(rng.choice((1, 2, 3, 5, 8, 14))):
-            out.append(paragraph())
-            kind = rng.random()
-            if kind < 0.1:
-                out.append(f"<h2>{block(words(2, 6).capitalize(), 1)}</h2>")
-            elif kind < 0.2:
-                out.append("<ul>" + "".join(f"<li>{block(sentence(3, 12), 1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.27:
-                out.append(aside())
-            elif kind < 0.32:
-                out.append(f"<pre>{block(words(4, 12), 1)}</pre>")
+        if self.some(0.85):
+            head = self.heading("h1") + (self.byline() if self.some(0.35) else "") + (self.named("p", ["intro", "lead", "standfirst", "subtitle", "summary"], self.block(self.sentence(), 1)) if self.some(0.2) else "")
+            out.append(self.plain("header", head) if self.some(0.15) else head)
+        for _ in range(self.rng.choice((1, 2, 3, 5, 8, 14))):
+            out.append(self.paragraph())
+            if self.some(0.4):
+                part = self.rng.choice((lambda: self.heading(self.rng.choice(("h2", "h3"))), self.items, self.items, self.cells, self.terms, self.picture, self.picture, self.code, self.advert, self.sharing, lambda: self.plain("section", self.heading("h2") + self.paragraph()), lambda: self.named("div", ["box", "example", "note", "tip"], self.paragraph())))
+                out.append(part())
         return "".join(out)
 
-    def aside() -> str:
-        name = rng.choice(("ad", "ads", "advert", "banner", "promo", "sponsored", "related", "share", "newsletter", "widget"))
-        tag = rng.choice(("div", "div", "aside", "section"))
-        return f'<{tag} class="{name}">{block(sentence(2, 14), 0)}</{tag}>'
+    # Whatever is around it.
+    def advert(self) -> str:
+        text = self.rng.choice((lambda: self.block(self.sentences(2), 0), lambda: self.plain("p", self.block(self.sentence(), 0)), lambda: self.plain("h3", self.block(self.words(2, 5), 0)) + self.plain("p", self.block(self.sentences(2), 0))))()
+        return self.named(self.rng.choice(("div", "div", "div", "aside", "section")), OF_ADVERTS + ["banner"], text, 1)
+
+    def sharing(self) -> str:
+        return self.named(self.rng.choice(("div", "ul")), OF_LINKS, self.block(self.words(1, 4), 0), 1)
 
-    def notice() -> str:
-        name = rng.choice(("cookie notice", "cookie-banner", "consent", "notice", "alert", "gdpr", "popup", "modal"))
-        return f'<div class="{name}"><p>{block(sentence(6, 20), 0)}</p><button>{block(words(1, 2), 0)}</button></div>'
+    def notice(self) -> str:
+        return self.named("div", OF_NOTICES, self.plain("p", self.block(self.sentences(2), 0)) + self.plain("button", self.block(self.words(1, 2), 0)), 1)
 
-    def form() -> str:
-        return f'<form action="/s"><label>{block(words(1, 3), 0)}</label><input name="q"><button>{block(words(1, 2), 0)}</button></form>'
+    def form(self) -> str:
+        text = self.plain("p", self.block(self.sentence(), 0)) if self.some(0.4) else ""
+        inner = f'<form action="/s">{text}<label>{self.block(self.words(1, 3), 0)}</label><input name="q"><button>{self.block(self.words(1, 2), 0)}</button></form>'
+        return self.named("div", OF_FORMS, inner) if self.some(0.4) else inner
 
-    def comments() -> str:
-        tag, name = rng.choice((("section", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("div", "discussion"), ("section", "replies")))
+    def comments(self) -> str:
+        tag = self.rng.choice(("section", "div", "ol"))
         item = "li" if tag == "ol" else "div"
-        rows = "".join(f'<{item} class="{rng.choice(("comment", "reply", "comment-body"))}"><p>{block(" ".join(sentence() for _ in range(rng.randint(1, 3))), 0)}</p></{item}>' for _ in range(rng.randint(1, 4)))
-        return f'<{tag} {rng.choice(("class", "id"))}="{name}">{rows}</{tag}>'
-
-    out = ["<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>"]
-    if rng.random() < 0.4:
-        out.append(f'<header><div class="logo">{block(words(1, 3), 0)}</div><p>{block(sentence(3, 9), 0)}</p></header>')
-    if rng.random() < 0.9:
-        tag, end = rng.choice((("<nav>", "</nav>"), ("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="navigation">', "</div>")))
-        out.append(tag + links("ul", rng.randint(2, 8)) + end)
-    for part, odds in ((notice, 0.25), (aside, 0.6), (form, 0.15)):
-        if rng.random() < odds:
-            out.append(part())
-    tag, end = rng.choice((("<article>", "</article>"),) * 3 + (("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post-body">', "</div></div>"), ('<div class="article-text">', "</div>"), ("<main><article>", "</article></main>"), ('<section class="entry story">', "</section>")))
-    if rng.random() < 0.3:
-        out.append("<!-- ad -->")
-    out.append(tag + article())
-    if rng.random() < 0.12:
-        out.append(comments())
-    out.append(end)
-    for part, odds in ((comments, 0.35), (aside, 0.25), (form, 0.2)):
-        if rng.random() < odds:
-            out.append(part())
-    if rng.random() < 0.3:
-        out.append(f'<aside class="sidebar"><h3>{block(words(1, 3).capitalize(), 0)}</h3>{links("ul", rng.randint(1, 5))}<p>{block(sentence(), 0)}</p></aside>')
-    if rng.random() < 0.85:
-        tag, end = rng.choice((("<footer>", "</footer>"), ("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="footer">', "</div>")))
-        out.append(f"{tag}&copy; {block(words(1, 3), 0)} &middot; {html.escape(words(2, 8))}.{end}")
-    return "".join(out) + "</body></html>", gold
+        rows = []
+        for _ in range(self.rng.randint(1, 4)):
+            who = self.plain(self.rng.choice(("div", "h4", "p")), self.block(self.words(1, 2).title(), 0)) if self.some(0.5) else ""
+            rows.append(self.named(item, ["comment", "reply", "item"], who + self.plain("p", self.block(self.sentences(4), 0)), 0.9))
+        head = self.plain("h3", self.block(f"{len(rows)} " + self.words(1, 2), 0)) if self.some(0.5) and tag != "ol" else ""
+        return self.named(tag, OF_COMMENTS, head + "".join(rows), 1)
+
+    def related(self) -> str:
+        teasers = "".join(self.plain("div", self.plain("h4", self.block(self.words(2, 7), 0)) + self.plain("p", self.block(self.sentence(), 0))) for _ in range(self.rng.randint(1, 3)))
+        return self.named(self.rng.choice(("section", "div", "aside")), OF_LINKS, self.plain("h3", self.block(self.words(1, 3).capitalize(), 0)) + (teasers if self.some(0.5) else self.links()), 1)
+
+    def sidebar(self) -> str:
+        inner = self.plain("h3", self.block(self.words(1, 3).capitalize(), 0)) + self.links() + (self.plain("p", self.block(self.sentences(2), 0)) if self.some(0.6) else "") + (self.form() if self.some(0.2) else "")
+        return self.named("aside", OF_SIDES, inner, 0.6) if self.some(0.6) else self.named("div", OF_SIDES, inner, 1)
+
+    def menu(self) -> str:
+        inner = self.links()
+        return self.plain("nav", inner) if self.some(0.6) else self.named("div", OF_MENUS, inner, 1)
+
+    def header(self) -> str:
+        inner = self.rng.choice(('<div class="logo">{}</div>', "<a href='/'>{}</a>", "<h1>{}</h1>")).format(self.block(self.words(1, 3).title(), 0))
+        inner += self.plain("p", self.block(self.sentence(3, 9), 0)) if self.some(0.5) else ""
+        inner += self.menu() if self.some(0.4) else ""
+        return self.plain("header", inner) if self.some(0.6) else self.named("div", OF_HEADERS, inner, 1)
+
+    def footer(self) -> str:
+        inner = self.links() if self.some(0.4) else ""
+        mark = self.rng.choice(("© ", "Copyright ", ""))
+        inner += self.rng.choice(("{}", "<p>{}</p>", "<div>{}</div>")).format(self.block(mark + self.words(1, 3) + " · " + self.words(2, 8) + self.rng.choice((".", "")), 0))
+        inner += self.plain("p", self.block(self.sentences(2), 0)) if self.some(0.3) else ""
+        return self.plain("footer", inner) if self.some(0.6) else self.named("div", OF_FOOTERS, inner, 1)
+
+    def page(self) -> str:
+        out = ["<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>"]
+        around = [w for w in ("div", "div", "section") if self.some(0.25)]
+        out += [f'<{w} {self.rng.choice(("class", "id"))}="{self.rng.choice(OF_LAYOUT) if self.some(0.6) else self.words(1, 1)}">' for w in around]
+        for part, odds in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.75), (self.advert, 0.5), (self.notice, 0.1), (self.form, 0.15), (self.sidebar, 0.12)):
+            if self.some(odds):
+                out.append(part())
+        kind, late = self.rng.random(), self.some(0.12)
+        inner = self.article() + (self.comments() if late else "") + (self.related() if self.some(0.06) else "")
+        if kind < 0.3:
+            inner = self.plain("article", inner)
+        elif kind < 0.45:
+            inner = self.plain("main", inner if self.some(0.5) else self.plain("article", inner))
+        elif kind < 0.92:
+            for _ in range(self.rng.choice((1, 1, 1, 2, 3))):
+                words = OF_ARTICLES if self.some(0.75) else OF_LAYOUT
+                inner = self.named(self.rng.choice(("div", "div", "div", "section")), words, inner, 0.8)
+        out.append(inner)
+        for part, odds in ((self.sharing, 0.2), (self.comments, 0.3), (self.related, 0.25), (self.advert, 0.2), (self.form, 0.15), (self.sidebar, 0.25)):
+            if self.some(odds):
+                out.append(part())
+        if self.some(0.85):
+            out.append(self.footer())
+        return "".join(out) + "".join(f"</{w}>" for w in reversed(around)) + "</body></html>"
 
 
 def labelled_blocks(seed: int, pages: int) -> tuple[list[list[Block]], list[list[int]]]:
-    """Blocks of generated pages with labels: those of the generator, in order, matched by how each block's text begins or ends."""
+    """Blocks of generated pages with labels: those of the generator, which come in the same order."""
     rng, read, labels = random.Random(seed), [], []
     for _ in range(pages):
-        page, gold = labelled_page(rng)
-        found, k, mine = blocks(page), 0, []
+        made = _Page(rng)
+        found, k, mine = blocks(made.page()), 0, []
         for b in found:
-            while k < len(gold) and gold[k][0] not in b.text:
-                k += 1
-            mine.append(gold[k][1] if k < len(gold) else 0)
+            at = next((j for j in range(k, len(made.gold)) if made.gold[j][0] in b.text), None)
+            mine.append(made.gold[at][1] if at is not None else 0)
+            k = k if at is None else at + 1
         read.append(found)
         labels.append(mine)
     return read, labels
@@ -377,4 +532,4 @@ def extract_main_text(df: DataFrame, page: str = "html", chain: Chain | None = N
                 texts = [main_text(p, chain) for p in part.column(page).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(texts, type=to.field("text").type), pa.array([len(t) for t in texts], type=pa.int64())], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
