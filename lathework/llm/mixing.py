@@ -8,8 +8,11 @@ from pyspark.sql import Window
 
 from .common import stash, with_position
 
-#: Bins of the ranking in which the last document taken is searched; only one bin of a source is ever sorted.
-BINS = 1 << 10
+#: Bits of the ranking's bins at each of two levels in which the last document taken is searched; only one bin of the
+#: second level, a millionth of a source, is ever sorted.
+BITS = 10
+#: Inclusion odds within a source grow as a document's size, in whole powers of two, to this power; 0 gives all the same.
+TILT = 0.5
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -33,45 +36,79 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return table.select("source", "source_size", F.least(F.col("_w") * F.lit(level), F.col("_cap")).alias("target"))
 
 
-def pareto_mix(df: DataFrame, size: Column, source: Column, order: list[Column], weights: list[float], share: float, most: float, seed: int = 29) -> DataFrame:
-    """Adds `size`, `source_size`, `target` and `copies`: how often the mix repeats each document.
+def inclusion_levels(rows: DataFrame, plan: DataFrame, tilt: float) -> DataFrame:
+    """Adds `_level` to plan (_of, _rest, ...): a document of size class c has the odds 2 ** (_level + tilt * c).
 
-    A document of a source with target t and size s is due t / s copies. The whole part is certain. For
-    the rest, p = frac(t / s) is its inclusion probability, documents rank by U / (1 - U) divided by
-    p / (1 - p) with U a uniform number drawn from `order`, the seed and the size, and the first ones in that
-    order are taken until the source's remaining target in words is met as nearly as whole documents
-    allow. A source's size in the mix thus misses its target by half a document at most.
+    The level is the one at which the expected words of a source's sample are its rest. It is found by halving
+    an interval over the words in each size class, of which a source has 63 at most.
+    """
+    classes = rows.where(F.col("size") > 0).groupBy("_source", "_class").agg(F.sum("size").alias("words"))
+    classes = classes.groupBy(F.col("_source").alias("_in")).agg(F.collect_list(F.struct("_class", F.col("words").cast("double").alias("words"))).alias("_classes"))
+    joined = plan.join(classes, F.col("_of").eqNullSafe(F.col("_in")), "left")
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = (at["lo"] + at["hi"]) / 2
+        found = F.aggregate("_classes", F.lit(0.0), lambda had, c: had + c["words"] / (1 + F.pow(F.lit(2.0), -(middle + tilt * c["_class"]))))
+        few = found < F.col("_rest")
+        return F.struct(F.when(few, middle).otherwise(at["lo"]).alias("lo"), F.when(few, at["hi"]).otherwise(middle).alias("hi"))
+
+    level = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(-200.0).alias("lo"), F.lit(200.0).alias("hi")), halved)
+    return joined.withColumn("_level", F.when(F.col("_classes").isNotNull(), level["lo"])).drop("_in", "_classes")
+
+
+def _cut(rows: DataFrame, place: Column, rest: Column, to: str) -> DataFrame:
+    """For each source the bin in which its remaining words are met, and the words before it."""
+    bins = rows.groupBy("_of", place.alias("_bin")).agg(F.sum("size").alias("_words"), F.max(rest).alias("_left"))
+    before = F.coalesce(F.sum("_words").over(Window.partitionBy("_of").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = bins.withColumn("_before", before).where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_words") >= F.col("_left")))
+    return stash(met.select(F.col("_of").alias(f"{to}_of"), F.col("_bin").alias(f"{to}_bin"), F.col("_before").alias(f"{to}_before")))
+
+
+def pareto_mix(df: DataFrame, size: Column, source: Column, order: list[Column], weights: list[float], share: float, most: float, seed: int = 29, tilt: float = TILT) -> DataFrame:
+    """Adds `size`, `source_size`, `target`, `inclusion` and `copies`: how often the mix repeats each document.
+
+    A source with target t and size s is due t / s copies. The whole part is certain for each of its
+    documents. For the rest a document's inclusion odds are p / (1 - p) = level * 2 ** (tilt * c) with c the
+    whole part of its size's binary logarithm, so that longer documents are likelier; the source's level makes
+    the expected words of the sample the words that remain. Documents rank by U / (1 - U) divided by these
+    odds, with U a uniform number drawn from `order`, the seed and the size, and the first ones in that order
+    are taken until the remaining words are met as nearly as whole documents allow. A source's size in the
+    mix thus misses its target by half a document at most, and p (`inclusion`) is very nearly the frequency
+    with which a document gets its additional copy.
 
     Size null counts as 0, source null is a source of its own, and rows equal in `order` and size are
-    interchangeable. Documents of size 0 get the certain copies only. Columns size, source_size, target
-    and copies are replaced. Reruns give the same rows, whatever the partitioning.
+    interchangeable. Documents of size 0 get the certain copies only (inclusion 0). An empty table gives an
+    empty result. Columns size, source_size, target, inclusion and copies are replaced. Reruns give the same
+    rows, whatever the partitioning.
     """
-    df = df.drop("size", "source_size", "target", "copies")
+    df = df.drop("size", "source_size", "target", "inclusion", "copies")
     draw = F.xxhash64(F.lit(seed), *order, F.col("size"))
     uniform = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)
-    rows = stash(df.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "_source": source}).withColumn("_u", uniform))
+    rows = df.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "_source": source})
+    rows = stash(rows.withColumns({"_u": uniform, "_class": F.length(F.bin("size")) - 1}))
     targets = source_targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = targets.withColumn("_due", due).select(F.col("source").alias("_of"), "source_size", "target", F.floor("_due").alias("_sure"), (F.col("_due") - F.floor("_due")).alias("_p"))
-    plan = plan.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size"))
-    odds = F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))
-    # Odds have no upper bound; odds / (1 + odds) keeps their order and lies in 0 to 1.
-    key = F.when(F.col("_p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
-    ranked = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_key", key).withColumn("_bin", F.floor(F.col("_key") * BINS).cast("int"))
-
-    # Words in each bin, then the bin in which a source's remaining target is met.
-    bins = ranked.where(F.col("_p") > 0).groupBy("_of", "_bin").agg(F.sum("size").alias("_words"), F.max("_rest").alias("_rest"))
-    before = F.coalesce(F.sum("_words").over(Window.partitionBy("_of").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = bins.withColumn("_before", before).where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
-    cut = stash(cut.select(F.col("_of").alias("_cut_of"), F.col("_bin").alias("_cut_bin"), "_before"))
+    plan = targets.withColumn("_sure", F.floor(due)).withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size"))
+    plan = stash(inclusion_levels(rows, plan.withColumnRenamed("source", "_of"), tilt))
+    odds = F.when((F.col("_rest") > 0) & (F.col("size") > 0), F.pow(F.lit(2.0), F.col("_level") + tilt * F.col("_class")))
+    # The key has no upper bound; x / (1 + x) keeps its order and lies in 0 to 1.
+    x = F.col("_u") / (1 - F.col("_u")) / F.col("_odds")
+    place = F.when(F.col("_odds").isNotNull(), F.floor(F.col("_key") * (1 << 2 * BITS)).cast("long"))
+    ranked = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_odds", odds).withColumn("_key", x / (1 + x)).withColumn("_place", place)
+
+    open_rows = ranked.where(F.col("_odds").isNotNull())
+    high = F.shiftright("_place", BITS)
+    coarse = _cut(open_rows, high, F.col("_rest"), "_c")
+    inside = open_rows.join(coarse, F.col("_of").eqNullSafe(F.col("_c_of")) & (high == F.col("_c_bin")))
+    fine = _cut(inside, F.col("_place"), F.col("_rest") - F.col("_c_before"), "_f")
+    cut = coarse.join(fine, F.col("_c_of").eqNullSafe(F.col("_f_of")))
+    cut = stash(cut.select(F.col("_c_of").alias("_cut_of"), F.col("_f_bin").alias("_cut"), (F.col("_c_before") + F.col("_f_before")).alias("_before")))
 
     joined = ranked.join(cut, F.col("_source").eqNullSafe(F.col("_cut_of")), "left")
-    sorted_bin = Window.partitionBy("_of").orderBy("_key", *order, "size")
-    inside = joined.where(F.col("_bin") == F.col("_cut_bin"))
-    run = F.col("_before") + F.sum("size").over(sorted_bin.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.coalesce(F.col("_place") == F.col("_cut"), F.lit(False))
+    run = F.col("_before") + F.sum("size").over(Window.partitionBy("_of").orderBy("_key", *order, "size").rowsBetween(Window.unboundedPreceding, 0))
     # Taken if that brings the sum nearer to the target than leaving it out.
-    inside = inside.withColumn("_extra", (2 * (F.col("_rest") - run) >= -F.col("size")) & (F.col("size") > 0))
-    outside = joined.where(F.col("_cut_bin").isNull() | (F.col("_bin") != F.col("_cut_bin")))
-    outside = outside.withColumn("_extra", (F.col("_bin") < F.col("_cut_bin")) & (F.col("_p") > 0) & (F.col("size") > 0))
-    out = outside.unionByName(inside).withColumn("copies", F.col("_sure").cast("long") + F.coalesce(F.col("_extra"), F.lit(False)).cast("long"))
-    return out.select(*df.columns, "size", "source_size", "target", "copies")
+    at_cut = joined.where(last).withColumn("_extra", 2 * (F.col("_rest") - run) >= -F.col("size"))
+    others = joined.where(~last).withColumn("_extra", F.coalesce(F.col("_place") < F.col("_cut"), F.lit(False)))
+    out = others.unionByName(at_cut).withColumn("copies", F.col("_sure").cast("long") + F.col("_extra").cast("long"))
+    return out.select(*df.columns, "size", "source_size", "target", F.coalesce(F.col("_odds") / (1 + F.col("_odds")), F.lit(0.0)).alias("inclusion"), "copies")
