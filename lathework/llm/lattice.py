@@ -4,10 +4,13 @@ Each table projects a unit vector at random onto eight numbers and decodes them
 lattice E8, whose cells are rounder than any other's in eight dimensions: near vectors mostly share a cell,
 far ones hardly ever do. A vector also probes the neighbouring cells that it lies closest to.
 
-Links are needed only to find components, so a cell never lists all its pairs: its members are compared
-with one of them first, and only cells that hold several components after that are compared in full, large
-ones in tiles that each give a spanning forest. Links never leave a component, so each component's vectors are then compared
-once in tiles to count them.
+Links are needed only to find components, so a cell never lists all its pairs: each vector is compared
+with one other first, the centre of most of its cells, and only cells that hold several components after
+that are compared across these, in tiles of bounded size, many small ones to a task's step. Tiles hold
+vectors in a byte per number, with the error that this makes, so that no pair at or above the least cosine
+is lost; what passes is verified in double precision. The likeliest pairs go first, one for each two
+components at most; then all that still lie apart. Links never leave a component, so each component's
+vectors are then compared once in tiles to count them.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
-from .components import connected_components
+from .common import bounded, discard, in_steps, stash, tile_rows, tile_sides, tiles_of
+from .components import Union, labelled
 
 #: At a cosine of 0.95 a table finds a pair with odds of 0.43, so that eight miss 1 in 100; chains make up for most of those.
 TABLES, PROBES = 8, 3
 #: Width of a lattice unit in projected distance. Wider cells find more, and hold more vectors that are far apart.
 WIDTH = 1.0
-#: Cells with so many entries give their pairs directly; others go to tiles with so many vectors to a side.
-SHORT_CELL, TILE = 24, 1024
+#: Vectors on each side of a tile, and rows that one step of a task takes on average (a tile's at least).
+TILE, STEP_ROWS = 512, 1024
 
 #: The 240 shortest vectors of E8: two entries of +-1, or all of +-1/2 with an even number of minus signs.
 NEIGHBOURS = np.array(
@@ -85,13 +88,39 @@ def _units(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(rep, copies, unit, code, error) of vectors (rep, copies, vector).
+
+    unit: the unit vector's doubles. code: the same in a byte for each number, after a float that they are
+    multiplied by; error: the length of what that leaves out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, unit in _units(batch.column("vector")):
+                scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype("<f4")
+                codes = np.rint(unit / scale).astype(np.int8)
+                error = np.sqrt(((unit - scale.astype(np.float64) * codes) ** 2).sum(axis=1))
+                code = np.hstack([scale.view(np.uint8), codes.view(np.uint8)])
+                some = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("copies"), pa.array([x.tobytes() for x in unit.astype("<f8")]), pa.array([x.tobytes() for x in code]), pa.array(error)], names=["rep", "copies", "unit", "code", "error"])
+
+    return bounded(vectors.select("rep", "copies", "vector")).mapInArrow(run, "rep long, copies long, unit binary, code binary, error double")
+
+
+def _doubles(units: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length and their vectors, for each length."""
+    length = np.array([len(u) for u in units])
+    return [(at, np.frombuffer(b"".join([units[k] for k in at]), dtype="<f8").reshape(len(at), -1)) for d in np.unique(length) for at in [np.flatnonzero(length == d)]]
+
+
 def post(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
     """(slot, cell, rep, home): one row for each table, and one for each cell it probes there. A slot is a table and a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = np.asarray(batch.column("rep"))
-            for at, unit in _units(batch.column("vector")):
+            for at, unit in _doubles(batch.column("unit").to_pylist()):
                 for t, (home, near) in enumerate(cells(unit, tables, probes)):
                     n = len(at) * (1 + probes)
                     yield pa.RecordBatch.from_arrays(
@@ -99,78 +128,102 @@ def post(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
                         names=["slot", "cell", "rep", "home"],
                     )
 
-    return vectors.mapInArrow(run, "slot long, cell long, rep long, home boolean")
+    return bounded(vectors.select("rep", "unit")).mapInArrow(run, "slot long, cell long, rep long, home boolean")
 
 
 def linked(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with a cosine of `least` or more."""
-    sides = [vectors.select(F.col("rep").alias(c), F.col("vector").alias(f"vector_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "vector_a", "vector_b")
+    """The pairs (a, b) with a cosine of `least` or more. Both must have the same length."""
+    sides = [vectors.select(F.col("rep").alias(c), F.col("unit").alias(f"unit_{c}")) for c in "ab"]
+    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "unit_a", "unit_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for (at, x), (_, y) in zip(_units(batch.column("vector_a")), _units(batch.column("vector_b")), strict=True):
+            for (at, x), (_, y) in zip(_doubles(batch.column("unit_a").to_pylist()), _doubles(batch.column("unit_b").to_pylist()), strict=True):
                 keep[at] = np.einsum("ij,ij->i", x, y) >= least
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in "ab"], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
-
+    return bounded(both).mapInArrow(run, "a long, b long")
 
-def tiled(members: DataFrame, key: list[str], n: Column) -> DataFrame:
-    """Each row once for each tile of its group: tiles are two blocks of about TILE rows, or one with itself (side 0)."""
-    members = members.withColumn("blocks", F.ceil(n / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tiles = F.transform(every, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
-    kept = [c for c in members.columns if c not in ("blocks", "block")]
-    return members.withColumn("tile", F.explode(tiles)).select(*kept, "tile.*")
 
+def _across(tile: dict[str, np.ndarray], least: float, likely: float | None) -> list[tuple[int, int, int, int, float]]:
+    """(a, b, component of a, of b, cosine by the codes) of the pairs of one tile that may link and lie in different components.
 
-def _tile(pdf: pd.DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Rows, columns and which of them link; a row and a column that are the same vector do not."""
-    one = not (pdf["side"] == 1).any()
-    rows, cols = (pdf, pdf) if one else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+    With `likely` only those of at least that cosine, and of these only the ones that join components which
+    likelier pairs have not joined.
+    """
+    rows, cols, one = tile_sides(tile)
+    rep, of, home, error = (tile[c] for c in ("rep", "component", "home", "error"))
+    if one:  # those outside the tile's largest component against all
+        known, often = np.unique(of, return_counts=True)
+        main = known[often.argmax()]
+        rows = np.flatnonzero(of != main)
     if not len(rows) or not len(cols):
-        return rows, cols, np.zeros((len(rows), len(cols)), dtype=bool)
-    (_, x), (_, y) = (_units(pa.array(p["vector"].tolist(), type=pa.list_(pa.float64())))[0] for p in (rows, cols))
-    return rows, cols, (x @ y.T >= least) & (rows["rep"].to_numpy()[:, None] != cols["rep"].to_numpy()[None, :])
-
-
-def _forest(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links that connect whatever the tile's links connect, between components that are still apart."""
-    rows, cols, link = _tile(pdf, least)
-    home = rows["home"].to_numpy()[:, None] | cols["home"].to_numpy()[None, :]
-    found = link & home & (rows["component"].to_numpy()[:, None] != cols["component"].to_numpy()[None, :])
-    a, b = rows["component"].to_numpy(), cols["component"].to_numpy()
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(found), strict=True):
-        x, y = top(int(a[i])), top(int(b[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(a[i]), int(b[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _count(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """How many vectors of the tile each one links with, copies included."""
-    rows, cols, link = _tile(pdf, least)
-    of_rows = pd.DataFrame({"rep": rows["rep"].to_numpy(), "found": link @ cols["copies"].to_numpy()})
-    if cols is rows:
-        return of_rows
-    return pd.concat([of_rows, pd.DataFrame({"rep": cols["rep"].to_numpy(), "found": link.T @ rows["copies"].to_numpy()})])
-
-
-def _labelled(vectors: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links)
-    return vectors.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+        return []
+    raw = np.frombuffer(b"".join(tile["code"].tolist()), dtype=np.uint8).reshape(len(rep), -1)
+    x = np.ascontiguousarray(raw[:, :4]).view("<f4").astype(np.float64) * raw[:, 4:].view(np.int8)
+    cosine = x[rows] @ x[cols].T
+    apart = (of[rows, None] != of[cols]) & (home[rows, None] | home[cols])
+    if one:
+        apart &= (of[cols] == main) | (rep[rows, None] < rep[cols])
+    # |xy - x'y'| <= |x - x'| |y| + |x'| |y - y'|; a little more for rounding.
+    over = error[rows, None] + (1 + error[rows, None]) * error[cols] + 1e-9
+    a, b = np.nonzero(apart & (cosine + over >= least if likely is None else cosine >= likely))
+    value, a, b = cosine[a, b], rows[a], cols[b]
+    found = list(zip(rep[a].tolist(), rep[b].tolist(), of[a].tolist(), of[b].tolist(), value.tolist(), strict=True))
+    if likely is not None:
+        joined = Union()
+        found = [p for p in sorted(found, key=lambda p: -p[4]) if joined.joins(p[2], p[3])]
+    return found
+
+
+def unresolved(posted: DataFrame, parts: DataFrame, vectors: DataFrame, least: float, likely: float | None) -> DataFrame:
+    """Pairs (a, b) of different components, within the cells that hold several, that may link; with `likely` one for two components."""
+    key = ["slot", "cell"]
+    placed = posted.join(parts, "rep")
+    sizes = placed.groupBy(*key, "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy(*key).agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top")).where(F.col("n") > F.col("top.size"))
+    mixed = stash(mixed.select(*key, "n", F.col("top.component").alias("main"), F.col("top.size").alias("n_main")))
+    members = placed.join(mixed, key)
+    rows = stash(tile_rows(members, [*key, "rep", "home", "component"], F.col("n"), F.col("n_main"), F.col("component") == F.col("main"), TILE))
+    discard(mixed)
+    coded = in_steps(rows, key, rows.count() // STEP_ROWS).join(vectors.select("rep", "code", "error"), "rep")
+    names = [*key, "i", "j", "side", "rep", "home", "component", "code", "error"]
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [p for tile in tiles_of({c: pdf[c].to_numpy() for c in names}, key) for p in _across(tile, least, likely)]
+        return pd.DataFrame([(min(a, b), max(a, b), min(x, y), max(x, y), cosine) for a, b, x, y, cosine in found], columns=["a", "b", "x", "y", "cosine"]).astype({"a": "int64", "b": "int64", "x": "int64", "y": "int64", "cosine": "float64"})
+
+    found = stash(coded.groupBy("step").applyInPandas(step, "a long, b long, x long, y long, cosine double"))
+    discard(rows)
+    if likely is not None:
+        return found.groupBy("x", "y").agg(F.max(F.struct("cosine", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+    return found.select("a", "b").distinct()
+
+
+def counted(parts: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(rep, found): how many vectors of its component each one links with, copies of the others included."""
+    sizes = stash(parts.groupBy("component").count().where(F.col("count") > 1))
+    members = parts.join(sizes, "component")
+    rows = stash(tile_rows(members, ["rep", "component"], F.col("count"), F.lit(0), F.lit(False), TILE))
+    placed = in_steps(rows, ["component"], rows.count() // STEP_ROWS).join(vectors.select("rep", "copies", "unit"), "rep")
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        reps, found = [], []
+        for tile in tiles_of({c: pdf[c].to_numpy() for c in ("component", "i", "j", "side", "rep", "copies", "unit")}, ["component"]):
+            rows, cols, one = tile_sides(tile)
+            x = np.frombuffer(b"".join(tile["unit"].tolist()), dtype="<f8").reshape(len(tile["rep"]), -1)  # links are between equal lengths
+            link = x[rows] @ x[cols].T >= least
+            if one:
+                np.fill_diagonal(link, False)
+            reps.append(tile["rep"][rows])
+            found.append(link @ tile["copies"][cols])
+            if not one:
+                reps.append(tile["rep"][cols])
+                found.append(link.T @ tile["copies"][rows])
+        return pd.DataFrame({"rep": np.concatenate(reps), "found": np.concatenate(found)})
+
+    return placed.groupBy("step").applyInPandas(step, "rep long, found long").groupBy("rep").agg(F.sum("found").alias("found"))
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -188,33 +241,33 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     marked = rows.select("id", "vector", fit.alias("fit")).withColumns({"low": F.when(F.col("fit"), F.xxhash64("vector")), "high": F.when(F.col("fit"), F.xxhash64(F.lit(1), "vector"))})
     classes = stash(marked.where("fit").groupBy("low", "high").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     placed = stash(marked.join(classes, ["low", "high"], "left").select("id", "rep", "copies", F.when(F.col("id") == F.col("rep"), F.col("vector")).alias("vector")))
-    vectors = stash(placed.where(F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "vector"))
+    vectors = stash(unit_vectors(placed.where(F.col("id") == F.col("rep")).dropDuplicates(["rep"])))
 
     posted = stash(post(vectors, tables, probes))
     mask = F.xxhash64("slot")
     own = F.when(F.col("home"), F.col("rep").bitwiseXOR(mask))
-    met = stash(posted.groupBy("slot", "cell").agg(F.count("*").alias("n"), F.min(own).bitwiseXOR(mask).alias("centre")).where(F.col("centre").isNotNull() & (F.col("n") > 1)))
-    tried = posted.join(met, ["slot", "cell"]).where(F.col("rep") != F.col("centre")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    tried = stash(tried)
-    links = stash(linked(tried, vectors, least))
-
-    parts = stash(_labelled(vectors, links))
-    members = posted.join(met.select("slot", "cell"), ["slot", "cell"]).join(parts, "rep")
-    mixed = stash(members.groupBy("slot", "cell").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("slot", "cell", "n"))
-    members = stash(members.join(mixed, ["slot", "cell"]))
-    short = members.where(F.col("n") <= SHORT_CELL)
-    other = short.select("slot", "cell", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("home").alias("home_b"))
-    few = short.join(other, ["slot", "cell"]).where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("of_b")) & (F.col("home") | F.col("home_b")))
-    few = linked(few.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), vectors, least)
-    tiles = tiled(members.where(F.col("n") > SHORT_CELL), ["slot", "cell"], F.col("n")).drop("n").join(vectors.select("rep", "vector"), "rep")
-    many = tiles.groupBy("slot", "cell", "i", "j").applyInPandas(lambda pdf: _forest(pdf, least), "a long, b long")
-    links = stash(links.union(few).union(many).distinct())
-    parts = stash(_labelled(vectors, links))
-
-    sizes = stash(parts.groupBy("component").count().where(F.col("count") > 1))
-    inside = parts.join(sizes, "component").join(vectors, "rep")
-    counted = tiled(inside, ["component"], F.col("count")).groupBy("component", "i", "j").applyInPandas(lambda pdf: _count(pdf, least), "rep long, found long")
-    found = counted.groupBy("rep").agg(F.sum("found").alias("found"))
+    met = posted.groupBy("slot", "cell").agg(F.count("*").alias("n"), F.min(own).bitwiseXOR(mask).alias("centre")).where(F.col("centre").isNotNull() & (F.col("n") > 1))
+    kept = stash(posted.join(met.select("slot", "cell", "centre"), ["slot", "cell"]))  # cells of one vector, or that are no vector's own, give no pair
+    discard(classes, posted)
+    hits = kept.where(F.col("rep") != F.col("centre")).groupBy("rep", "centre").agg(F.count("*").alias("hits"))
+    tried = hits.groupBy("rep").agg(F.max_by("centre", F.struct("hits", "centre")).alias("centre"))
+    pairs = stash(tried.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+    links = stash(linked(pairs, vectors, least))
+
+    # Whatever may link and is still apart: first likely pairs, then all.
+    parts, kept_rows = stash(labelled(vectors, links)), kept.drop("centre")
+    for likely in (least, None):
+        more = stash(unresolved(kept_rows, parts, vectors, least, likely).join(pairs, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            continue
+        old = (pairs, links, parts)
+        pairs = stash(pairs.union(more))
+        links = stash(links.union(linked(more, vectors, least)))
+        parts = stash(labelled(vectors, links))
+        discard(*old, more)
+    discard(kept, pairs, links)
+    found = stash(counted(parts, vectors, least))
+    discard(vectors)
     out = placed.drop("vector").join(parts.join(found, "rep", "left"), "rep", "left")
     n = F.coalesce("found", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     component = F.coalesce("component", "id")
