@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, task_rows, with_position
+from .common import arrow_schema, bounded, task_rows, with_position
+
+
+#: Bytes up to which the partitions' rows of the matrix are broadcast; a larger matrix is joined to the rows instead.
+BROADCAST_BYTES = 32 << 20
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -57,29 +61,35 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     pids, counts = np.array([p for p, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
     sizes = shard_sizes(int(counts.sum()), shards)
     matrix = communication_matrix(counts, sizes, seed)
-    shared = spark.sparkContext.broadcast((pids, counts, np.cumsum(matrix, axis=1)))  # partitions x shards counts
+    ends = np.cumsum(matrix, axis=1)
     schema = T.StructType(placed.schema.fields + [T.StructField("shard", T.IntegerType())])
     to = arrow_schema(schema)
+    small, names = ends.nbytes <= BROADCAST_BYTES, placed.columns
+    if small:
+        shared = spark.sparkContext.broadcast((pids, ends))
+        given = placed
+    else:
+        rows = spark.createDataFrame(zip(pids.tolist(), ends.tolist(), strict=True), "_pid long, _ends array<long>")
+        shared, given = None, placed.join(rows, "_pid").select(*placed.columns, "_ends")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pids, counts, ends = shared.value
-        last, order = -1, np.empty(0, dtype=np.int64)
+        last, order, mine = -1, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         for batch in batches:
             pid, row = np.asarray(batch.column("_pid")), np.asarray(batch.column("_row"))
             shard = np.empty(len(pid), dtype=np.int32)
             for p in np.unique(pid):
-                k = int(np.searchsorted(pids, p))
+                at = np.flatnonzero(pid == p)
                 if p != last:
-                    last, order = p, np.random.default_rng([seed, 1, int(p)]).permutation(counts[k])
-                at = pid == p
-                shard[at] = np.searchsorted(ends[k], order[row[at]], side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], schema=to)
+                    mine = shared.value[1][np.searchsorted(shared.value[0], p)] if shared else np.asarray(batch.column("_ends")[int(at[0])].values)
+                    last, order = p, np.random.default_rng([seed, 1, int(p)]).permutation(mine[-1])
+                shard[at] = np.searchsorted(mine, order[row[at]], side="right")
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(shard)], schema=to)
 
-    dealt = placed.mapInArrow(deal, schema)
+    dealt = bounded(given).mapInArrow(deal, schema)
     again = F.xxhash64(F.lit(seed), F.col("_pid"), F.col("_row"))
-    names = [c for c in dealt.columns if c not in ("_pid", "_row")]
-    placed = with_position(dealt.select(*names, again.alias("_again"), F.struct("_pid", "_row").alias("_tie")), [F.col("shard"), F.col("_again"), F.col("_tie")], "slot")
-    small = int(sizes.min())
-    larger = int((sizes > small).sum())  # the first shards have one row more
-    start = F.col("shard").cast("long") * small + F.least("shard", F.lit(larger))
-    return placed.withColumn("slot", F.col("slot") - start).select(*[c for c in names], "slot")
+    shown = [c for c in dealt.columns if c not in ("_pid", "_row")]
+    placed = with_position(dealt.select(*shown, again.alias("_again"), F.struct("_pid", "_row").alias("_tie")), [F.col("shard"), F.col("_again"), F.col("_tie")], "slot")
+    least = int(sizes.min())
+    larger = int((sizes > least).sum())  # the first shards have one row more
+    start = F.col("shard").cast("long") * least + F.least("shard", F.lit(larger))
+    return placed.withColumn("slot", F.col("slot") - start).select(*shown, "slot")
