@@ -32,8 +32,8 @@ def turn_prefixes(turns: DataFrame) -> DataFrame:
     firsts = runs.groupBy("conv", "_pid").agg(F.min("_row").alias("_first"))
     starts = stash(sizes.join(firsts, ["conv", "_pid"]).select("conv", "_pid", "_first", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")))
     placed = runs.join(starts, ["conv", "_pid"]).withColumn("place", F.col("_row") - F.col("_first") + F.col("_before") + 1)
-    role, text = F.coalesce("role", F.lit("\0null")), F.coalesce("text", F.lit("\0null"))
-    placed = stash(placed.withColumns({"_low": F.xxhash64(F.lit(1), "place", role, text), "_high": F.xxhash64(F.lit(2), "place", text, role)}))
+    parts = [x for c in ("role", "text") for x in (F.col(c).isNull(), F.col(c))]  # a null changes no hash by itself
+    placed = stash(placed.withColumns({"_low": F.xxhash64(F.lit(1), "place", *parts), "_high": F.xxhash64(F.lit(2), "place", *parts[2:], *parts[:2])}))
     sums = placed.groupBy("conv", "_pid").agg(F.bit_xor("_low").alias("_run_low"), F.bit_xor("_high").alias("_run_high"))
     carried = stash(sums.select("conv", "_pid", *[F.coalesce(F.bit_xor(f"_run_{c}").over(before), F.lit(0)).alias(f"_carry_{c}") for c in ("low", "high")]))
     inside = Window.partitionBy("conv", "_pid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

@@ -41,7 +41,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = quality.cascade(docs, report=report, keep_text=False)
-    return out.select("doc_id", *report, "base_failed", "kept", "failed_rule")
+    return out.select("doc_id", *report, "base_failed", "kept")  # which rule was first to reject depends on the costs measured
 
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n"))
     out = mixing.pareto_mix(docs, F.col("n"), F.col("source"), [F.col("doc_id")], MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "inclusion", "copies")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = private_data.detect_private_data(docs, keep_text=False)
     counts = [private_data.count_of(F.col("pii"), k.name).alias(f"n_{k.name}") for k in private_data.BASE]
-    return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"))
+    return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), private_data.count_of(F.col("pii"), "secret").alias("n_secret"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_conversations, op3_html_text, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
@@ -96,5 +96,30 @@ WITH turns AS (
   FROM placed SEMI JOIN kept USING (conv_id) GROUP BY ALL
 )
 SELECT conv_id, piece, n_pieces, n_turns, rendered, length(rendered) AS n_chars FROM pieces
+""",
+    # All rules decide together, so the verdict is the same in any order of the cascade.
+    "op4_quality": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
+), windows AS (
+  SELECT doc_id, k, w[k:k + 2] AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM split)
+), marked AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS found FROM windows) WHERE found > 1
+  ) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(marked.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_shouted
+  FROM split LEFT JOIN marked USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_shouted > n_words) AS kept FROM judged
 """,
 }

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_operators import WORD, brute_near, brute_quality, check_packing
 from tokenizers import Tokenizer
 
@@ -70,6 +71,28 @@ def test_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_odd_rows(spark, odd_docs):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, and columns that the stages use themselves."""
+    docs = odd_docs.withColumns({c: F.lit("mine") for c in ("_number", "copy", "copies", "component_id", "redacted", "_group")})
+    rows = docs.select(*corpus_pipeline.COLUMNS).collect()
+    out = {name: stage(spark, docs, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    assert {r["doc_id"] for r in out["quality"]} <= {5, 6, None}
+    assert Counter(r["doc_id"] for r in out["near_duplicates"]) == Counter([0, 1, 2, 3, 5, None, 7])
+    assert sorted(map(str, out["private_data"])) == sorted(map(str, [r if r["text"] is not None else r for r in (row.__class__(**(row.asDict() | {"n_chars": None if row["text"] is None else len(row["text"])})) for row in rows)]))
+    assert {r["doc_id"] for r in out["mixing"]} <= {r["doc_id"] for r in rows} and all(len(r) == 5 for r in out["mixing"])
+    assert Counter(r["doc_id"] for r in out["packing"] if r["start"] == 0) == Counter(r["doc_id"] for r in rows)
+    assert sum(r["length"] for r in out["packing"] if r["doc_id"] == 0) == 1
+
+
+def test_run_leaves_no_tables_behind(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(set(folder.iterdir()) - before) <= 1  # the last stage's input
+
+
 def test_mixing_samples_rows_without_an_id(spark):
     # A third of each source has a null id, another third one id in common.
     rows = [(None if k % 3 == 0 else -1 if k % 3 == 1 else k, f"w{k} " * (20 + k % 17), "en", "abc"[k // 300], 0) for k in range(900)]
