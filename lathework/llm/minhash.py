@@ -142,9 +142,9 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                             others[:, k - COORDINATES] = np.minimum.reduceat((short ^ _XOR[k].astype(np.uint32)) * _TIMES[k].astype(np.uint32), at).astype(np.uint8)
                     low[full] = np.add.reduceat(_mixed(h, 1), at).view(np.int64)
                     high[full] = np.bitwise_xor.reduceat(_mixed(h, 2), at).view(np.int64)
-                sketch = np.hstack([(listed >> np.uint64(8)).astype("<u4").view(np.uint8).reshape(len(at), -1), others])
+                sketch = np.hstack([(listed >> np.uint64(8)).astype("<u4").view(np.uint8).reshape(len(at), 4 * COORDINATES), others])
                 columns = [part.column(key), pa.array(n), pa.array(low), pa.array(high)]
-                for rows, name in ((listed.astype("<u8").view(np.uint8).reshape(len(at), -1), "slots"), (sketch, "sketch")):
+                for rows, name in ((listed.astype("<u8").view(np.uint8).reshape(len(at), 8 * COORDINATES), "slots"), (sketch, "sketch")):
                     each = iter(rows)
                     columns.append(pa.array([next(each).tobytes() if f else None for f in full], to.field(name).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=to)
