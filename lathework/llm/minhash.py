@@ -332,7 +332,7 @@ def likely_pairs(listed: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFr
 
 
 def remaining_links(listed: DataFrame, parts: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join all components which any candidate pair links."""
+    """A stash of links (a, b) that join all components which any candidate pair links."""
     kinds = "slot long, i int, j int, side int, rep long, component long, n_shingles long, posted long"
     found = stash(tiled(listed, parts, reps).groupBy("step").applyInPandas(_involved, kinds))
     sized = found.join(texts.select("rep", F.octet_length("text").alias("bytes")), "rep")
@@ -379,11 +379,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     parts = stash(labelled(reps, links))
     likely = stash(likely_pairs(listed, parts, reps).join(pairs, ["a", "b"], "left_anti"))
     discard(pairs)
-    for more in (lambda: similar(likely, texts), lambda: remaining_links(listed, parts, reps, texts)):
-        old = (links, parts)
-        links = stash(links.union(more()))
-        parts = stash(labelled(reps, links))
-        discard(*old)
+    for more in (lambda: stash(similar(likely, texts)), lambda: remaining_links(listed, parts, reps, texts)):
+        new, old = more(), (links, parts)
+        if new.limit(1).count():
+            links = stash(links.union(new))
+            parts = stash(labelled(reps, links))
+            discard(*old)
+        discard(new)
     discard(reps, listed, texts, likely, links)
     out = placed.join(parts, "rep", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -272,9 +272,29 @@ def test_minhash(spark, monkeypatch, rows, tile):
     assert len(got) == len(texts)
     for r in got:
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+
+
+def test_minhash_without_keys_and_rows(spark):
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     assert sorted(str(r["component_id"]) for r in minhash.near_duplicates(nulls).collect()) == ["1", "1", "None", "None"]
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert minhash.near_duplicates(nulls.limit(0)).count() == 0
+
+
+def test_minhash_of_a_large_group_and_long_texts(spark, monkeypatch):
+    """A group whose pairs lie on both sides of the border, confirmed in tiles of a few texts; and two long texts."""
+    monkeypatch.setattr(minhash, "STEP_BYTES", 3000)
+    rng, stem = random.Random(7), [f"t{k}" for k in range(60)]
+    texts = {}
+    for k in range(120):
+        words = list(stem)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(60)] = f"e{k}x{rng.randrange(9)}"
+        texts[k] = " ".join(words)
+    long = [f"w{k % 9973}y{k % 17}" for k in range(100_000)]
+    texts |= {1000: " ".join(long), 1001: " ".join(long[:90_000]), 1002: " ".join(long[50_000:])}
+    sets, want = brute_near(texts)
+    for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
 
 
 def test_components(spark):

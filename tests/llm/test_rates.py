@@ -18,7 +18,7 @@ def test_inclusion_frequencies(spark):
     rows = [(k, sizes[k % 5], "abc"[k % 3]) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, n long, source string").cache()
     drawn, stated, n = Counter(), Counter(), Counter()
-    for seed in range(6):
+    for seed in range(4):
         words, target = Counter(), {}
         for r in mixing.pareto_mix(docs, F.col("n"), F.col("source"), [F.col("doc_id")], WEIGHTS, SHARE, MOST, seed=seed).collect():
             sure = int(r["target"] // r["source_size"])
@@ -32,7 +32,7 @@ def test_inclusion_frequencies(spark):
         # The expected words of the sample are the words that remain.
     for s, t in target.items():
         whole = sum(size for _, size, source in rows if source == s)
-        assert sum(stated[s, k] * k for k in set(sizes)) / 6 == pytest.approx(t - t // whole * whole)
+        assert sum(stated[s, k] * k for k in set(sizes)) / 4 == pytest.approx(t - t // whole * whole)
     for key, k in n.items():
         p = stated[key] / k
         assert abs(drawn[key] / k - p) < 4 * np.sqrt(p * (1 - p) / k) + 0.005
@@ -49,7 +49,7 @@ def test_one_size_gives_equal_probabilities(spark):
     assert Counter(r["copies"] for r in rows) == {1: 250, 2: 250}
 
 
-@pytest.mark.parametrize("d", [16, 64, 256])
+@pytest.mark.parametrize("d", [16, 256])
 def test_recall_of_lone_pairs(spark, d):
     # Pairs at a cosine of 0.95 to 0.97, each alone.
     rng = np.random.default_rng(d)
