@@ -41,8 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     placed = ranks.join(groups, "_number", "left")
     alone = F.col("_group").isNull()
     by = [F.col("_group"), F.when(alone, F.col("doc_id")), F.when(alone, F.col("_hash"))]
-    kept = stash(placed.groupBy(*[c.alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.min("_rank").alias("_rank")).select("_rank._number"))
-    return docs.join(kept, "_number", "left_semi").select(*COLUMNS)
+    kept = placed.groupBy(*[c.alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.min("_rank").alias("_rank")).select("_rank._number")
+    # Fewer rows go than stay, so the texts are joined with those that go.
+    gone = stash(ranks.select("_number").join(stash(kept), "_number", "left_anti"))
+    return docs.join(gone, "_number", "left_anti").select(*COLUMNS)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
