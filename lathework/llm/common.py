@@ -15,6 +15,8 @@ from ..sources.stash import discard, finished, stash  # noqa: F401  for the oper
 
 #: Bytes of text that one step inside a task works on; longer single texts form a slice of their own.
 SLICE_BYTES = 1 << 20
+#: Rows of 16 bytes up to which a table of one row for each partition is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1 << 17
 #: Bytes of an Arrow batch that Spark hands to Python (one row at least).
 BATCH_BYTES = 4 << 20
 
@@ -47,6 +49,8 @@ def with_position(df: DataFrame, order: list[Column], to: str) -> DataFrame:
         total += n
     spark = df.sparkSession
     offsets = spark.createDataFrame(starts, "_pid long, _start long")  # one row for each partition
+    if len(starts) <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return placed.join(offsets, "_pid").withColumn(to, F.col("_start") + F.col("_row")).drop("_pid", "_row", "_start")
 
 
