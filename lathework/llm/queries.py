@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, html_text, lattice, minhash, mixing, packing, private_data, quality, sharding, token_counts
+from . import alignment, conversations, divergence, html_text, lattice, minhash, mixing, packing, private_data, quality, secret_scan, sharding, token_counts
 from .common import word_count
 
 #: Production parameters.
 TOKENIZER = "word_bpe_49k.json"
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 40
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 MIX_SHARE, MIX_MOST = 1.5, 2.0
@@ -75,7 +76,28 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, private_data.base_digest(F.col("pii")).alias("base_sha256"), private_data.written(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), private_data.count_of(F.col("pii"), "secret").alias("n_secret"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_conversations, op3_html_text, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align_tokens(docs, public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B), keep_text=False)
+    groups = F.col("groups")
+    digest = F.when(F.size(groups) > 0, F.sha2(alignment.written(groups), 256)).otherwise("")
+    digested = aligned.select("doc_id", *[c.alias(n) for n, c in alignment.totals(groups).items()], digest.alias("groups_sha256"), "links")
+    return alignment.score_links(digested)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_scan.scan_secrets(docs, keep_text=False)
+    spans = F.col("secrets")
+    counts = [private_data.count_of(spans, k).alias(f"n_{k}") for k in secret_scan.BASE]
+    return out.select("doc_id", *counts, secret_scan.base_digest(spans).alias("base_sha256"), secret_scan.written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_conversations, op3_html_text, op4_quality, op5_lattice, op6_token_counts, op7_mixing, op8_minhash, op9_packing, op10_private_data, op11_divergence, op12_alignment, op13_secrets)}
 ORACLES = {
     "op2_conversations": """
 WITH turns AS (
@@ -121,5 +143,21 @@ split AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
     OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_shouted > n_words) AS kept FROM judged
+""",
+    # Every pair and every term are compared, without an index.
+    "op11_divergence": r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+tokens AS (SELECT lang, source, k, unnest(t) AS term FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, kept.term FROM groups g JOIN kept USING (lang)),
+counts AS (SELECT cells.*, coalesce(n, 0) AS n FROM cells LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL) USING (lang, source, term)),
+p AS (SELECT *, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g))::BIGINT AS p FROM counts WINDOW g AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g))::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) WINDOW g AS (PARTITION BY lang)),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(d.value, 0)::BIGINT AS value FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY ALL) d ON d.lang = g.lang AND d.source = g.source AND d.item = o.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR rank <= 50
 """,
 }
