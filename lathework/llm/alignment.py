@@ -7,16 +7,17 @@ tokens of each side form its group.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +27,10 @@ from .token_counts import byte_letters
 #: Labels of a byte: no token ends, one of A, one of B, both.
 NONE, A_END, B_END, BOTH = b"-AB|"
 SPAN = re.compile(rb"[-AB]*\|")
-#: Characters of a text that are tokenized at once, as long as it has spaces to cut at.
+#: Characters of new words that are tokenized at once.
 SEGMENT = 1 << 15
+#: Distinct words, and ids of theirs, that a worker keeps.
+MOST_WORDS, MOST_IDS = 1 << 19, 1 << 23
 #: Id pairs of a group that are listed at once.
 PAIRS = 1 << 20
 #: Rows (about 24 bytes) up to which the table of id pairs is broadcast; a larger one is joined by shuffling.
@@ -39,30 +42,44 @@ GROUPS = T.ArrayType(T.StructType([T.StructField("a", T.ArrayType(T.IntegerType(
 LINKS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]))
 
 
-def parts(text: str) -> list[str]:
-    """The text cut at single spaces between other signs and ASCII letters, in parts of about SEGMENT characters.
+#: Where a text is cut into words: single spaces between other signs. No token of either side spans such a place: a word
+#: of A starts with the space, and B's pieces (checked when they are loaded) have their space sign in front. So each
+#: distinct word is tokenized once, B adding the space itself, and the words' groups in order are the text's.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_NO_IDS = np.empty(0, dtype=np.int32)
 
-    No token of either side spans such a place: a word of A starts with the space, and B's pieces (checked when they
-    are loaded) have their space sign in front. Joined by spaces the parts are the text.
-    """
-    out, at = [], 0
-    while len(text) - at > SEGMENT:
-        cut = _CUT.search(text, at + SEGMENT)
-        if not cut:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
 
+class Ragged:
+    """Arrays of many words, one after the other."""
 
-_CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
+    def __init__(self, dtype: type) -> None:
+        self.values, self.ends = np.empty(0, dtype=dtype), np.zeros(1, dtype=np.int64)
 
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, values])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + sizes.cumsum()])
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """The values of these words in order."""
+        size = self.ends[which + 1] - self.ends[which]
+        total = size.cumsum()
+        return self.values[np.repeat(self.ends[which] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
 
-_NO_IDS = np.empty(0, dtype=np.int32)
+
+@dataclass(frozen=True)
+class Aligned:
+    """A text's ids of both sides, the tokens of each side in each group, and its distinct links with their token pairs."""
+
+    a: np.ndarray
+    b: np.ndarray
+    of_a: np.ndarray
+    of_b: np.ndarray
+    links: np.ndarray
+    n: np.ndarray
 
 
 class Aligner:
-    """Both tokenizers with the bytes of each of their tokens."""
+    """Both tokenizers with the bytes of each of their tokens, and the aligned words that were met so far."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
@@ -80,23 +97,23 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        # A space inside a piece, or an A that does not cut words off at spaces, would make the parts of a text depend on each other.
+        # A space inside a piece, or an A that does not cut words off at spaces, would make the words of a text depend on each other.
         self.cuts = not any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces) and [t for t, _ in self.a.pre_tokenizer.pre_tokenize_str("x y")] == ["x", "Ġy"]
+        self._clear()
 
-    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sound = np.empty(0, dtype=bool)
+        self.ids_a, self.ids_b, self.of_a, self.of_b = (Ragged(t) for t in (np.int32, np.int32, np.int64, np.int64))
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the ids of A for a space and the text, and those of B for the text; none where the bytes of either are not those of a space and the text."""
-        cut = [(parts(t) if self.cuts else [t]) if t else [] for t in texts]
-        flat = [p for c in cut for p in c]
-        sides = [[e.ids for e in self.a.encode_batch_fast([f" {p}" for p in flat], add_special_tokens=False)], self.b.encode(flat, num_threads=1)]
-        out, at = [], 0
-        for text, c in zip(texts, cut, strict=True):
-            pair = []
-            for found, names in zip(sides, (self.bytes_a, self.bytes_b), strict=True):
-                ids = [k for part in found[at : at + len(c)] for k in part]
-                if text and b"".join(map(names.__getitem__, ids)) == f" {text}".encode():
-                    pair.append(np.array(ids, dtype=np.int32))
-            out.append((pair[0], pair[1]) if len(pair) == 2 else (_NO_IDS, _NO_IDS))
-            at += len(c)
+        sides = [[e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
+        out = []
+        for text, *pair in zip(texts, *sides, strict=True):
+            whole = f" {text}".encode()
+            same = text and all(b"".join(map(names.__getitem__, ids)) == whole for ids, names in zip(pair, (self.bytes_a, self.bytes_b), strict=True))
+            out.append(tuple(np.array(ids, dtype=np.int32) for ids in pair) if same else (_NO_IDS, _NO_IDS))
         return out
 
     def labels(self, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -107,13 +124,64 @@ class Aligner:
         marks[ends[1]] += 2
         return np.frombuffer(bytes([NONE, A_END, B_END, BOTH]), dtype=np.uint8)[marks].tobytes()
 
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of A and of B in each group, in order."""
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of A, tokens of B and bytes in each group, in order."""
         spans = SPAN.findall(self.labels(a, b))
         both = 1  # the label that closes a span
         of_a = np.array([s.count(A_END) + both for s in spans], dtype=np.int64)
         of_b = np.array([s.count(B_END) + both for s in spans], dtype=np.int64)
-        return of_a, of_b
+        return of_a, of_b, np.array([len(s) for s in spans], dtype=np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Aligns new words. Joined by spaces they are tokenized together, unless a word among them doesn't come back byte by byte."""
+        runs: list[list[str]] = [[]]
+        room = SEGMENT
+        for w in words:
+            if room < 0 or not self.cuts or w[:1].isspace() or w[-1:].isspace():  # at whose edge a space would not stand alone
+                runs.append([])
+                room = SEGMENT
+            runs[-1].append(w)
+            room = room - len(w) if not w[-1:].isspace() else -1
+        runs = [r for r in runs if r]
+        again: list[str] = []
+        for run, (a, b) in zip(runs, self.ids([" ".join(r) for r in runs]), strict=True):
+            if len(a) or len(run) == 1:
+                self._keep(run, a, b)
+            else:
+                again += run
+        for run, (a, b) in zip(again, self.ids(again), strict=True) if again else ():
+            self._keep([run], a, b)
+
+    def _keep(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Takes a run of words apart again: all of them end where groups end."""
+        of_a, of_b, size = self.groups(a, b)
+        cut = np.zeros(len(words) + 1, dtype=np.int64)  # groups before each word
+        if len(a):
+            cut[1:] = np.searchsorted(size.cumsum(), np.cumsum([1 + len(w.encode()) for w in words])) + 1
+        for ids, of, of_ids in ((a, of_a, self.ids_a), (b, of_b, self.ids_b)):
+            of_ids.add(ids, np.diff(np.concatenate([[0], of.cumsum()])[cut]))
+        self.of_a.add(of_a, np.diff(cut))
+        self.of_b.add(of_b, np.diff(cut))
+        self.sound = np.append(self.sound, np.full(len(words), bool(len(a))))
+        for w in words:
+            self.known[w] = len(self.known)
+
+    def align(self, texts: list[str | None]) -> list[Aligned]:
+        """All texts; those without tokens have empty arrays."""
+        if len(self.known) > MOST_WORDS or len(self.ids_a.values) > MOST_IDS:
+            self._clear()
+        words = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.known]
+        if new:
+            self._learn(new)
+        out = []
+        for ws in words:
+            which = np.array([self.known[w] for w in ws], dtype=np.int64)
+            if not self.sound[which].all():
+                which = which[:0]
+            a, b, of_a, of_b = (r.take(which) for r in (self.ids_a, self.ids_b, self.of_a, self.of_b))
+            out.append(Aligned(a, b, of_a, of_b, *linked(a, b, of_a, of_b)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -153,46 +221,44 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return known, np.bincount(which, np.concatenate(counts), len(known)).astype(np.int64)
 
 
-def align_tokens(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep_text: bool = True) -> DataFrame:
+def align_tokens(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep_text: bool = True, keep_groups: bool = True, derive: Callable[[list[Aligned]], dict[str, pa.Array]] | None = None, derived: T.StructType | None = None) -> DataFrame:
     """Adds `groups` (the ids of A and of B in each smallest run of bytes that tokens of both fill) and `links`.
 
     A is the tokenizers file `path_a`, a byte-level BPE, and reads a space and the text; B is the sentencepiece model
     `path_b`, which adds that space itself. Special strings in a text are plain text. `links` has each distinct pair
-    of an A id and a B id that share a group, with `n`, the number of their token pairs.
+    of an A id and a B id that share a group, with `n`, the number of their token pairs. `derive` makes columns of the
+    schema `derived` from the aligned rows of a batch inside the task, where the groups need not be sent back
+    (keep_groups false).
 
     Null and empty texts have no groups and no links, and so have texts that one of the two doesn't give back byte by
-    byte. Repeated rows are aligned each; columns named groups or links are replaced. One pass without a shuffle; a
-    long text is tokenized in parts that are cut where no token can span, so memory grows with its ids alone.
+    byte. Repeated rows are aligned each; columns of the names that are added are replaced. One pass without a
+    shuffle; a long text is tokenized in words, cut where no token can span, so memory grows with its ids alone.
     """
-    df = df.drop("groups", "links")
+    more = [T.StructField("groups", GROUPS)] * keep_groups + [T.StructField("links", LINKS)] + (list(derived.fields) if derived else [])
+    df = df.drop(*[f.name for f in more], "groups")
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
-    schema = T.StructType(fields + [T.StructField("groups", GROUPS), T.StructField("links", LINKS)])
+    schema = T.StructType(fields + more)
     to = arrow_schema(schema)
 
-    def lists(values: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-
-    def nested(ids: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
-        offsets = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-
-    def columns(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
-        machine = aligner(path_a, path_b)
-        ids = machine.ids(texts)
-        sizes = [machine.groups(a, b) for a, b in ids]
-        pairs = [linked(a, b, x, y) for (a, b), (x, y) in zip(ids, sizes, strict=True)]
-        sides = [nested([i[k] for i in ids], np.concatenate([s[k] for s in sizes])) for k in (0, 1)]
-        group = pa.StructArray.from_arrays(sides, fields=list(to.field("groups").type.value_type))
-        keys = np.concatenate([k for k, _ in pairs])
-        flat = [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(np.concatenate([n for _, n in pairs]))]
-        link = pa.StructArray.from_arrays(flat, fields=list(to.field("links").type.value_type))
-        return pa.ListArray.from_arrays(pa.array(lists([x for x, _ in sizes])), group), pa.ListArray.from_arrays(pa.array(lists([k for k, _ in pairs])), link)
+    def listed(flat: pa.Array, sizes: list[int] | np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
+    def columns(rows: list[Aligned]) -> dict[str, pa.Array]:
+        out = derive(rows) if derive else {}
+        if keep_groups:
+            sides = [listed(pa.array(np.concatenate([getattr(r, k) for r in rows]), pa.int32()), np.concatenate([getattr(r, f"of_{k}") for r in rows])) for k in "ab"]
+            out["groups"] = listed(pa.StructArray.from_arrays(sides, fields=list(to.field("groups").type.value_type)), [len(r.of_a) for r in rows])
+        keys = np.concatenate([r.links for r in rows])
+        flat = [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(np.concatenate([r.n for r in rows]))]
+        out["links"] = listed(pa.StructArray.from_arrays(flat, fields=list(to.field("links").type.value_type)), [len(r.links) for r in rows])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = aligner(path_a, path_b)
         for batch in batches:
             for part in slices(batch, text):
-                made = [c.cast(to.field(n).type) for n, c in zip(("groups", "links"), columns(part.column(text).to_pylist()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), *made], schema=to)
+                made = columns(machine.align(part.column(text).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), *(made[f.name].cast(to.field(f.name).type) for f in more)], schema=to)
 
     return bounded(df).mapInArrow(run, schema)
 
@@ -229,21 +295,29 @@ def score_links(df: DataFrame) -> DataFrame:
     return rows.drop("links").join(sums, "number", "left").select("row.*", *[F.coalesce(c, zero).alias(c) for c in ("n_best", "count_sum")])
 
 
-def written(groups: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
-    return F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
+SUMMARY = T.StructType([T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")] + [T.StructField("written_sha256", T.StringType())])
 
 
-def totals(groups: Column) -> dict[str, Column]:
-    """n_a, n_b, n_groups and n_links (token pairs that share a group) of a row's groups."""
-    zero = F.lit(0).cast("long")
+@lru_cache(maxsize=1)
+def _names(most: int) -> list[str]:
+    """Each id followed by each of the signs of written()."""
+    return [f"{k}{sign}" for k in range(most) for sign in ",|;"]
 
-    def summed(of) -> Column:
-        return F.aggregate(groups, zero, lambda n, g: n + of(g).cast("long"))
 
-    return {
-        "n_a": summed(lambda g: F.size(g["a"])),
-        "n_b": summed(lambda g: F.size(g["b"])),
-        "n_groups": F.size(groups).cast("long"),
-        "n_links": summed(lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])),
-    }
+def written(row: Aligned) -> str:
+    """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
+    if not len(row.a):
+        return ""
+    codes = np.empty(len(row.a) + len(row.b), dtype=np.int64)
+    for ids, of, before, sign in ((row.a, row.of_a, row.of_b.cumsum() - row.of_b, 1), (row.b, row.of_b, row.of_a.cumsum(), 2)):
+        code = 3 * ids.astype(np.int64)
+        code[of.cumsum() - 1] += sign  # the last of its group
+        codes[np.arange(len(ids)) + np.repeat(before, of)] = code
+    return "".join(map(_names(int(codes.max()) // 3 + 1 | 0xFFFF).__getitem__, codes.tolist()))[:-1]
+
+
+def summarized(rows: list[Aligned]) -> dict[str, pa.Array]:
+    """Columns SUMMARY, for derive: tokens of each side, groups, token pairs, and the sha256 of written() (empty without tokens)."""
+    sums = {"n_a": [len(r.a) for r in rows], "n_b": [len(r.b) for r in rows], "n_groups": [len(r.of_a) for r in rows], "n_links": [int(r.of_a @ r.of_b) for r in rows]}
+    texts = map(written, rows)
+    return {**{k: pa.array(v, pa.int64()) for k, v in sums.items()}, "written_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())}

@@ -82,11 +82,8 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = alignment.align_tokens(docs, public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B), keep_text=False)
-    groups = F.col("groups")
-    digest = F.when(F.size(groups) > 0, F.sha2(alignment.written(groups), 256)).otherwise("")
-    digested = aligned.select("doc_id", *[c.alias(n) for n, c in alignment.totals(groups).items()], digest.alias("groups_sha256"), "links")
-    return alignment.score_links(digested)
+    aligned = alignment.align_tokens(docs, public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B), keep_text=False, keep_groups=False, derive=alignment.summarized, derived=alignment.SUMMARY)
+    return alignment.score_links(aligned).withColumnRenamed("written_sha256", "groups_sha256")
 
 
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,13 +141,14 @@ def test_alignment_of_odd_texts(monkeypatch, segment):
     rng = random.Random(0)
     some = ["word", " ", "  ", "\n", "x", "12", ",", "Ünï", "日本", "🙂", "A", "'s", "▁", "<s>"]
     texts = ODD_TEXTS + ["".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(300)] + ["plain words " * 9000 + "日本 " * 100]
-    for text, (a, b) in zip(texts, machine.ids(texts), strict=True):
-        of_a, of_b = machine.groups(a, b)
+    machine._clear()
+    for text, row in zip(texts, machine.align(texts), strict=True):
+        a, b, of_a, of_b, keys, n = row.a, row.b, row.of_a, row.of_b, row.links, row.n
         at_a, at_b = np.cumsum(of_a)[:-1], np.cumsum(of_b)[:-1]
         got = [(x.tolist(), y.tolist()) for x, y in zip(np.split(a, at_a), np.split(b, at_b), strict=True)] if len(of_a) else []
         want = whole(machine, text)
         assert got == want, repr(text[:80])
-        keys, n = alignment.linked(a, b, of_a, of_b)
+        assert alignment.written(row) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want)
         pairs = Counter()
         for x, y in want:
             for (p, m), (q, k) in ((u, v) for u in Counter(x).items() for v in Counter(y).items()):
