@@ -11,24 +11,26 @@ starts at V times its difference at a count of zero, and an inverted index of te
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bounded, slices, stash, words_of
 
-#: Fixed value: a term is a run of ASCII letters and of all signs beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of ASCII letters, A-Z in lower case, and of all signs beyond ASCII; in UTF-8 the bytes of
+#: a term map to themselves or to lower case, and all others to a space.
+TERM_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
+#: Bytes of text whose terms are counted at once.
+COUNTED_BYTES = 4 << 20
+COUNTS = "lang string, source string, term string, n long, docs long"
 #: Occurrences added to each term, and what a probability of one is written as.
 ADDED, ONE = 5, 1_000_000_000
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-
-
 def probability(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(ONE * (count + ADDED) / (total + ADDED * terms)) without rounding; 0 where there are no terms."""
     whole = (count + ADDED).cast("decimal(20,0)") * F.lit(ONE).cast("decimal(10,0)")
@@ -36,17 +38,44 @@ def probability(count: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, share + 1).otherwise(F.lit(0)).cast("long")
 
 
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts in order, and where each text's terms start (one more entry than texts)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(TERM_BYTES)
+    return words_of(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)]))
+
+
+def _counted(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Columns COUNTS of rows (lang, source, text)."""
+    words, starts = terms_of(part.column("text"))
+    words = words.dictionary_encode()
+    known = max(1, len(words.dictionary))
+    sides = [part.column(c).dictionary_encode() for c in ("lang", "source")]
+    lang, source = (np.asarray(s.indices, dtype=np.int64) for s in sides)
+    width = max(1, len(sides[1].dictionary))
+    doc = np.repeat(np.arange(part.num_rows), np.diff(starts))
+    held, n = np.unique(doc * known + np.asarray(words.indices, dtype=np.int64), return_counts=True)
+    row = held // known
+    cells, which = np.unique((lang[row] * width + source[row]) * known + held % known, return_inverse=True)
+    group, term = cells // known, cells % known
+    columns = [sides[0].dictionary.take(pa.array(group // width)), sides[1].dictionary.take(pa.array(group % width)), words.dictionary.take(pa.array(term)).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.bincount(which, w, len(cells)).astype(np.int64)) for w in (n, None))], names=["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group, and the documents that hold it.
 
-    A text's terms are sorted, so that the first of each run of equal ones counts the document. Counts are combined
-    before the shuffle.
+    Counted for some MB of text at a time, then in each task, before the shuffle.
     """
-    found = F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(TERM), F.lit(0))
-    rows = df.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.sort_array(found).alias("terms"))
-    first = F.transform("terms", lambda t, k: F.struct(t.alias("term"), F.when((k > 0) & (F.get("terms", k - 1) == t), 0).otherwise(1).alias("first")))
-    each = rows.select("lang", "source", F.explode(first).alias("t")).select("lang", "source", "t.term", "t.first")
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    rows = df.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", COUNTED_BYTES):
+                yield _counted(part)
+
+    return bounded(rows).mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def divergence_audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 30, top: int = 50) -> DataFrame:
