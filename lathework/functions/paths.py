@@ -13,7 +13,12 @@ def file_name(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Lower-cased text after the last dot of the file name; empty without a dot, and for names like `.profile`."""
-    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+    return F.lower(raw_extension(path))
+
+
+def raw_extension(path: Column) -> Column:
+    """The extension in the case it is written in."""
+    return F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)
 
 
 def base_name(path: Column) -> Column:
@@ -22,8 +27,13 @@ def base_name(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """The folder of a path; empty for a bare name."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    """The folder of a path; empty for a bare name, `/` for what lies in the root."""
+    return F.when(path.rlike(r"^/[^/]*\z"), "/").otherwise(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
+
+
+def joined(folder: Column, name: Column) -> Column:
+    """The path of a name in a folder; an empty folder adds nothing, one that ends in a slash no other."""
+    return F.concat(folder, F.when((folder == "") | folder.endswith("/"), "").otherwise("/"), name)
 
 
 def standard(path: Column) -> Column:

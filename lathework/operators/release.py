@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION = r"^[0-9]+\.[0-9]+\.[0-9]+$"
+#: The whole text, up to its very end.
+VERSION = r"^[0-9]+\.[0-9]+\.[0-9]+\z"
 
 
-def version_parts(tag: Column) -> Column:
-    """The numbers of `vX.Y.Z` or `X.Y.Z`; parts that are not numbers are null."""
-    return F.transform(F.split(F.regexp_replace(tag, "^v", ""), r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), p.cast("long")))
+def version_order(tag: Column) -> Column:
+    """A text whose byte order is that of tags: runs of digits by their number, of any length, all else as it is.
+
+    A tag that goes on stands above the one it goes on from: v2.0.0-rc1 above v2.0.0. Leading zeros do not count.
+    """
+    runs = F.regexp_extract_all(tag, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(r)).cast("string"), 9, "0"), number(r))).otherwise(r)), "")
 
 
 def latest_tag(tags: DataFrame, tag: str = "tag") -> DataFrame:
-    """The highest version among the tags that start with v and a digit, as (tag); no row if there is none."""
-    return tags.where(F.col(tag).rlike("^v[0-9]")).orderBy(version_parts(F.col(tag)).desc(), F.col(tag).desc()).limit(1).select(tag)
+    """The highest version among the tags that start with v and a digit, as (tag); no row if there is none. Tags equal in order go by their text."""
+    return tags.where(F.col(tag).rlike("^v[0-9]")).orderBy(version_order(F.col(tag)).desc(), F.col(tag).desc()).limit(1).select(tag)
 
 
 def bump_kind(labels: Column, bump: Column) -> Column:
@@ -33,19 +39,25 @@ def with_next_version(df: DataFrame, latest: Column, labels: Column, bump: Colum
     """Adds `version` and `error`: the version after `latest` (X.Y.Z with or without v; null or empty: none yet).
 
     A well-formed explicit version is returned as it is, any other one is an error. Without a tag the
-    first version is 1.0.0, whatever the bump. A latest version of another form, or an unknown bump, is an error.
+    first version is 1.0.0, whatever the bump. A latest version of another form, or an unknown bump, is an error; so
+    is a number to be raised that has no successor in 64 bits. Numbers that are not raised stay as they are written.
     """
     last = F.coalesce(F.regexp_replace(latest, "^v", ""), F.lit(""))
-    rows = df.withColumns({"_given": F.coalesce(explicit, F.lit("")), "_last": last, "_kind": bump_kind(labels, bump)})
-    part = {k: F.when(F.col("_last").rlike(VERSION), F.split_part("_last", F.lit("."), F.lit(n))).cast("long") for n, k in enumerate("xyz", 1)}
-    rows = rows.withColumns({f"_{k}": c for k, c in part.items()})
-    x, y, z = (F.col(f"_{k}") for k in "xyz")
-    kind = F.col("_kind")
-    bumped = F.when(kind == "major", F.concat((x + 1).cast("string"), F.lit(".0.0"))).when(kind == "minor", F.concat_ws(".", x, y + 1, F.lit("0"))).when(kind == "patch", F.concat_ws(".", x, y, z + 1))
-    given, sound = F.col("_given"), F.col("_given").rlike(VERSION)
-    version = F.when(given != "", F.when(sound, given)).when(F.col("_last") == "", "1.0.0").when(x.isNotNull(), bumped)
-    error = F.when((given != "") & ~sound, "bad version").when((given != "") | (F.col("_last") == ""), None).when(x.isNull(), "bad latest tag").when(~kind.isin("major", "minor", "patch"), "bad bump")
-    return rows.withColumns({"version": version, "error": error.cast("string")}).drop("_given", "_last", "_kind", "_x", "_y", "_z")
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(explicit, F.lit("")).alias("given"), last.alias("last"), bump_kind(labels, bump).alias("kind"))
+    kind, given, last = F.col("kind"), F.col("given"), F.col("last")
+    x, y, z = (F.split_part(last, F.lit("."), F.lit(n)) for n in (1, 2, 3))
+
+    def raised(part: Column) -> Column:
+        return F.try_add(part.try_cast("long"), F.lit(1).cast("long")).cast("string")
+
+    formed = last.rlike(VERSION)
+    bumped = F.when(kind == "major", F.concat(raised(x), F.lit(".0.0"))).when(kind == "minor", F.concat(x, F.lit("."), raised(y), F.lit(".0"))).when(kind == "patch", F.concat(x, F.lit("."), y, F.lit("."), raised(z)))
+    rows = rows.withColumns({"sound": given.rlike(VERSION), "bumped": F.when(formed, bumped), "formed": formed})
+    bumped, sound = F.col("bumped"), F.col("sound")
+    version = F.when(given != "", F.when(sound, given)).when(last == "", "1.0.0").otherwise(bumped)
+    known = kind.isin("major", "minor", "patch")
+    error = F.when((given != "") & ~sound, "bad version").when((given != "") | (last == ""), None).when(~F.col("formed"), "bad latest tag").when(~known, "bad bump").when(bumped.isNull(), "number too long")
+    return rows.select("row.*", version.alias("version"), error.cast("string").alias("error"))
 
 
 def previous_version(latest: Column) -> Column:

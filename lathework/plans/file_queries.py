@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths, sizes
 from ..functions.resize import Resize
-from ..operators import batch, naming
+from ..operators import batch, naming, release
 from ..operators.headers import declared_size
-from ..sources import feed, intake
+from ..sources import feed, file_sink, intake
+from ..sources.stash import shared_folder
 from . import image_job
 from .queries import _LABEL, _PATHS, _paths, query, table
 
@@ -200,26 +203,11 @@ def intake_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.without(rows, rows.agg(F.min_by("path", "idx")).first()[0])
 
 
-@query("SELECT * FROM (VALUES (0, '/a/x.png'), (1, '/b y/ä.jpg'), (2, '/a/x.png')) t(idx, path)")
-def intake_path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.path_list(spark, ["/a/x.png", None, "/b y/ä.jpg", "/a/x.png"])
-
-
 @query(f"SELECT idx, CASE WHEN lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1)) <> 'pdf' THEN 'unsupportedInput' END AS error_code FROM ({_PATHS})")
 def document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("idx", formats.document_error(paths.extension(F.col("path"))).alias("error_code"))
 
 
-@query("SELECT * FROM (VALUES ('jpeg', 'JPEG')) t(format, display_name)")
-def lossy_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.lossy_choices(spark).select("format", "display_name")
-
-
-@query("SELECT * FROM (VALUES ('heic-convert', 'Convert Image Format', 'Images'), ('compress', 'Compress Images', 'Images'), ('resize', 'Resize Images', 'Images')) t(id, title, category)")
-def tools_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_job.tools_in(spark, "Images")
-
-
 # Releases.
 @query(
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'fallback' WHEN 1 THEN 'https://x/' || o_orderkey || '.dmg' WHEN 2 THEN 'https://x/B.DMG' ELSE 'fallback' END AS url,
@@ -246,3 +234,78 @@ def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(feed.feed_time(text)).alias("published"), signature.alias("signature"))
     bare = feed.unsigned(rows).select("o_orderkey", F.lit(True).alias("unsigned"))
     return rows.join(bare, "o_orderkey", "left").select("o_orderkey", "published", F.coalesce("unsigned", F.lit(False)).alias("unsigned"))
+
+
+# Versions of any form: lineitem and part, with numbers of more digits than 64 bits hold.
+_LONG = "9223372036854775807"
+_ODD_TAGS = ("v1.2.99999999999999999999", f"v1.2.{_LONG}", f"v{_LONG}.0.7", "v01.2.09", "v2.0.0-rc1", "v2.0.0\n")
+_ODD_GIVEN = ("", "2.0.0\n", "3.0.99999999999999999999")
+
+
+def _chr(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
+@query(
+    f"""WITH given AS (SELECT l_orderkey, l_linenumber, {_chr(_ODD_TAGS)}[l_partkey % {len(_ODD_TAGS)} + 1] AS tag, {_chr(_ODD_GIVEN)}[l_orderkey % {len(_ODD_GIVEN)} + 1] AS explicit, ['major', 'minor', 'patch'][l_suppkey % 3 + 1] AS kind FROM lineitem),
+parts AS (SELECT *, regexp_full_match(substr(tag, 2), '[0-9]+\\.[0-9]+\\.[0-9]+') AS formed, string_split(substr(tag, 2), '.') AS p FROM given),
+raised AS (SELECT *, CASE WHEN formed THEN [try(p[1]::BIGINT + 1)::VARCHAR, try(p[2]::BIGINT + 1)::VARCHAR, try(p[3]::BIGINT + 1)::VARCHAR] END AS r FROM parts),
+bumped AS (SELECT *, CASE WHEN formed THEN CASE kind WHEN 'major' THEN r[1] || '.0.0' WHEN 'minor' THEN p[1] || '.' || r[2] || '.0' ELSE p[1] || '.' || p[2] || '.' || r[3] END END AS b FROM raised)
+SELECT l_orderkey, l_linenumber, CASE WHEN explicit = '' THEN b WHEN regexp_full_match(explicit, '[0-9]+\\.[0-9]+\\.[0-9]+') THEN explicit END AS version,
+  CASE WHEN explicit <> '' THEN CASE WHEN NOT regexp_full_match(explicit, '[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'bad version' END WHEN NOT formed THEN 'bad latest tag' WHEN b IS NULL THEN 'number too long' END AS error FROM bumped"""
+)
+def next_version_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version after tags with numbers that are too long, with leading zeros, with a pre-release, and with a line end; explicit ones as odd."""
+
+    def pick(values: tuple[str, ...], by: str) -> Column:
+        return F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = release.with_next_version(rows, pick(_ODD_TAGS, "l_partkey"), F.lit(None).cast("string"), pick(("major", "minor", "patch"), "l_suppkey"), pick(_ODD_GIVEN, "l_orderkey"))
+    return out.select("l_orderkey", "l_linenumber", "version", "error")
+
+
+_TAG = "'v' || (p_partkey % 7) || '.' || p_size || '.' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '00000000000000000000' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '-rc' || (p_partkey % 13) ELSE '' END"
+
+
+@query(
+    f"""SELECT p_brand, arg_max(tag, key) AS latest FROM (SELECT p_brand, {_TAG} AS tag, struct_pack(x := p_partkey % 7, y := p_size, z := (p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '00000000000000000000' ELSE '' END)::HUGEINT, rc := CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 13 ELSE -1 END) AS key FROM part) GROUP BY p_brand"""
+)
+def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest tag of each brand's; numbers have up to 26 digits, and half of the tags are pre-releases."""
+    key = F.col("p_partkey")
+    number = F.concat(key.cast("string"), F.when(key % 3 == 0, "0" * 20).otherwise(""), F.when(key % 2 == 0, F.concat(F.lit("-rc"), (key % 13).cast("string"))).otherwise(""))
+    tags = table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("v"), F.concat_ws(".", key % 7, "p_size", number)).alias("tag"))
+    return tags.groupBy("p_brand").agg(F.max_by("tag", release.version_order(F.col("tag"))).alias("latest"))
+
+
+# Files: documents' texts, each in a folder by its source.
+@query("SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS length, sha256(coalesce(text, '')) AS checksum FROM documents WHERE doc_id % 10 <> 9")
+def file_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files in a fresh folder and read back; every tenth is a job that failed, which leaves none."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    name = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    content = F.when(F.col("doc_id") % 10 != 9, F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    file_sink.write_files(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), folder, name, content)
+    found = intake.read_files(spark, folder)
+    short = F.substring_index("path", f"{folder.rsplit('/', 1)[1]}/", -1)
+    return found.select(short.alias("name"), "length", release.checksum(F.col("content")).alias("checksum"))
+
+
+# Names after the size guard: part, of which every second row keeps its original; several share a base, some bases end in
+# numbers, and some names are there before.
+def guarded_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("p_partkey")
+    exts = F.array(*map(F.lit, ("png", "jpg", "gif")))
+    base = F.concat(F.lit("f"), (F.floor(key / 4) % 500).cast("string"), F.when(key % 6 == 1, F.concat(F.lit("-"), (key % 3 + 1).cast("string"))).when(key % 6 == 2, "-1-2").otherwise(""))
+    rows = table(spark, sf_dir, "part").select(key.alias("idx"), F.concat(F.lit("/out/"), (key % 2).cast("string")).alias("out_dir"), base.alias("base"), F.get(exts, (key % 3).cast("int")).alias("ext"), F.get(exts, (F.floor(key / 3) % 2).cast("int")).alias("out_ext"), (key % 2 == F.floor(key / 8) % 2).alias("kept_original"))
+    there = rows.where("idx % 10 = 0").select("out_dir", "base", F.col("ext").alias("out_ext"))
+    return rows, there
+
+
+@query()
+def fallback_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned names, then those of the originals that are kept."""
+    rows, there = guarded_rows(spark, sf_dir)
+    planned = naming.assign_names(rows, existing=there).withColumn("planned", F.col("out_name"))
+    return naming.fallback_names(planned, existing=there).select("idx", "out_dir", "planned", "out_name")

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import WRITABLE, clamped_quality, display_name, file_extension, inferred_format, is_readable, magic_format
-from ..functions.paths import base_name, extension, file_name
+from ..functions.paths import base_name, extension, file_name, joined, raw_extension
 from ..functions.resize import Resize, target_size
 from ..functions.sizes import keeps_original
 from ..functions.texts import compress_detail, convert_detail, error_message, resize_detail
 from ..operators.headers import declared_size
-from ..operators.naming import assign_names, output_folder
+from ..operators.naming import assign_names, fallback_names, output_folder
 from ..sources.stash import stash
 
 
@@ -82,26 +82,29 @@ def plan_images(files: DataFrame, options: Options, existing: DataFrame | None =
     good = assign_names(rows.where(F.col("error_code").isNull()), existing=existing)
     out = good.unionByName(rows.where(F.col("error_code").isNotNull()).withColumn("out_name", F.lit(None).cast("string")))
     code = F.coalesce("error_code", F.when(F.col("out_name").isNull(), "writeFailed"))
-    subject = F.when(code == "unsupportedInput", F.col("ext")).when(code == "unsupportedOutput", display_name(F.col("format"))).otherwise(file_name(path))
+    subject = F.when(code == "unsupportedInput", raw_extension(path)).when(code == "unsupportedOutput", display_name(F.col("format"))).otherwise(file_name(path))
     failure = error_message(code, subject)
-    return out.withColumns({"error_code": code, "failure": failure}).drop("magic", "base")
+    return out.withColumns({"error_code": code, "failure": failure}).drop("magic")
 
 
-def finish_images(plan: DataFrame, written: DataFrame, options: Options) -> DataFrame:
+def finish_images(plan: DataFrame, written: DataFrame, options: Options, existing: DataFrame | None = None) -> DataFrame:
     """Outcomes of a plan, given written (idx, new_bytes): the size guard, the details, and the failures.
 
     Where the guard puts the original back, sizes are the original's, the file keeps its own extension and
-    metadata_stripped is false, for its bytes are copied as they are. A planned file that was not written has
-    failed.
+    metadata_stripped is false, for its bytes are copied as they are. Its name is found anew (fallback_names), so give
+    the files that were there before the batch, as to plan_images. A planned file that was not written has failed.
     """
     rows = plan.join(written.select("idx", "new_bytes"), "idx", "left")
     code = F.coalesce("error_code", F.when(F.col("new_bytes").isNull(), "encodeFailed"))
     kept = F.coalesce(keeps_original(F.col("original_bytes"), F.col("new_bytes"), F.col("target").isNotNull(), options.guard), F.lit(False)) & code.isNull()
     rows = rows.withColumns({"failure": F.coalesce("failure", error_message(code, display_name(F.col("format")))), "error_code": code, "kept_original": kept})
-    name = F.when(kept, F.regexp_replace("out_name", r"\.[^.]*$", "")).otherwise(F.col("out_name"))
-    name = F.when(kept, F.concat_ws(".", name, "ext")).otherwise(name)
-    new = F.when(kept, F.col("original_bytes")).otherwise(F.col("new_bytes"))
-    rows = rows.withColumns({"out_name": F.when(code.isNull(), name), "new_bytes": new})
+    if options.guard:
+        rows = fallback_names(rows, existing=existing)
+    lost = F.col("kept_original") & F.col("out_name").isNull()
+    code = F.coalesce("error_code", F.when(lost, "writeFailed"))
+    rows = rows.withColumns({"failure": F.coalesce("failure", F.when(lost, error_message(F.lit("writeFailed"), file_name(F.col("path"))))), "error_code": code, "kept_original": F.col("kept_original") & ~lost})
+    new = F.when(F.col("kept_original"), F.col("original_bytes")).otherwise(F.col("new_bytes"))
+    rows = rows.withColumns({"out_name": F.when(code.isNull(), F.col("out_name")), "new_bytes": new})
     sizes = [F.col("size.width"), F.col("size.height"), F.coalesce("target.width", "size.width"), F.coalesce("target.height", "size.height")]
     if options.resize.active():
         detail = resize_detail(*sizes, F.col("original_bytes"), F.col("new_bytes"))
@@ -109,6 +112,6 @@ def finish_images(plan: DataFrame, written: DataFrame, options: Options) -> Data
         detail = compress_detail(F.col("kept_original"), F.col("original_bytes"), F.col("new_bytes"))
     else:
         detail = convert_detail(F.col("out_name"), F.col("original_bytes"), F.col("new_bytes"))
-    output = F.concat_ws("/", F.when(F.col("out_dir") != "", F.col("out_dir")), "out_name")
+    output = joined(F.col("out_dir"), F.col("out_name"))
     ok = F.col("failure").isNull()
     return rows.select("idx", F.col("path").alias("input"), F.when(ok, output).alias("output"), F.when(ok, detail).alias("detail"), "failure", "error_code", "original_bytes", "new_bytes", "kept_original", (F.col("strip_metadata") & ~F.col("kept_original") & ok).alias("metadata_stripped"))

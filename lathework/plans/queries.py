@@ -314,13 +314,6 @@ def collision_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.assign_names(rows, "p_type", "p_name", "ext", "p_partkey").select("p_partkey", "out_name")
 
 
-@query(
-    "SELECT * FROM (VALUES ('png', 'PNG', 'png', true, false, true), ('jpeg', 'JPEG', 'jpg', false, true, true), ('heic', 'HEIC', 'heic', false, true, false), ('tiff', 'TIFF', 'tiff', true, false, true), ('webp', 'WebP', 'webp', false, true, false)) t(format, display_name, file_extension, is_lossless, supports_quality, can_encode)"
-)
-def format_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.format_table(spark)
-
-
 @query("SELECT p_partkey, greatest(least(p_size / 25.0::DOUBLE, 1), 0)::DOUBLE AS quality FROM part")
 def quality_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_size in twenty-fifths as the quality of a jpeg."""

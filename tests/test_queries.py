@@ -19,7 +19,7 @@ def normal(frame):
     return list(frame.columns), sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "part", "events", "lineitem", "orders"):
