@@ -66,7 +66,62 @@ _SIZED = "kind NOT IN ('raf', 'txt') AND NOT cut"
 def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and formats read from the first bytes of nine kinds of files; three bytes are enough to tell a JPEG."""
     rows = _images(spark, sf_dir).select("idx", declared_size(F.col("content")).alias("size"), formats.magic_format(F.col("content")).alias("magic"))
-    return rows.select("idx", "size.*", "magic")
+    return rows.select("idx", "size.width", "size.height", "size.undeclared", "magic")
+
+
+def _tag(order: str, tag: int, value: Column | int, kind: int = 4, count: int = 1) -> Column:
+    """An entry of an image directory, in the byte order II or MM."""
+    write = _little if order == "II" else _hex
+    value = value if isinstance(value, Column) else F.lit(value)
+    body = write(value, 8) if kind == 4 or count > 1 else F.concat(write(value, 4), F.lit("0000"))
+    return F.concat(write(F.lit(tag), 4), write(F.lit(kind), 4), write(F.lit(count), 8), body)
+
+
+def _tags(order: str, *entries: Column, onward: int = 0) -> Column:
+    write = _little if order == "II" else _hex
+    return F.concat(write(F.lit(len(entries)), 4), *entries, write(F.lit(onward), 8))
+
+
+def _camera_heads(w: Column, h: Column) -> dict[str, Column]:
+    """Heads whose first directory or largest image isn't the one that counts, or whose pixels lie on their side."""
+    two, four = "II", "MM"
+    start = {"II": F.lit("49492A0008000000"), "MM": F.lit("4D4D002A00000008")}
+
+    def item(kind: str, *parts: Column, version: bool = True) -> Column:
+        body = F.concat(F.lit("00000000" if version else ""), *parts)
+        return F.concat(_hex(8 + F.length(body) / 2, 8), F.lit(kind.encode().hex().upper()), body)
+
+    properties = item("ipco", item("ispe", _hex(w * 2, 8), _hex(h * 2, 8)), item("ispe", _hex(w, 8), _hex(h, 8)), item("irot", F.lit("03"), version=False), version=False)
+    links = item("ipma", F.lit("00000002" + "0001" + "01" + "81" + "0002" + "02" + "02" + "83"))  # item 1: the larger; item 2: the other, turned
+    orientation = F.concat(start["MM"], _tags(four, _tag(four, 274, 6, 3)))
+    return {
+        # A thumbnail, and the image below it.
+        "dng": F.concat(start["II"], _tags(two, _tag(two, 254, 1), _tag(two, 256, 256, 3), _tag(two, 257, 171, 3), _tag(two, 330, 62)), _tags(two, _tag(two, 254, 0), _tag(two, 256, w), _tag(two, 257, h))),
+        # A thumbnail, and below it a preview and the image, by two places.
+        "nef": F.concat(start["MM"], _tags(four, _tag(four, 254, 1), _tag(four, 256, 160, 3), _tag(four, 257, 120, 3), _tag(four, 330, 62, 4, 2)), _hex(F.lit(70), 8), _hex(F.lit(112), 8), _tags(four, _tag(four, 254, 1), _tag(four, 256, w * 3), _tag(four, 257, h * 3)), _tags(four, _tag(four, 254, 0), _tag(four, 256, w), _tag(four, 257, h))),
+        # A first directory without a size that tells the orientation.
+        "arw": F.concat(start["II"], _tags(two, _tag(two, 274, 8, 3), _tag(two, 330, 38)), _tags(two, _tag(two, 256, w), _tag(two, 257, h))),
+        # The image first, and then larger frames.
+        "cr2": F.concat(F.lit("49492A001000000043520200" + "00000000"), _tags(two, _tag(two, 256, w), _tag(two, 257, h), onward=46), _tags(two, _tag(two, 256, w * 2), _tag(two, 257, h * 2))),
+        "tiff": F.concat(start["MM"], _tags(four, _tag(four, 256, w), _tag(four, 257, h), _tag(four, 274, 6, 3))),
+        "jpg": F.concat(F.lit("FFD8FFE1"), _hex(8 + F.length(orientation) / 2, 4), F.lit("457869660000"), orientation, F.lit("FFC0000B08"), _hex(h, 4), _hex(w, 4), F.lit("00" * 8)),
+        "heic": F.concat(F.lit("000000106674797068656963" + "00000000"), item("meta", item("pitm", F.lit("0002")), item("iprp", properties, links, version=False))),
+    }
+
+
+_CAMERA = ("dng", "nef", "arw", "cr2", "tiff", "jpg", "heic")
+
+
+@query(
+    f"""SELECT idx, CASE WHEN turned THEN h ELSE w END AS width, CASE WHEN turned THEN w ELSE h END AS height, CASE WHEN kind = 'arw' THEN 8 WHEN turned THEN 6 ELSE 1 END AS orientation
+FROM (SELECT *, kind IN ('arw', 'tiff', 'jpg', 'heic') AS turned FROM (SELECT p_partkey AS idx, p_size * 80 AS w, floor(p_retailprice)::BIGINT AS h, [{", ".join(f"'{k}'" for k in _CAMERA)}][p_partkey % {len(_CAMERA)} + 1] AS kind FROM part))"""
+)
+def camera_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of camera files by their directories, of files that lie on their side, and of HEIF files by their primary item."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_size") * 80).cast("long").alias("w"), F.floor("p_retailprice").alias("h"), F.get(F.array(*map(F.lit, _CAMERA)), (F.col("p_partkey") % len(_CAMERA)).cast("int")).alias("kind"))
+    heads = _camera_heads(F.col("w"), F.col("h"))
+    files = rows.select("idx", F.unhex(F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in heads.items()])).alias("content")).repartition("idx")
+    return files.select("idx", declared_size(F.col("content")).alias("size")).select("idx", "size.width", "size.height", "size.orientation")
 
 
 def _planned(options: image_job.Options):

@@ -188,16 +188,34 @@ def test_headers_of_other_kinds():
     for end in "<>":
         entries = struct.pack(end + "HHIHH", 256, 3, 1, 640, 0) + struct.pack(end + "HHII", 257, 4, 1, 480) + struct.pack(end + "HHII", 258, 3, 3, 9)
         tiff = (b"II*\0" if end == "<" else b"MM\0*") + struct.pack(end + "I", 90_000) + b"p" * 89_992 + struct.pack(end + "H", 3) + entries
-        assert image_size(tiff) == (640, 480) and image_header(tiff[:HEAD]) == (None, None, False, True)
+        assert image_size(tiff) == (640, 480) and image_header(tiff[:HEAD]) == (None, None, False, True, 1)
     assert image_size(b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + (1999).to_bytes(3, "little") + (999).to_bytes(3, "little")) == (2000, 1000)
     assert image_size(b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (99 | 49 << 14).to_bytes(4, "little")) == (100, 50)
     assert image_size(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 300, 200)) == (300, 200)
-    assert image_header(b"FUJIFILMCCD-RAW 0201") == (None, None, True, False)
+    assert image_header(b"FUJIFILMCCD-RAW 0201") == (None, None, True, False, 1)
     for whole in (heic, tiff, JPEG, png(3, 4)):
         for n in range(0, len(whole), 1 + len(whole) // 200):
             assert image_size(whole[:n]) in ((None, None), image_size(whole))  # cut off anywhere, never raises
 
 
+def test_camera_files():
+    def tags(end, *entries, onward=0):
+        return struct.pack(end + "H", len(entries)) + b"".join(struct.pack(end + "HHI", t, 4, 1) + struct.pack(end + "I", v) for t, v in entries) + struct.pack(end + "I", onward)
+
+    dng = b"II*\0" + struct.pack("<I", 8) + tags("<", (254, 1), (256, 256), (257, 171), (330, 62)) + tags("<", (254, 0), (256, 6000), (257, 4000), (274, 8))
+    assert image_header(dng) == (4000, 6000, False, False, 8)
+    assert image_size(dng.replace(struct.pack("<HHII", 254, 4, 1, 0), struct.pack("<HHII", 254, 4, 1, 4))) == (256, 171)  # a mask is no image
+    only = b"MM\0*" + struct.pack(">I", 8) + tags(">", (254, 1), (256, 20), (257, 10), onward=50) + tags(">", (254, 1), (256, 40), (257, 30), onward=8)
+    assert image_size(only) == (40, 30)  # reduced images in a circle: the largest
+    heic = box(b"ftyp", b"heic\0\0\0\0") + box(b"meta", b"\0" * 4, box(b"pitm", b"\0" * 4, struct.pack(">H", 7)), box(b"iprp", box(b"ipco", box(b"ispe", struct.pack(">III", 0, 9000, 9000)), box(b"irot", b"\1"), box(b"ispe", struct.pack(">III", 0, 400, 300))), box(b"ipma", b"\0\0\0\1", struct.pack(">IHBHH", 1, 7, 2, 0x8002, 3))))
+    assert image_header(heic) == (300, 400, False, False, 8)
+    for whole in (dng, only, heic):
+        for n in range(len(whole)):
+            image_header(whole[:n])  # never raises
+        for n in range(len(whole)):
+            image_header(whole[:n] + b"\xff" * 4 + whole[n + 4 :])
+
+
 def test_sizes_beyond_the_head(spark):
     long = JPEG[:2] + (b"\xff\xe1\xff\xff" + b"e" * 65_533) * 3 + JPEG[2:]
     rows = spark.createDataFrame([(1, long), (2, png(5, 6)), (3, None), (4, b"x")], "k long, c binary").select("k", declared_size(F.col("c")).alias("s")).orderBy("k").collect()
