@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,7 +211,7 @@ def metadata_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Batches.
-def _job(row: pd.Series) -> tuple[str | None, str | None]:
+def _job(row: dict) -> tuple[str | None, str | None]:
     if row["path"] == "error":
         raise batch.JobError("wrongPassword", "Incorrect password.")
     if row["idx"] % 17 == 0:
@@ -231,6 +230,26 @@ def batch_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.run_jobs(rows, _job)
 
 
+def _later(row: dict) -> tuple[str | None, str | None]:
+    """Errors fail, but for a third of them, which work the second time."""
+    if row["path"] == "error" and (row["attempt"] < 2 or row["idx"] % 3):
+        raise batch.JobError("wrongPassword", "Incorrect password.")
+    return f"{row['idx']}.{row['attempt']}", "ok"
+
+
+@query(
+    """SELECT event_id AS idx, event_type AS input, CASE WHEN bad AND event_id % 3 <> 0 THEN 'wrongPassword' END AS error_code, CASE WHEN NOT bad AND half THEN 1 WHEN bad AND half AND event_id % 3 = 0 THEN 2 ELSE 2 + (bad AND event_id % 3 <> 0)::INT END AS attempt,
+  CASE WHEN NOT bad THEN 1 WHEN event_id % 3 = 0 THEN 1 + half::INT ELSE 2 + half::INT END AS runs FROM (SELECT *, event_type = 'error' AS bad, event_id % 2 = 0 AS half FROM events)"""
+)
+def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of which half was run before it was broken off, started again over all events, and once more for what failed."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("idx"), F.col("event_type").alias("path"))
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    for some in (rows.where("idx % 2 = 0"), rows, rows):
+        out = batch.run_recorded(some, _later, folder)
+    return out.select("idx", "input", "error_code", "attempt", "runs")
+
+
 @query("SELECT event_id AS idx, event_type AS input, '' AS output, '' AS detail, '' AS failure, '' AS error_code FROM events WHERE false")
 def batch_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_id IS NULL").select(F.col("event_id").cast("long").alias("idx"), F.col("event_type").alias("path"))

@@ -32,11 +32,11 @@ def with_extension(df: DataFrame, allowed: Sequence[str], path: str = "path") ->
 
 
 def first_of_each(df: DataFrame, key: Column, order: str = "idx") -> DataFrame:
-    """The first row by `order` of each key, nulls being one key.
+    """The first row by `order` of each key, nulls being one key; rows whose order is null come last.
 
     One aggregate, combined before the shuffle: a key that a third of all rows share costs a row a task.
     """
-    firsts = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[df[c] for c in df.columns]), F.col(order)).alias("_row"))
+    firsts = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[df[c] for c in df.columns]), F.struct(F.col(order).isNull(), F.col(order))).alias("_row"))
     return firsts.select("_row.*")
 
 

@@ -6,11 +6,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Stashes made inside each finished() that is under way.
-_OPEN: list[list[DataFrame]] = []
+#: Stashes made inside the innermost finished() that is under way, of this thread alone.
+_OPEN: ContextVar[list[DataFrame] | None] = ContextVar("stashes", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,18 +31,20 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
-    for made in _OPEN[-1:]:
+    made = _OPEN.get()
+    if made is not None:
         made.append(out)
     return out
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
     """A stash of what make() returns; all other stashes made on the way are deleted once it is written."""
-    _OPEN.append([])
+    made: list[DataFrame] = []
+    token = _OPEN.set(made)
     try:
         out = stash(make())
     finally:
-        made = _OPEN.pop()
+        _OPEN.reset(token)
     discard(*made[:-1])
     return out
 

@@ -7,14 +7,16 @@ import random
 import subprocess
 import sys
 import textwrap
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from lathework.functions import formats, paths
-from lathework.operators import naming, release
+from lathework.operators import batch, naming, release
 from lathework.plans import file_queries, image_job
 from lathework.sources import file_sink, intake
+from lathework.sources.stash import finished, stash
 
 SF = "/root/testdata/sf0.001"
 
@@ -168,3 +170,88 @@ def test_sink_with_a_task_that_fails(tmp_path, times):
     assert (done.returncode == 0) == (times == 2), done.stderr[-2000:]
     want = {f"f{k}": str(k).encode() for k in range(100)} if times == 2 else {}
     assert tree(where) == {"keep": b"old", **want} and not [d for d in os.listdir(where) if d.startswith(".")]
+
+
+# Batches that are broken off, and their progress.
+def test_ledger(spark, tmp_path):
+    """The run breaks off at row 50; what ended tasks have done is not done again."""
+    log, folder = tmp_path / "log", f"{tmp_path}/ledger"
+    log.mkdir()
+    df = spark.range(64).select(F.col("id").alias("idx"), F.concat(F.lit("f"), F.col("id")).alias("path")).repartitionByRange(8, "idx")
+
+    def job(row, log=str(log)):
+        if row["idx"] == 50 and row["attempt"] == 1:
+            raise SystemExit("worker lost")
+        with open(f"{log}/{row['idx']}", "a") as f:
+            f.write("x")
+        if row["idx"] == 3 and row["attempt"] < 3:
+            raise batch.JobError("notAPDF", "bad")
+        return row["path"], None
+
+    assert batch.ledger(spark, folder) is None
+    with pytest.raises(Exception):
+        batch.run_recorded(df, job, folder)
+    ended = {r["idx"] for r in batch.ledger(spark, folder).collect()} if batch.ledger(spark, folder) is not None else set()
+    ran = {int(f.name) for f in log.iterdir()}
+    assert ended <= ran and 50 not in ended
+    second = batch.run_recorded(df, job, folder).collect()
+    assert {r["idx"] for r in second} == set(range(64)) and [(r["idx"], r["error_code"]) for r in second if r["failure"]] == [(3, "notAPDF")]
+    times = {int(f.name): len(f.read_text()) for f in log.iterdir()}
+    assert all(times[k] == 1 for k in ended if k != 3)
+    third = {r["idx"]: (r["failure"], r["attempt"], r["runs"]) for r in batch.run_recorded(df, job, folder).collect()}
+    assert third[3][0] is None and third[3][1] == 3 and {len(f.read_text()) for f in log.iterdir() if int(f.name) in ended - {3}} == {1}
+    assert sum(1 for f in log.iterdir() if len(f.read_text()) > times[int(f.name)]) == 1  # only row 3 ran again
+    assert batch.run_recorded(df, job, folder).count() == 64
+
+
+PROGRESS = """
+    import sys
+    sys.path.insert(0, {root!r})
+    from pyspark import TaskContext
+    from pyspark.sql import SparkSession, functions as F
+    from lathework.operators import batch
+    spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.maxRecordsPerBatch", "10").getOrCreate()
+
+    def job(row):
+        if row["idx"] == 77 and TaskContext.get().attemptNumber() == 0:
+            raise SystemExit("lost")
+        return "x", None
+
+    df = spark.range(100).select(F.col("id").alias("idx"), F.lit("p").alias("path")).repartition(4)
+    progress = batch.Progress(spark, 100)
+    out = batch.run_jobs(df, job, step=progress.step)
+    assert out.count() == 100 and progress.done == 100, progress.done
+    assert len(out.collect()) == 100 and progress.done == 100, progress.done
+"""
+
+
+def test_progress_counts_retried_tasks_once():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(PROGRESS.format(root=root))], capture_output=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_stashes_of_other_threads_stay(spark):
+    made, inside, go = [], threading.Event(), threading.Event()
+
+    def other():
+        inside.wait(60)
+        made.append(stash(spark.range(5).toDF("x")))
+        go.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+
+    def stage():
+        inside.set()
+        go.wait(60)
+        return stash(spark.range(3).toDF("x"))
+
+    assert finished(stage).count() == 3
+    thread.join()
+    assert made[0].count() == 5
+
+
+def test_first_of_each_with_null_orders(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", None, 3)], "k string, idx long, v int")
+    assert sorted((r["k"], r["idx"], r["v"]) for r in intake.first_of_each(df, F.col("k")).collect()) == [("a", 2, 2), ("b", None, 3)]
