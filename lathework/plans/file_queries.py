@@ -11,6 +11,7 @@ from ..functions import formats, paths, sizes
 from ..functions.resize import Resize
 from ..operators import batch, naming, release
 from ..operators.headers import declared_size
+from ..operators.metadata import NESTED, with_metadata
 from ..sources import feed, file_sink, intake
 from ..sources.stash import shared_folder
 from . import image_job
@@ -72,7 +73,7 @@ def _tag(order: str, tag: int, value: Column | int, kind: int = 4, count: int =
     """An entry of an image directory, in the byte order II or MM."""
     write = _little if order == "II" else _hex
     value = value if isinstance(value, Column) else F.lit(value)
-    body = write(value, 8) if kind == 4 or count > 1 else F.concat(write(value, 4), F.lit("0000"))
+    body = write(value, 8) if kind in (4, 5) or count > 1 else F.concat(write(value, 4), F.lit("0000"))
     return F.concat(write(F.lit(tag), 4), write(F.lit(kind), 4), write(F.lit(count), 8), body)
 
 
@@ -210,6 +211,37 @@ def metadata_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", shown(False).alias("carried"), shown(True).alias("stripped"))
 
 
+_SHOWN = "'exif.34855=' || p_size || ',gps.1=N,gps.6=' || p_partkey || '/10,tiff.271=abc'"
+
+
+@query(
+    f"""SELECT p_partkey AS idx, CASE p_partkey % 4 WHEN 3 THEN '' ELSE CASE p_partkey % 4 WHEN 1 THEN 'dpiHeight.=72,' ELSE '' END || 'dpiWidth.=' || CASE p_partkey % 4 WHEN 1 THEN '72' ELSE (p_size * 3)::VARCHAR END || ',' || {_SHOWN} || ',tiff.282=' || (p_size * 3) || '/1,tiff.296=2' END AS carried,
+  '' AS stripped, CASE WHEN p_partkey % 4 < 3 THEN '6' END AS orientation FROM part"""
+)
+def metadata_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is carried over from JPEG, PNG and TIFF heads with exposure and place, and from files that have none."""
+    order, size, key = "MM", F.col("p_size").cast("long"), F.col("p_partkey")
+    first = _tags(order, _tag(order, 271, 0x61626300, 2, 4), _tag(order, 274, 6, 3), _tag(order, 282, 86, 5), _tag(order, 296, 2, 3), _tag(order, 34665, 94), _tag(order, 34853, 112))
+    below = [_hex(size * 3, 8), F.lit("00000001"), _tags(order, _tag(order, 34855, size, 3)), _tags(order, _tag(order, 1, 0x4E000000, 2, 2), _tag(order, 6, 142, 5)), _hex(key, 8), F.lit("0000000A")]
+    tags = F.concat(F.lit("4D4D002A00000008"), first, *below)
+    size_of = F.length(tags) / 2
+    heads = {
+        0: tags,
+        1: F.concat(F.lit("FFD8FFE1"), _hex(8 + size_of, 4), F.lit("457869660000"), tags, F.lit("FFE000104A46494600010201004800480000" + "FFDA")),
+        2: F.concat(F.lit("89504E470D0A1A0A0000000D49484452" + "00" * 17), _hex(size_of, 8), F.lit("65584966"), tags, F.lit("00" * 4)),
+        3: F.lit("474946383961"),
+    }
+    content = F.unhex(F.coalesce(*[F.when(key % 4 == k, c) for k, c in heads.items()]))
+    rows = with_metadata(table(spark, sf_dir, "part").select(key.alias("idx"), content.alias("content")).repartition("idx"), to="found")
+
+    def shown(strip: bool) -> Column:
+        parts = F.map_entries(image_job.carried_metadata(F.col("found"), F.lit(strip), NESTED))
+        lines = F.flatten(F.transform(parts, lambda p: F.transform(F.map_entries(p["value"]), lambda t: F.concat(p["key"], F.lit("."), t["key"], F.lit("="), t["value"]))))
+        return F.array_join(F.array_sort(lines), ",")
+
+    return rows.select("idx", shown(False).alias("carried"), shown(True).alias("stripped"), F.col("found")["orientation"][""].alias("orientation"))
+
+
 # Batches.
 def _job(row: dict) -> tuple[str | None, str | None]:
     if row["path"] == "error":

@@ -48,10 +48,10 @@ def resize_options(rule: Resize, allow_upscale: bool = False) -> Options:
     return replace(RESIZE, resize=rule, allow_upscale=allow_upscale or rule.kind == "exact")
 
 
-def carried_metadata(metadata: Column, strip: Column) -> Column:
-    """What of a metadata map goes into the new file: the kept keys, or nothing if it is to be stripped."""
+def carried_metadata(metadata: Column, strip: Column, kind: str = "map<string,string>") -> Column:
+    """What of a metadata map (of type `kind`, by text) goes into the new file: the kept keys, or nothing if it is to be stripped."""
     kept = F.map_filter(metadata, lambda key, value: key.isin(*METADATA_KEPT) & value.isNotNull() & ~strip)
-    return F.coalesce(kept, F.create_map().cast("map<string,string>"))
+    return F.coalesce(kept, F.from_json(F.lit("{}"), kind))
 
 
 def tools_in(spark: SparkSession, category: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lathework.functions import formats, paths, sizes, texts
 from lathework.functions.resize import Resize, target_size
 from lathework.operators import batch, naming, release
+from lathework.operators.metadata import metadata_entries
 from lathework.operators.headers import HEAD, declared_size, image_header, image_size
 from lathework.plans.image_job import COMPRESS_LOSSLESS, Options, finish_images, plan_images, resize_options
 from lathework.sources import feed, intake
@@ -216,6 +217,22 @@ def test_camera_files():
             image_header(whole[:n] + b"\xff" * 4 + whole[n + 4 :])
 
 
+def test_metadata():
+    entries = struct.pack("<HHI", 271, 2, 6) + struct.pack("<I", 60) + struct.pack("<HHIHH", 274, 3, 1, 8, 0) + struct.pack("<HHII", 34853, 4, 1, 70)
+    tags = b"II*\0" + struct.pack("<IH", 8, 3) + entries + b"\0" * 14 + b"Maker\0" + b"\0" * 4 + struct.pack("<HHHIBBBB", 1, 0, 1, 4, 2, 3, 0, 0)
+    want = [("tiff", "271", "Maker"), ("orientation", "", "8"), ("gps", "0", "2,3,0,0")]
+    assert metadata_entries(tags) == want
+    iptc = b"8BIM\x04\x04\0\0" + struct.pack(">I", 19) + b"\x1c\2\x19\0\4\xc3\xa4bc" + b"\x1c\2\x19\0\2de" + b"\x1c\2\x50" + b"\0"
+    jpeg = b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", 8 + len(tags)) + b"Exif\0\0" + tags + b"\xff\xed" + struct.pack(">H", 16 + len(iptc)) + b"Photoshop 3.0\0" + iptc + b"\xff\xda"
+    assert metadata_entries(jpeg) == [*want, ("iptc", "2:25", "äbc;de")]
+    assert metadata_entries(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 9) + b"pHYs" + struct.pack(">IIB", 2835, 5669, 1) + b"crc!") == [("dpiWidth", "", "72"), ("dpiHeight", "", "144")]
+    assert metadata_entries(None) == metadata_entries(b"GIF89a") == []
+    for whole in (tags, jpeg):
+        for n in range(len(whole)):
+            metadata_entries(whole[:n])
+            metadata_entries(whole[:n] + b"\xff" * 3 + whole[n + 3 :])  # never raises
+
+
 def test_sizes_beyond_the_head(spark):
     long = JPEG[:2] + (b"\xff\xe1\xff\xff" + b"e" * 65_533) * 3 + JPEG[2:]
     rows = spark.createDataFrame([(1, long), (2, png(5, 6)), (3, None), (4, b"x")], "k long, c binary").select("k", declared_size(F.col("c")).alias("s")).orderBy("k").collect()
