@@ -29,6 +29,16 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def packed(df: DataFrame, *replaced: str) -> Column:
+    """The caller's columns but for those replaced, as one struct: inside an operator none of them meets a name of its own. Taken apart by `packed.*`."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in replaced] or [F.lit(None).cast("boolean").alias("none")]).alias("packed")
+
+
+def unpacked(df: DataFrame, *replaced: str) -> list[Column]:
+    """The columns of df that packed() took in, out of `packed`."""
+    return [F.col("packed").getField(c).alias(c) for c in df.columns if c not in replaced]
+
+
 def task_rows(df: DataFrame, pid: str = "_pid", row: str = "_row") -> DataFrame:
     """A stash of df in which each row knows the task that wrote it and its place there."""
     mid = F.monotonically_increasing_id()

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stash, with_position
+from .common import packed, stash, unpacked, with_position
 
 #: Bits of the ranking's bins at each of two levels in which the last document taken is searched; only one bin of the
 #: second level, a millionth of a source, is ever sorted.
 BITS = 10
 #: Inclusion odds within a source grow as a document's size, in whole powers of two, to this power; 0 gives all the same.
 TILT = 0.5
+#: What the operator adds.
+ADDED = ("size", "source_size", "target", "inclusion", "copies")
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -78,13 +80,15 @@ def pareto_mix(df: DataFrame, size: Column, source: Column, order: list[Column],
 
     Size null counts as 0, source null is a source of its own, and rows equal in `order` and size are
     interchangeable. Documents of size 0 get the certain copies only (inclusion 0). An empty table gives an
-    empty result. Columns size, source_size, target, inclusion and copies are replaced. Reruns give the same
+    empty result. Columns size, source_size, target, inclusion and copies are replaced, all others kept whatever
+    their names. Reruns give the same
     rows, whatever the partitioning.
     """
-    df = df.drop("size", "source_size", "target", "inclusion", "copies")
-    draw = F.xxhash64(F.lit(seed), *order, F.col("size"))
+    own = unpacked(df, *ADDED)
+    by = {f"_by{k}": c for k, c in enumerate(order)}
+    draw = F.xxhash64(F.lit(seed), *by, F.col("size"))
     uniform = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)
-    rows = df.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "_source": source})
+    rows = df.select(packed(df, *ADDED), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source.alias("_source"), *[c.alias(n) for n, c in by.items()])
     rows = stash(rows.withColumns({"_u": uniform, "_class": F.length(F.bin("size")) - 1}))
     targets = source_targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -106,9 +110,9 @@ def pareto_mix(df: DataFrame, size: Column, source: Column, order: list[Column],
 
     joined = ranked.join(cut, F.col("_source").eqNullSafe(F.col("_cut_of")), "left")
     last = F.coalesce(F.col("_place") == F.col("_cut"), F.lit(False))
-    run = F.col("_before") + F.sum("size").over(Window.partitionBy("_of").orderBy("_key", *order, "size").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("_before") + F.sum("size").over(Window.partitionBy("_of").orderBy("_key", *by, "size").rowsBetween(Window.unboundedPreceding, 0))
     # Taken if that brings the sum nearer to the target than leaving it out.
     at_cut = joined.where(last).withColumn("_extra", 2 * (F.col("_rest") - run) >= -F.col("size"))
     others = joined.where(~last).withColumn("_extra", F.coalesce(F.col("_place") < F.col("_cut"), F.lit(False)))
     out = others.unionByName(at_cut).withColumn("copies", F.col("_sure").cast("long") + F.col("_extra").cast("long"))
-    return out.select(*df.columns, "size", "source_size", "target", F.coalesce(F.col("_odds") / (1 + F.col("_odds")), F.lit(0.0)).alias("inclusion"), "copies")
+    return out.select(*own, "size", "source_size", "target", F.coalesce(F.col("_odds") / (1 + F.col("_odds")), F.lit(0.0)).alias("inclusion"), "copies")

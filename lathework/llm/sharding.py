@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bounded, task_rows, with_position
+from .common import arrow_schema, bounded, packed, task_rows, unpacked, with_position
 
 
 #: Bytes up to which the partitions' rows of the matrix are broadcast; a larger matrix is joined to the rows instead.
@@ -46,7 +46,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
 
     The result is a uniform random permutation of the rows, cut into shards whose sizes differ by one at
     most. Content plays no part: null values, empty texts and repeated rows are dealt like any others, and
-    columns named shard or slot are replaced. An empty table gives an empty result.
+    columns named shard or slot are replaced, all others kept whatever their names. An empty table gives an empty result.
 
     The driver holds one row of `shards` counts for each input partition. Rows are written once with their
     partition and place, so a lost executor's work is redone on the same rows; a shard is ordered by a
@@ -55,8 +55,8 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    placed = task_rows(df)
+    own = unpacked(df, "shard", "slot")
+    placed = task_rows(df.select(packed(df, "shard", "slot")))
     found = sorted((r[0], r[1]) for r in placed.groupBy("_pid").count().collect())
     pids, counts = np.array([p for p, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
     sizes = shard_sizes(int(counts.sum()), shards)
@@ -92,4 +92,4 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     least = int(sizes.min())
     larger = int((sizes > least).sum())  # the first shards have one row more
     start = F.col("shard").cast("long") * least + F.least("shard", F.lit(larger))
-    return placed.withColumn("slot", F.col("slot") - start).select(*shown, "slot")
+    return placed.withColumn("slot", F.col("slot") - start).select(*own, "shard", "slot")

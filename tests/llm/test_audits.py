@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.llm import alignment, divergence, queries, secret_scan
+from lathework.llm import alignment, divergence, mixing, queries, secret_scan, sharding
 
 SF = "/root/testdata/sf0.001"
 NAMES = "doc_id long, text string, lang string, source string, n_chars long"
@@ -256,3 +256,20 @@ def test_secrets_edges(spark, odd_docs):
     for r in rows:
         assert [(s["kind"], s["start"], s["end"]) for s in r["secrets"]] == (base_spans(r["text"]) if r["doc_id"] == 8 else [])
     assert "text" not in secret_scan.scan_secrets(df, keep_text=False).columns and secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+# Names of the caller's columns.
+PRIVATE = ["_pid", "_row", "_start", "_tie", "_again", "_mid", "_ends", "_of", "_cut", "_u", "_key", "_class", "_source", "_odds", "_place", "_level", "_rest", "_sure", "_before", "_extra", "_by0", "packed", "a.b"]
+
+
+def test_no_column_of_the_caller_is_lost(spark, odd_docs):
+    df = odd_docs.drop("size").withColumns({c: F.lit("mine") for c in PRIVATE})
+    dealt = sharding.shard_rows(df, 3)
+    mixed = mixing.pareto_mix(df, F.coalesce("n_chars", F.lit(3)), F.col("source"), [F.col("doc_id")], [5.0, 2.0], 1.5, 2.0)
+    plain = mixing.pareto_mix(odd_docs, F.coalesce("n_chars", F.lit(3)), F.col("source"), [F.col("doc_id")], [5.0, 2.0], 1.5, 2.0)
+    assert dealt.columns == [*df.columns, "shard", "slot"] and mixed.columns == [*df.columns, *mixing.ADDED]
+    for out in (dealt, mixed):
+        rows = out.collect()
+        assert len(rows) == 10 and all(r[c] == "mine" for r in rows for c in PRIVATE)
+    shown = ["doc_id", *mixing.ADDED]
+    assert sorted(map(str, mixed.select(shown).collect())) == sorted(map(str, plain.select(shown).collect()))
