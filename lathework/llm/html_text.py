@@ -1,8 +1,11 @@
 """Main text of web pages by a linear-chain conditional random field over their text blocks.
 
 A page is read into blocks: runs of text between the tags that start or end a block. Each block has
-features of its ancestors (tags, and the words of their class, id and role) and of its text. A chain with
-two labels, article and surroundings, is trained on labelled pages and decoded by Viterbi's algorithm.
+features of its ancestors (tags, and the words of their class, id and role), of the box that it stands in
+(links, buttons, its share of the page, its place before, in or after the box with the most running text,
+boxes like it beside it) and of its text. A chain with two labels, article and surroundings, is trained on
+labelled pages, many of them with names that say nothing, and decoded by Viterbi's algorithm. Text in menus,
+forms, buttons and footers is never the article's: those labels are given before decoding.
 """
 
 from __future__ import annotations
@@ -24,20 +27,34 @@ from pyspark.sql import types as T
 from .common import arrow_schema, bounded, slices
 
 #: Hashed feature space, labelled pages to train on, and rounds over them.
-FEATURES, TRAINING_PAGES, ROUNDS = 1 << 13, 600, 80
-
-#: The words in class, id and role (and in the names of custom elements) that are features; the generated pages use them too.
-OF_ARTICLES = "article blog body content copy detail document entry main markdown news page post primary prose single story text".split()
-OF_MENUS = "bar breadcrumb breadcrumbs menu nav navbar navigation pager pagination skip tabs toc topbar".split()
-OF_HEADERS, OF_FOOTERS, OF_SIDES = "banner header logo masthead tagline".split(), "bottom colophon copyright foot footer legal".split(), "aside complementary rail side sidebar widget widgets".split()
-OF_ADVERTS = "ad ads advert advertisement promo promoted sponsor sponsored teaser".split()
-OF_NOTICES = "alert consent cookie cookies dialog gdpr modal notice overlay popup toast warning".split()
-OF_FORMS = "form login newsletter register search signup subscribe".split()
-OF_LINKS = "more popular recommended related share sharing social tags trending".split()
-OF_COMMENTS = "comment commentlist comments disqus discussion feedback replies reply respond responses thread".split()
+FEATURES, TRAINING_PAGES, ROUNDS = 1 << 13, 1100, 70
+
+#: The words in class, id and role (and in the names of custom elements) that are features, in several
+#: languages; the generated pages use them too.
+OF_ARTICLES = "article artikel artigo articolo articulo beitrag blog body contenido contenu content copy cuerpo detail document entry inhalt main markdown news noticia page post primary prose single story text texte texto".split()
+OF_MENUS = "bar breadcrumb breadcrumbs contents hauptmenue inhaltsverzeichnis menu menue nav navbar navigation navegacion pager pagination skip tabs toc topbar".split()
+OF_HEADERS, OF_FOOTERS, OF_SIDES = "banner header kopf kopfzeile logo masthead tagline".split(), "bottom colophon copyright foot footer fuss fusszeile impressum legal pie pied rodape".split(), "aside barre complementary lateral rail randspalte seitenleiste side sidebar widget widgets".split()
+OF_ADVERTS = "ad ads advert advertisement annonce anuncio anzeige promo promoted pub publicidad publicidade publicite pubblicita sponsor sponsored teaser werbung".split()
+OF_NOTICES = "alert aviso consent cookie cookies dialog gdpr hinweis modal notice overlay popup toast warning".split()
+OF_FORMS = "anmeldung buscar contact form formular formulaire formulario kontakt login newsletter recherche register search signup subscribe suche".split()
+OF_LINKS = "mehr more popular recommended related relacionados share sharing similaires social tags teilen trending verwandt".split()
+OF_COMMENTS = "comentario comentarios comment commentaire commentaires commentlist comments commenti disqus discussion feedback kommentar kommentare reacties replies reply respond responses thread".split()
 OF_PARTS = "abstract author byline caption code date dateline example figure heading intro lead meta note quote references section standfirst subtitle summary table time tip title".split()
 OF_LAYOUT = "app area block box card col column columns container grid inner item layout left list outer panel right root row site view wrap wrapper".split()
 MARKS = frozenset(sum((OF_ARTICLES, OF_MENUS, OF_HEADERS, OF_FOOTERS, OF_SIDES, OF_ADVERTS, OF_NOTICES, OF_FORMS, OF_LINKS, OF_COMMENTS, OF_PARTS, OF_LAYOUT), []))
+#: A word's weight is learnt for itself and for its group, so that rare words and other languages count.
+GROUPS = {w: k for k, words in enumerate((OF_ARTICLES, OF_MENUS, OF_HEADERS, OF_FOOTERS, OF_SIDES, OF_ADVERTS, OF_NOTICES, OF_FORMS, OF_LINKS, OF_COMMENTS)) for w in words}
+
+#: Words that tell in a text what it is about.
+SAYS = {
+    "cookies": "consent cookie cookies datenschutz privacidad privacy tracking vie".split(),
+    "reply": "antworten comentario comentarios commentaire commentaires comment comments commenti discussion kommentar kommentare reacties replies reply responder responses répondre".split(),
+    "advert": "advertisement advertorial annonce anuncio anzeige publicidad publicité pubblicità sponsored sponsorisé werbung".split(),
+    "legal": "copyright derechos droits impressum mentions reserved reservados rights réservés terms vorbehalten".split(),
+    "share": "compartir facebook follow linkedin partager share teilen tweet twitter whatsapp".split(),
+    "join": "abonnieren abonnez newsletter register subscribe suscríbete".split(),
+}
+_SAYS = {w: kind for kind, words in SAYS.items() for w in words}
 
 #: Elements without content of their own, elements whose text is never shown, elements whose content is no
 #: markup, and elements inside a line that say nothing about the text in them.
@@ -57,6 +74,10 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 KINDS = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
 AROUND = frozenset("ul ol dl table body html menu".split())
 _NONE = (-1, -1, -1, -1)
+#: Elements that hold blocks; those whose text is never the article's; those that a visitor fills in or presses.
+BOXES = frozenset("address article aside blockquote body center dd details div dl fieldset figure footer form header hgroup li main menu nav ol section table td th tr ul".split())
+NEVER = frozenset("nav menu button footer".split())
+TOOLS = frozenset("button input label select textarea".split())
 
 _MARKUP = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*)|[!?/])")
 _COMMENT_END = re.compile(r"--!?>")
@@ -65,6 +86,9 @@ _TAG_END = re.compile(r"[\s/]*")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _NO_DISPLAY = re.compile(r"(?:\A|[;\s])display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_TOLD = re.compile(r"\w+")
+_COUNTED = re.compile(r"\(?\d+\)? \w+(?: \w+)?:?|\w+ ?\(\d+\)")
+_DIGITS = re.compile(r"\d+")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -72,19 +96,38 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % FEATURES
 
 
+_FORM, _ASIDE = frozenset({_slot("in=form")}), frozenset({_slot("in=aside"), _slot("inner=aside")})
+
+
 class Block:
-    """A run of text, the tag that it stands in, the features of all its ancestors, and how much of it is inside links."""
+    """A run of text, the tag that it stands in, the features of all its ancestors, how much of it is inside links, its box
+    and whether its ancestors rule it out (`never`, or the number of the form that it stands in)."""
+
+    __slots__ = ("ancestors", "box", "form", "linked", "near", "never", "parent", "text")
+
+    def __init__(self, text: str, linked: int, top: _Open | None) -> None:
+        self.text, self.linked = text, linked
+        self.parent, self.ancestors = (top.parent, top.ancestors) if top else ("", frozenset())
+        self.box, self.never, self.form, self.near = (top.box, top.never, top.form, top.near) if top else (0, False, -1, "")
 
-    __slots__ = ("ancestors", "linked", "parent", "text")
 
-    def __init__(self, text: str, parent: str, ancestors: frozenset, linked: int) -> None:
-        self.text, self.parent, self.ancestors, self.linked = text, parent, ancestors, linked
+class Boxes:
+    """The boxes of a page in the order of their start tags; the first one is the page itself."""
+
+    def __init__(self) -> None:
+        self.around, self.first, self.last, self.kind, self.tools = [-1], [0], [0], [""], [0]
+        self.wide: set[int] = set()  # forms around a whole page
+
+    def open(self, around: int, at: int, kind: str) -> int:
+        for column, value in zip((self.around, self.first, self.last, self.kind, self.tools), (around, at, at, kind, 0), strict=True):
+            column.append(value)
+        return len(self.around) - 1
 
 
 class _Open:
     """An open element. What it takes over from the elements around it is held here, so that no step looks through the stack."""
 
-    __slots__ = ("ancestors", "foreign", "hidden", "items", "p_at", "parent", "tag")
+    __slots__ = ("ancestors", "box", "foreign", "form", "hidden", "inside", "items", "near", "never", "p_at", "parent", "quoted", "tag")
 
     def __init__(self, tag: str, around: _Open | None, at: int, hides: bool, marks: list[str]) -> None:
         self.tag = tag
@@ -95,23 +138,37 @@ class _Open:
         kind = KINDS.get(tag)
         self.items = items if kind is None else items[:kind] + (at,) + ((-1,) if kind == 2 else items[kind + 1 :])[: 3 - kind]
         self.ancestors, self.parent = (around.ancestors, around.parent) if around else (frozenset(), "")
+        self.box, self.form = (around.box, around.form) if around else (0, -1)
+        self.inside = tag in ("article", "main") or (around is not None and around.inside)
+        self.near = around.near if around else ""  # the group of the innermost name that tells one
+        self.quoted = tag == "blockquote" or (around is not None and around.quoted)
+        self.never = (tag in NEVER and not (tag == "footer" and self.quoted)) or (around is not None and around.never)  # a quote's footer names its author
         if tag not in INLINE:
             self.parent = tag
-            own = {_slot(f"mark={w}") for w in marks}
+            own = {_slot(f"mark={w}") for w in marks} | {_slot(f"named={GROUPS[w]}") for w in marks if w in GROUPS}
             if tag in BLOCK:
-                own.add(_slot(f"in={tag}"))
+                own.add(_slot(f"inner={tag}" if tag in ("aside", "header") and around is not None and around.inside else f"in={tag}"))
+            told = [GROUPS[w] for w in marks if w in GROUPS]
+            if told:
+                self.near = f"near={max(told)}"
             if not own <= self.ancestors:  # there are as many as known tags and marks at most, however deep the page
                 self.ancestors = self.ancestors | own
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The shown text blocks of a page in order, white space collapsed and references decoded.
+    """The shown text blocks of a page in order."""
+    return blocks_and_boxes(page)[0]
+
+
+def blocks_and_boxes(page: str | None) -> tuple[list[Block], Boxes]:
+    """The shown text blocks of a page in order, white space collapsed and references decoded, and the boxes that hold them.
 
     Tags and attributes end where the HTML standard has them end. Time and memory are linear in the page, also
     where markup is broken or nested without end; never raises.
     """
     page = page or ""
     out: list[Block] = []
+    boxes = Boxes()
     stack: list[_Open] = []
     open_tags: Counter = Counter()
     parts: list[str] = []
@@ -121,8 +178,9 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1] if stack else None
-            out.append(Block(text, top.parent if top else "", top.ancestors if top else frozenset(), linked))
+            out.append(Block(text, linked, stack[-1] if stack else None))
+            if out[-1].form >= 0 and out[-1].parent == "h1":
+                boxes.wide.add(out[-1].form)
         parts.clear()
         linked = 0
 
@@ -130,6 +188,8 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal link
         for node in stack[depth:]:
             open_tags[node.tag] -= 1
+            if node.tag in BOXES:
+                boxes.last[node.box] = len(out)
         del stack[depth:]
         if len(stack) < link:
             link = -1
@@ -163,7 +223,7 @@ def blocks(page: str | None) -> list[Block]:
                 at = end + 1 if end >= 0 else len(page)
             continue
         tag, ends = m[2].lower(), bool(m[1])
-        marks, hides, seen = [], tag in HIDDEN or tag == "dialog", set()
+        marks, kind_of, hides, seen = [], tag, tag in HIDDEN or tag == "dialog", set()
         while (a := _ATTRIBUTE.match(page, at)) is not None:
             at = a.end()
             name = a[1].lower()
@@ -176,6 +236,8 @@ def blocks(page: str | None) -> list[Block]:
             elif name == "open":
                 hides = hides and tag != "dialog"
             elif name != "style":
+                if name == "class":
+                    kind_of = f"{tag} {value[:200]}"
                 marks += [w for x in _WORD.findall(value) if (w := x.lower()) in MARKS]
         at = _TAG_END.match(page, at).end()
         if at >= len(page):  # a tag without an end
@@ -204,6 +266,8 @@ def blocks(page: str | None) -> list[Block]:
         if kind is not None and stack and stack[-1].items[kind] >= 0:
             pop_to(stack[-1].items[kind])
         top = stack[-1] if stack else None
+        if tag in TOOLS:
+            boxes.tools[top.box if top else 0] += 1
         if tag in VOID or (closed and (tag in ("svg", "math") or (top is not None and top.foreign))):
             continue
         if tag in RAW:  # up to its own end tag, whatever stands inside
@@ -212,30 +276,101 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if "-" in tag:  # a custom element
             marks += [w for w in tag.split("-") if w in MARKS]
-        stack.append(_Open(tag, top, len(stack), hides, marks))
+        node = _Open(tag, top, len(stack), hides, [] if tag == "form" else marks)  # a form around the page says nothing
+        if tag in BOXES:
+            node.box = boxes.open(node.box, len(out), _DIGITS.sub("0", kind_of))
+            if tag == "form":
+                node.form = node.box
+            elif tag in ("article", "main") and node.form >= 0:
+                boxes.wide.add(node.form)
+        stack.append(node)
         open_tags[tag] += 1
         if tag == "a":
             link = len(stack)
     close()
-    return out
+    pop_to(0)
+    boxes.last[0] = len(out)
+    return out, boxes
 
 
-def features(block: Block) -> tuple[int, ...]:
-    """Hashed features of a block's ancestors, its tag and its text."""
+def features(block: Block) -> tuple[str, ...]:
+    """Features of a block's tag and text."""
     text = block.text
     words = text.count(" ") + 1
-    stops = sum(text.count(c) for c in ".!?")
-    own = (
+    stops = sum(text.count(c) for c in ".!?。！？")
+    told = {kind for w in _TOLD.findall(text[:2000].lower()) if (kind := _SAYS.get(w))}
+    size = "short" if words <= 8 else "long"
+    return (
         "bias",
         f"parent={block.parent}",
+        block.near,
         f"words={min(words, 64).bit_length()}",
         f"linked={4 * block.linked // max(1, len(text))}",
         f"stops={min(stops, 4)}",
         f"end={text[-1] if text[-1] in '.!?:,' else 'a' if text[-1].isalnum() else '-'}",
         f"start={'A' if text[0].isupper() else 'a' if text[0].isalpha() else '-'}",
-        f"sign={any(c in text for c in '©®|»·')}",
+        *(f"sign={c}" for c in "©®|»·" if c in text),
+        *(f"says={kind} {size}" for kind in told),
     )
-    return (*block.ancestors, *map(_slot, own))
+
+
+def page_features(found: list[Block], boxes: Boxes) -> tuple[list[int], list[tuple[int, ...]]]:
+    """The numbers of the blocks that can be the article's, and their hashed features. Linear in the page."""
+    length, linked = [0], [0]
+    for b in found:
+        length.append(length[-1] + len(b.text))
+        linked.append(linked[-1] + min(b.linked, len(b.text)))
+    n = len(boxes.around)
+    holds = list(range(n))  # a box with one block at most counts as a part of the box around it
+    tools, like = [0] * n, Counter()
+    for k in range(n):
+        if k and boxes.last[k] - boxes.first[k] <= 1:
+            holds[k] = holds[boxes.around[k]]
+        tools[holds[k]] += boxes.tools[k]
+        if boxes.last[k] > boxes.first[k] and " " in boxes.kind[k]:
+            like[boxes.around[k], boxes.kind[k]] += 1
+    ruled = [b.never or (b.form >= 0 and b.form not in boxes.wide) for b in found]
+    running: Counter = Counter()
+    for b, out in zip(found, ruled, strict=True):
+        own = len(b.text) - b.linked
+        if not out and own > 0 and b.near in ("", "near=0") and not _ASIDE & b.ancestors and (b.text.count(" ") >= 8 or b.text[-1] in ".!?。！？"):
+            box, share = holds[b.box], float(own)
+            for _ in range(3):  # the boxes around it count half and a quarter
+                running[box] += share
+                if not box:
+                    break
+                box, share = holds[boxes.around[box]], share / 2
+    most = max(running, key=lambda k: (running[k], -k), default=0)
+    at, out, since = [], [], False
+    for i, b in enumerate(found):
+        if ruled[i]:
+            continue
+        box = holds[b.box]
+        lo, hi = boxes.first[box], boxes.last[box]
+        size = max(1, length[hi] - length[lo])
+        place = "in" if box == most else "before" if i < boxes.first[most] else "after" if i >= boxes.last[most] else "under"
+        share = 4 * size // max(1, length[-1])
+        mine = features(b)
+        counted = _COUNTED.fullmatch(b.text) is not None
+        since = since or (b.parent not in ("p", "li", "td", "th") and (counted or "says=reply short" in mine))
+        kind = boxes.kind[b.box]
+        at.append(i)
+        above = b.ancestors - _FORM if b.form in boxes.wide else b.ancestors
+        out.append((*above, *map(_slot, (
+            *mine,
+            f"place={place}",
+            f"{b.near} linked={2 * b.linked // max(1, len(b.text))}",
+            f"{b.near} {place}",
+            f"place={place} {'h' if b.parent[:1] == 'h' else ''} {min(share, 1)}",
+            f"box linked={4 * (linked[hi] - linked[lo]) // size}",
+            f"box share={share}",
+            f"box tools={min(2, tools[box])} {min(share, 2)}",
+            f"box tools={min(2, tools[box])} {place}",
+            f"like={min(like[boxes.around[b.box], kind], 4) if ' ' in kind else 0} {place}",
+            f"since={since} {place}",
+            f"counted={counted}",
+        ))))
+    return at, out
 
 
 class Chain:
@@ -269,6 +404,8 @@ class Chain:
 
 def train(pages: list[list[tuple[int, ...]]], labels: list[list[int]], rounds: int = ROUNDS, rate: float = 0.1, decay: float = 1e-4) -> Chain:
     """Maximum likelihood by gradient steps (Adam) over all pages at once, with forward and backward sums."""
+    by_length = sorted(range(len(pages)), key=lambda k: -len(pages[k]))
+    pages, labels = [pages[k] for k in by_length], [labels[k] for k in by_length]
     n, longest = len(pages), max(map(len, pages))
     mask = np.zeros((n, longest), dtype=bool)
     gold = np.zeros((n, longest), dtype=np.int64)
@@ -280,6 +417,8 @@ def train(pages: list[list[tuple[int, ...]]], labels: list[list[int]], rounds: i
     truth = np.eye(2)[gold[mask]]
     seen = np.zeros((2, 2))
     both = mask[:, 1:]
+    ends, page_of, pair_of = mask.sum(axis=1) - 1, np.nonzero(mask)[0], np.nonzero(both)[0]
+    active = mask.sum(axis=0)  # pages that reach this far; they come first
     np.add.at(seen, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     weights = [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -290,18 +429,18 @@ def train(pages: list[list[tuple[int, ...]]], labels: list[list[int]], rounds: i
         ahead, behind = np.zeros_like(score), np.zeros_like(score)
         ahead[:, 0] = score[:, 0]
         for t in range(1, longest):
-            new = np.logaddexp(ahead[:, t - 1, :1] + move[0], ahead[:, t - 1, 1:] + move[1]) + score[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], new, ahead[:, t - 1])
+            m = active[t]
+            ahead[:m, t] = np.logaddexp(ahead[:m, t - 1, :1] + move[0], ahead[:m, t - 1, 1:] + move[1]) + score[:m, t]
         for t in range(longest - 2, -1, -1):
-            to = behind[:, t + 1] + score[:, t + 1]
-            new = np.logaddexp(move[:, 0] + to[:, :1], move[:, 1] + to[:, 1:])
-            behind[:, t] = np.where(mask[:, t + 1, None], new, behind[:, t])
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        marginal = np.exp(ahead + behind - total[:, None, None])[mask]
-        pair = ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :] - total[:, None, None, None]
-        expected = np.exp(pair[both]).sum(axis=0)
-        grad_emit = np.zeros((FEATURES, 2))
-        np.add.at(grad_emit, flat, (truth - marginal)[owner])
+            m = active[t + 1]
+            to = behind[:m, t + 1] + score[:m, t + 1]
+            behind[:m, t] = np.logaddexp(move[:, 0] + to[:, :1], move[:, 1] + to[:, 1:])
+        total = np.logaddexp(ahead[np.arange(n), ends, 0], ahead[np.arange(n), ends, 1])
+        marginal = np.exp((ahead + behind)[mask] - total[page_of, None])
+        pair = ahead[:, :-1][both][:, :, None] + move + (score + behind)[:, 1:][both][:, None, :] - total[pair_of, None, None]
+        expected = np.exp(pair).sum(axis=0)
+        off = (truth - marginal)[owner]
+        grad_emit = np.stack([np.bincount(flat, off[:, k], FEATURES) for k in (0, 1)], axis=1)
         for k, g in enumerate((grad_emit / n - decay * emit, (seen - expected) / n - decay * move)):
             mean[k], square[k] = 0.9 * mean[k] + 0.1 * g, 0.99 * square[k] + 0.01 * g * g
             weights[k] = weights[k] + rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
@@ -313,6 +452,7 @@ class _Page:
 
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.gold = rng, []
+        self.nameless = self.some(0.3)  # no name says anything
 
     def some(self, odds: float) -> bool:
         return self.rng.random() < odds
@@ -323,10 +463,19 @@ class _Page:
 
     def sentence(self, lo: int = 4, hi: int = 25) -> str:
         text = self.words(lo, hi).capitalize()
+        if self.some(0.03):  # an article may speak of all this too
+            text += " " + self.telling()
         if self.some(0.2):
             text = text.replace(" ", ", ", 1)
         return text + self.rng.choice((".", ".", ".", "!", "?"))
 
+    def telling(self, kind: str | None = None) -> str:
+        return self.rng.choice(SAYS[kind or self.rng.choice(list(SAYS))])
+
+    def title(self, lo: int, hi: int) -> str:
+        text = self.words(lo, hi).capitalize()
+        return text.replace(" ", self.rng.choice((" | ", " » ", " · ", ": ")), 1) if self.some(0.12) else text + self.rng.choice(("", "", "", "?", ".", "!"))
+
     def sentences(self, most: int) -> str:
         return " ".join(self.sentence() for _ in range(self.rng.randint(1, most)))
 
@@ -340,7 +489,7 @@ class _Page:
 
     def named(self, tag: str, words: list[str], inner: str, odds: float = 0.85) -> str:
         """An element with a class or id of one or two of the words, or one that says nothing."""
-        if self.some(odds):
+        if self.some(odds) and not self.nameless:
             name = self.rng.choice("- _").join(self.rng.sample(words, min(len(words), self.rng.choice((1, 1, 2)))))
         else:
             name = self.words(1, 1)
@@ -351,7 +500,8 @@ class _Page:
 
     def links(self, label: int = 0) -> str:
         tag = self.rng.choice(("ul", "ul", "ol", "div"))
-        shown = [f'<a href="/{k}">{html.escape(self.words(1, 4))}</a>' for k in range(self.rng.randint(2, 8))]
+        form = "{}" if self.some(0.1) else '<a href="/x">{}</a>'
+        shown = [form.format(html.escape(self.words(1, 4))) for _ in range(self.rng.randint(2, 8))]
         if tag == "div":
             self.gold.append((re.sub("<[^>]*>", "", " ".join(shown)), label))
             return self.plain(tag, " ".join(shown))
@@ -394,51 +544,70 @@ class _Page:
         return self.named(self.rng.choice(("p", "div", "address")), ["author", "byline", "date", "dateline", "meta", "time"], text)
 
     def heading(self, tag: str) -> str:
-        return self.plain(tag, self.block(self.words(2, 10).capitalize(), 1))
+        return self.plain(tag, self.block(self.title(2, 10), 1))
 
     def article(self) -> str:
         out = []
         if self.some(0.85):
             head = self.heading("h1") + (self.byline() if self.some(0.35) else "") + (self.named("p", ["intro", "lead", "standfirst", "subtitle", "summary"], self.block(self.sentence(), 1)) if self.some(0.2) else "")
             out.append(self.plain("header", head) if self.some(0.15) else head)
-        for _ in range(self.rng.choice((1, 2, 3, 5, 8, 14))):
+        for _ in range(self.rng.choice((1, 1, 2, 2, 3, 5, 10))):
             out.append(self.paragraph())
             if self.some(0.4):
-                part = self.rng.choice((lambda: self.heading(self.rng.choice(("h2", "h3"))), self.items, self.items, self.cells, self.terms, self.picture, self.picture, self.code, self.advert, self.sharing, lambda: self.plain("section", self.heading("h2") + self.paragraph()), lambda: self.named("div", ["box", "example", "note", "tip"], self.paragraph())))
+                part = self.rng.choice((lambda: self.heading(self.rng.choice(("h2", "h3"))), self.items, self.items, self.cells, self.terms, self.picture, self.picture, self.code, self.advert, self.advert, self.sharing, self.contents, self.form, lambda: self.plain("section", self.heading("h2") + self.paragraph()), lambda: self.named("div", ["box", "example", "note", "tip"], self.paragraph())))
                 out.append(part())
         return "".join(out)
 
     # Whatever is around it.
     def advert(self) -> str:
-        text = self.rng.choice((lambda: self.block(self.sentences(2), 0), lambda: self.plain("p", self.block(self.sentence(), 0)), lambda: self.plain("h3", self.block(self.words(2, 5), 0)) + self.plain("p", self.block(self.sentences(2), 0))))()
+        if self.nameless:  # told by its words or by its link
+            return self.named("div", OF_ADVERTS, self.plain("p", self.block(self.telling("advert").capitalize() + self.rng.choice(("", ": " + self.sentence())), 0)))
+        text = self.rng.choice((lambda: self.block(self.sentence(1, 4), 0), lambda: self.block(self.sentences(2), 0), lambda: self.plain("p", self.block(self.sentence(), 0)), lambda: self.plain("h3", self.block(self.words(2, 5), 0)) + self.plain("p", self.block(self.sentences(2), 0))))()
         return self.named(self.rng.choice(("div", "div", "div", "aside", "section")), OF_ADVERTS + ["banner"], text, 1)
 
+    def contents(self) -> str:
+        head = self.plain(self.rng.choice(("p", "div", "h2")), self.block(self.words(1, 2).capitalize(), 0)) if self.some(0.6) else ""
+        return self.named(self.rng.choice(("div", "div", "ul")), ["contents", "inhaltsverzeichnis", "toc"], head + self.links(), 1)
+
     def sharing(self) -> str:
+        if self.nameless or self.some(0.3):
+            return self.named("div", OF_LINKS, self.block(self.telling("share").capitalize() + " " + self.words(1, 2), 0), 1)
         return self.named(self.rng.choice(("div", "ul")), OF_LINKS, self.block(self.words(1, 4), 0), 1)
 
     def notice(self) -> str:
-        return self.named("div", OF_NOTICES, self.plain("p", self.block(self.sentences(2), 0)) + self.plain("button", self.block(self.words(1, 2), 0)), 1)
+        text = self.sentences(2)
+        if self.some(0.75):
+            text = text.replace(" ", f" {self.telling('cookies')} ", 1)
+        return self.named("div", OF_NOTICES, self.plain("p", self.block(text, 0)) + self.plain("button", self.block(self.words(1, 2), 0)), 1)
 
     def form(self) -> str:
-        text = self.plain("p", self.block(self.sentence(), 0)) if self.some(0.4) else ""
+        text = self.plain("p", self.block(self.sentences(3), 0)) if self.some(0.5) else ""
+        if self.some(0.25):  # fields without a form
+            return self.named("div", OF_FORMS, self.plain("p", self.block(self.sentence(), 0)) + f'<input name="q"><button>{self.block(self.words(1, 2), 0)}</button>', 1)
         inner = f'<form action="/s">{text}<label>{self.block(self.words(1, 3), 0)}</label><input name="q"><button>{self.block(self.words(1, 2), 0)}</button></form>'
         return self.named("div", OF_FORMS, inner) if self.some(0.4) else inner
 
     def comments(self) -> str:
         tag = self.rng.choice(("section", "div", "ol"))
         item = "li" if tag == "ol" else "div"
-        rows = []
+        rows, at, name = [], len(self.gold), self.words(1, 1)
         for _ in range(self.rng.randint(1, 4)):
             who = self.plain(self.rng.choice(("div", "h4", "p")), self.block(self.words(1, 2).title(), 0)) if self.some(0.5) else ""
-            rows.append(self.named(item, ["comment", "reply", "item"], who + self.plain("p", self.block(self.sentences(4), 0)), 0.9))
-        head = self.plain("h3", self.block(f"{len(rows)} " + self.words(1, 2), 0)) if self.some(0.5) and tag != "ol" else ""
-        return self.named(tag, OF_COMMENTS, head + "".join(rows), 1)
+            rows.append(self.named(item, ["comment", "comentario", "commentaire", "kommentar", "reply", "item"], who + self.plain("p", self.block(self.sentences(4), 0)), 0.9) if self.some(0.8) and not self.nameless else f'<{item} class="{name}">{who}{self.plain("p", self.block(self.sentences(4), 0))}</{item}>')
+        # The heading comes first in the page, and so among the labels.
+        told = self.words(1, 1) if self.some(0.4) else self.telling("reply")
+        head = self.rng.choice((f"{len(rows)} {told}", f"{told.capitalize()} ({len(rows)})", told.capitalize())) if (self.nameless or self.some(0.5)) and tag != "ol" else ""
+        if head:
+            self.gold.insert(at, (head, 0))
+        return self.named(tag, OF_COMMENTS, (self.plain(self.rng.choice(("h2", "h3", "div")), head) if head else "") + "".join(rows), 1)
 
     def related(self) -> str:
         teasers = "".join(self.plain("div", self.plain("h4", self.block(self.words(2, 7), 0)) + self.plain("p", self.block(self.sentence(), 0))) for _ in range(self.rng.randint(1, 3)))
         return self.named(self.rng.choice(("section", "div", "aside")), OF_LINKS, self.plain("h3", self.block(self.words(1, 3).capitalize(), 0)) + (teasers if self.some(0.5) else self.links()), 1)
 
     def sidebar(self) -> str:
+        if self.some(0.25):
+            return self.plain("aside", self.plain("p", self.block(self.sentences(2), 0)))
         inner = self.plain("h3", self.block(self.words(1, 3).capitalize(), 0)) + self.links() + (self.plain("p", self.block(self.sentences(2), 0)) if self.some(0.6) else "") + (self.form() if self.some(0.2) else "")
         return self.named("aside", OF_SIDES, inner, 0.6) if self.some(0.6) else self.named("div", OF_SIDES, inner, 1)
 
@@ -447,6 +616,9 @@ class _Page:
         return self.plain("nav", inner) if self.some(0.6) else self.named("div", OF_MENUS, inner, 1)
 
     def header(self) -> str:
+        if self.some(0.25):
+            tag = self.rng.choice(("div", "header", f"x-{self.rng.choice(OF_HEADERS)}"))
+            return self.named(tag, OF_HEADERS, f'<a href="/">{self.block(self.words(1, 2).title(), 0)}</a>', 1)
         inner = self.rng.choice(('<div class="logo">{}</div>', "<a href='/'>{}</a>", "<h1>{}</h1>")).format(self.block(self.words(1, 3).title(), 0))
         inner += self.plain("p", self.block(self.sentence(3, 9), 0)) if self.some(0.5) else ""
         inner += self.menu() if self.some(0.4) else ""
@@ -463,10 +635,12 @@ class _Page:
         out = ["<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>"]
         around = [w for w in ("div", "div", "section") if self.some(0.25)]
         out += [f'<{w} {self.rng.choice(("class", "id"))}="{self.rng.choice(OF_LAYOUT) if self.some(0.6) else self.words(1, 1)}">' for w in around]
-        for part, odds in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.75), (self.advert, 0.5), (self.notice, 0.1), (self.form, 0.15), (self.sidebar, 0.12)):
+        for part, odds in ((self.notice, 0.3), (self.header, 0.4), (self.menu, 0.75), (self.advert, 0.5), (self.notice, 0.1), (self.form, 0.15), (self.sidebar, 0.12)):
             if self.some(odds):
                 out.append(part())
-        kind, late = self.rng.random(), self.some(0.12)
+        kind, late, cells = self.rng.random(), self.some(0.12), self.some(0.08)
+        if cells:  # a table for the layout
+            out.append("<table><tr>" + self.named("td", OF_MENUS + OF_SIDES, self.links(), 1) + "<td>")
         inner = self.article() + (self.comments() if late else "") + (self.related() if self.some(0.06) else "")
         if kind < 0.3:
             inner = self.plain("article", inner)
@@ -476,7 +650,7 @@ class _Page:
             for _ in range(self.rng.choice((1, 1, 1, 2, 3))):
                 words = OF_ARTICLES if self.some(0.75) else OF_LAYOUT
                 inner = self.named(self.rng.choice(("div", "div", "div", "section")), words, inner, 0.8)
-        out.append(inner)
+        out.append(inner + ("</td></tr></table>" if cells else ""))
         for part, odds in ((self.sharing, 0.2), (self.comments, 0.3), (self.related, 0.25), (self.advert, 0.2), (self.form, 0.15), (self.sidebar, 0.25)):
             if self.some(odds):
                 out.append(part())
@@ -485,32 +659,33 @@ class _Page:
         return "".join(out) + "".join(f"</{w}>" for w in reversed(around)) + "</body></html>"
 
 
-def labelled_blocks(seed: int, pages: int) -> tuple[list[list[Block]], list[list[int]]]:
-    """Blocks of generated pages with labels: those of the generator, which come in the same order."""
+def labelled_pages(seed: int, pages: int) -> tuple[list[list[tuple[int, ...]]], list[list[int]]]:
+    """Features of the blocks of generated pages with labels: those of the generator, which come in the same order."""
     rng, read, labels = random.Random(seed), [], []
     for _ in range(pages):
         made = _Page(rng)
-        found, k, mine = blocks(made.page()), 0, []
+        (found, boxes), k, mine = blocks_and_boxes(made.page()), 0, []
         for b in found:
             at = next((j for j in range(k, len(made.gold)) if made.gold[j][0] in b.text), None)
             mine.append(made.gold[at][1] if at is not None else 0)
             k = k if at is None else at + 1
-        read.append(found)
-        labels.append(mine)
+        at, known = page_features(found, boxes)
+        if at:
+            read.append(known)
+            labels.append([mine[i] for i in at])
     return read, labels
 
 
 @lru_cache(maxsize=1)
 def default_chain() -> Chain:
     """Trained on TRAINING_PAGES generated pages, the same ones in every run."""
-    read, labels = labelled_blocks(1, TRAINING_PAGES)
-    return train([[features(b) for b in page] for page in read], labels)
+    return train(*labelled_pages(1, TRAINING_PAGES))
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page)
-    label = chain.decode([features(b) for b in found])
-    return "\n".join(b.text for b, y in zip(found, label, strict=True) if y)
+    found, boxes = blocks_and_boxes(page)
+    at, known = page_features(found, boxes)
+    return "\n".join(found[i].text for i, y in zip(at, chain.decode(known), strict=True) if y)
 
 
 def extract_main_text(df: DataFrame, page: str = "html", chain: Chain | None = None) -> DataFrame:

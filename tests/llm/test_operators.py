@@ -100,11 +100,11 @@ def test_conversations_rows(spark):
 
 # 3
 def test_html(spark):
-    read, labels = html_text.labelled_blocks(77, 60)
+    read, labels = html_text.labelled_pages(77, 60)
     chain = html_text.default_chain()
     right = total = 0
     for page, gold in zip(read, labels, strict=True):
-        found = chain.decode([html_text.features(b) for b in page])
+        found = chain.decode(page)
         right, total = right + sum(a == b for a, b in zip(found, gold, strict=True)), total + len(gold)
     assert right / total > 0.97  # held-out accuracy
     # Viterbi against all label sequences of short chains.
