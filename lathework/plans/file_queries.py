@@ -415,3 +415,37 @@ def fallback_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, there = guarded_rows(spark, sf_dir)
     planned = naming.assign_names(rows, existing=there).withColumn("planned", F.col("out_name"))
     return naming.fallback_names(planned, existing=there).select("idx", "out_dir", "planned", "out_name")
+
+
+# Folders: a file for every part, in folders by the key, some without an extension and some with two.
+_LISTED = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.png' WHEN 2 THEN '.tar.gz' ELSE '.JPG' END"
+
+
+@query("SELECT p_partkey % 40 AS folder, CASE p_partkey % 4 WHEN 2 THEN p_partkey || '.tar' ELSE p_partkey::VARCHAR END AS base, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'png' WHEN 2 THEN 'gz' ELSE 'JPG' END AS ext FROM part")
+def existing_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names in all output folders, listed by the tasks; two folders do not exist."""
+    root = f"{shared_folder(spark)}/there-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "part").select("p_partkey")
+    folder = (F.col("p_partkey") % 40).cast("string")
+    file_sink.write_files(rows, root, F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.expr(_LISTED)), F.lit(b""))
+    wanted = rows.select(F.concat(F.lit(f"{root}/"), (F.col("p_partkey") % 42).cast("string")).alias("out_dir"))
+    found = intake.existing_names(wanted)
+    return found.select(F.substring_index("out_dir", "/", -1).cast("long").alias("folder"), "base", F.col("out_ext").alias("ext"))
+
+
+# A feed polled three times: the first poll finds the orders with an even key, the second one every third order, of which some
+# are known, and the third one nothing. Files hold the entries of 200 keys.
+@query("SELECT '1.0.' || o_orderkey AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS title, 'https://x/' || o_orderkey || '.dmg' AS url, (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END * o_orderkey)::BIGINT AS length, epoch(o_orderdate::TIMESTAMP)::BIGINT AS published FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def feed_polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All releases after three polls of a folder of feeds; those that the second feeds leave out are carried forward."""
+    root = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    key = F.col("o_orderkey").cast("string")
+    for turn, (title, every) in enumerate((("first", 2), ("second", 3)), 1):
+        item = F.format_string(f"<item><title>{title}</title><pubDate>%s +0000</pubDate><sparkle:shortVersionString>1.0.%s</sparkle:shortVersionString><enclosure url=\"https://x/%s.dmg\" length=\"%s\"/></item>", F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), key, key, (F.col("o_orderkey") * turn).cast("string"))
+        feeds = orders.where(F.col("o_orderkey") % every == 0).groupBy(F.floor(F.col("o_orderkey") / 200).alias("file")).agg(F.array_join(F.collect_list(item), "\n").alias("items"))
+        text = F.concat(F.lit("<rss xmlns:sparkle=\"urn:x\"><channel>\n"), "items", F.lit("</channel></rss>"))
+        file_sink.write_files(feeds, f"{root}/in", F.concat(F.lit(f"{title}-"), F.col("file").cast("string"), F.lit(".xml")), text)
+        feed.poll_feed(spark, f"{root}/in", f"{root}/state")
+    found = feed.poll_feed(spark, f"{root}/in", f"{root}/state")  # nothing new
+    return found.select("version", "title", "url", "length", F.unix_seconds("published").alias("published"))

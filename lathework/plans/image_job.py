@@ -14,6 +14,7 @@ from ..functions.sizes import keeps_original
 from ..functions.texts import compress_detail, convert_detail, error_message, resize_detail
 from ..operators.headers import declared_size
 from ..operators.naming import assign_names, fallback_names, output_folder
+from ..sources.intake import existing_names
 from ..sources.stash import stash
 
 
@@ -59,14 +60,23 @@ def tools_in(spark: SparkSession, category: str) -> DataFrame:
     return spark.createDataFrame(TOOLS, "id string, title string, category string").where(F.col("category") == category)
 
 
-def plan_images(files: DataFrame, options: Options, existing: DataFrame | None = None) -> DataFrame:
+def files_there(files: DataFrame, options: Options) -> DataFrame:
+    """What lies in the output folders of a batch before it runs, to be given to plan_images and finish_images as `existing`."""
+    return stash(existing_names(files.select(output_folder(F.col("path"), options.folder).alias("out_dir"))))
+
+
+def plan_images(files: DataFrame, options: Options, existing: DataFrame | None = None, look: bool = False) -> DataFrame:
     """One row for each file (idx, path, length, content): format, quality, sizes, output name, or why it fails.
 
     Checks come in the order extension, header, output format, name; the first that fails gives
     error_code and failure. Names are given in the plan, before anything is written, so that two files of a
     batch never get the same one. The content is read for the header only and not carried along. A file
-    of a kind that declares no size is planned without one, and is not resized.
+    of a kind that declares no size is planned without one, and is not resized. With `look`, the output folders are
+    listed first (files_there), so that no file there is overwritten; give that table as `existing` instead where
+    finish_images needs it as well.
     """
+    if look and existing is None:
+        existing = files_there(files, options)
     path = F.col("path")
     ext = extension(path)
     # Content of other files never leaves the JVM: a function of Python's runs on all rows that reach it.

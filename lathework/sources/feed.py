@@ -1,7 +1,8 @@
-"""Release feeds (RSS) and release records (JSON)."""
+"""Release feeds (RSS), read at once or polled, and release records (JSON)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +10,22 @@ from pyspark.sql import functions as F
 ITEM = """title string, pubDate string, link string, `sparkle:version` string, `sparkle:shortVersionString` string,
     `sparkle:minimumSystemVersion` string, description string,
     enclosure struct<_url: string, _length: long, `_sparkle:edSignature`: string>"""
+#: What is kept of an item.
+RELEASES = "title string, published timestamp, link string, build string, version string, minimum_system string, notes string, url string, length long, signature string"
 RELEASE = "tag_name string, html_url string, assets array<struct<name: string, browser_download_url: string, size: long>>"
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """One row for each release in a feed."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
-    return items.select(
-        "title",
+    return spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path).select(*entry())
+
+
+def entry() -> list[Column]:
+    """The columns of a release, out of an item."""
+    return [
+        F.col("title"),
         feed_time(F.col("pubDate")).alias("published"),
-        "link",
+        F.col("link"),
         F.col("`sparkle:version`").alias("build"),
         F.col("`sparkle:shortVersionString`").alias("version"),
         F.col("`sparkle:minimumSystemVersion`").alias("minimum_system"),
@@ -26,7 +33,44 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
         F.col("enclosure._url").alias("url"),
         F.col("enclosure._length").alias("length"),
         F.col("enclosure.`_sparkle:edSignature`").alias("signature"),
-    )
+    ]
+
+
+def poll_feed(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """Reads the feed files that came into `folder` since the last poll, and returns all releases known by now (known_releases).
+
+    A stream that takes what is there and stops: its checkpoint below `state` knows the files that it has read, each by
+    its name, so a file is read once. Each poll's entries are a partition of a table below `state` that is written again
+    from the start if the poll is broken off; a poll that finds nothing new adds none. All executors must reach both
+    folders by their names, one poll runs at a time, and items that are no XML are null entries.
+    """
+    files = spark.readStream.format("xml").option("rowTag", "item").schema(ITEM).load(folder)
+    entries = files.select(*entry(), F.col("_metadata.file_modification_time").alias("came"), F.col("_metadata.file_path").alias("file"))
+
+    def record(batch: DataFrame, poll: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/entries/poll={poll}")
+
+    query = entries.writeStream.foreachBatch(record).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return known_releases(spark, state)
+
+
+def known_releases(spark: SparkSession, state: str) -> DataFrame:
+    """The last entry of each version over all polls, so that those no longer in a feed are carried forward.
+
+    Of one poll the file changed last counts, then the later name, then the later and larger entry. Entries without a
+    version are told apart by their links to the file. Before anything was found there are none.
+    """
+    try:
+        entries = spark.read.schema(f"{RELEASES}, came timestamp, file string, poll long").parquet(f"{state}/entries")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RELEASES)
+    columns = [c for c in entries.columns if c not in ("came", "file", "poll")]
+    known_by = [F.col("version"), F.when(F.col("version").isNull(), F.col("url")).alias("_url")]
+    last = F.max_by(F.struct(*columns), F.struct("poll", "came", "file", F.struct("published", *[c for c in columns if c != "published"])))
+    return entries.groupBy(*known_by).agg(last.alias("last")).select("last.*")
 
 
 def feed_time(text: Column) -> Column:

@@ -22,6 +22,13 @@ SCHEMA = "path string, content binary"
 THREADS = 32
 
 
+def located(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path there."""
+    if "://" in folder or folder.startswith("file:"):
+        return arrow_fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder[5:])
+    return arrow_fs.LocalFileSystem(), folder
+
+
 def inside(path: str) -> str:
     """A path below the sink's folder, cleaned; raises where it leads out of it."""
     clean = posixpath.normpath(path.lstrip("/"))
@@ -44,9 +51,7 @@ class FileWriter(DataSourceWriter):
         self.staging = f".lathework-{uuid.uuid4().hex}"
 
     def _at(self) -> tuple[arrow_fs.FileSystem, str]:
-        if "://" in self.folder or self.folder.startswith("file:"):
-            return arrow_fs.FileSystem.from_uri(self.folder if "://" in self.folder else "file://" + self.folder[5:])
-        return arrow_fs.LocalFileSystem(), self.folder
+        return located(self.folder)
 
     def write(self, iterator: Iterator) -> Written:
         """Stages the rows' files. Names hold the attempt's own number, so attempts never meet; one that fails deletes what it wrote."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import extension, standard
+from ..functions.paths import base_name, extension, raw_extension, standard
+from .file_sink import located
 
 INPUTS = "idx long, path string"
 
@@ -61,3 +64,25 @@ def cleared(df: DataFrame) -> DataFrame:
 def file_size(length: Column) -> Column:
     """Bytes, 0 where they are not known."""
     return F.coalesce(length.cast("long"), F.lit(0).cast("long"))
+
+
+def existing_names(folders: DataFrame, folder: str = "out_dir") -> DataFrame:
+    """(out_dir, base, out_ext) of all that lies in the folders of a column, for assign_names and the like.
+
+    Tasks list the folders, each folder once, so that no list goes through the driver; the file system must be reached
+    by the folders' names from all executors. Files, folders and links count alike, as any of them takes its name. A
+    folder that does not exist, and null or empty ones (bare names in no folder), hold nothing.
+    """
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["out_dir"]:
+                files, path = located(name)
+                found = [x.base_name for x in files.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))]
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pd.DataFrame({"out_dir": [name] * len(part), "name": part})
+
+    wanted = folders.select(F.col(folder).alias("out_dir")).where(F.coalesce(F.col("out_dir"), F.lit("")) != "").distinct()
+    found = wanted.mapInPandas(listed, "out_dir string, name string")
+    return found.select("out_dir", base_name(F.col("name")).alias("base"), raw_extension(F.col("name")).alias("out_ext"))

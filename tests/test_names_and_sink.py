@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lathework.functions import formats, paths
 from lathework.operators import batch, naming, release
 from lathework.plans import file_queries, image_job
-from lathework.sources import file_sink, intake
+from lathework.sources import feed, file_sink, intake
 from lathework.sources.stash import finished, stash
 
 SF = "/root/testdata/sf0.001"
@@ -255,3 +255,71 @@ def test_stashes_of_other_threads_stay(spark):
 def test_first_of_each_with_null_orders(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", None, 3)], "k string, idx long, v int")
     assert sorted((r["k"], r["idx"], r["v"]) for r in intake.first_of_each(df, F.col("k")).collect()) == [("a", 2, 2), ("b", None, 3)]
+
+
+def png(width, height):
+    return bytes.fromhex("89504E470D0A1A0A0000000D49484452") + width.to_bytes(4, "big") + height.to_bytes(4, "big")
+
+
+def test_plan_looks_into_the_output_folders(spark, tmp_path):
+    for name in ("a.png", "a-1.png", "b", "c.jpg"):
+        (tmp_path / name).write_bytes(png(4, 4))
+    (tmp_path / "d.png").mkdir()
+    rows = [(0, "/in/a.png", 24, png(9, 9)), (1, "/in/b.png", 24, png(9, 9)), (2, "/in/c.png", 24, png(9, 9)), (3, "/in/d.png", 24, png(9, 9)), (4, "/other/a.png", 24, png(9, 9))]
+    files = spark.createDataFrame(rows, "idx long, path string, length long, content binary")
+    options = image_job.Options(folder=str(tmp_path))
+    want = ["a-2.png", "b.png", "c.png", "d-1.png", "a-3.png"]
+    assert [r["out_name"] for r in image_job.plan_images(files, options, look=True).orderBy("idx").collect()] == want
+    there = image_job.files_there(files, options)
+    assert [r["out_name"] for r in image_job.plan_images(files, options, existing=there).orderBy("idx").collect()] == want
+    missing = image_job.Options(folder=str(tmp_path / "none"))
+    assert image_job.files_there(files, missing).count() == 0
+    assert image_job.files_there(files.limit(0), options).count() == 0
+
+
+def test_existing_names_of_odd_folders(spark, tmp_path):
+    (tmp_path / ".profile").write_text("")
+    (tmp_path / "x.tar.gz").write_text("")
+    (tmp_path / "Ü ber.PNG").write_text("")
+    folders = spark.createDataFrame([(str(tmp_path),), (str(tmp_path),), (None,), ("",), (f"{tmp_path}/none",), ("file://" + str(tmp_path),)], "out_dir string")
+    found = [tuple(r) for r in intake.existing_names(folders).orderBy("out_dir", "base").collect()]
+    names = [(".profile", ""), ("x.tar", "gz"), ("Ü ber", "PNG")]
+    assert found == [(d, *n) for d in (str(tmp_path), "file://" + str(tmp_path)) for n in names]
+
+
+def feed_file(folder, name, items):
+    body = "".join(f"<item><title>{t}</title>" + (f"<sparkle:shortVersionString>{v}</sparkle:shortVersionString>" if v else "") + f'<enclosure url="{u}" length="1"/></item>' for t, v, u in items)
+    (folder / name).write_text(f'<rss xmlns:sparkle="urn:x"><channel>{body}</channel></rss>')
+
+
+def test_feed_polls(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    known = lambda df: {(r["title"], r["version"], r["url"]) for r in df.collect()}
+    assert feed.known_releases(spark, state).count() == 0
+    feed_file(folder, "one.xml", [("a", "1.0", "u1"), ("b", "1.1", "u2"), ("no version", None, "u3")])
+    first = {("a", "1.0", "u1"), ("b", "1.1", "u2"), ("no version", None, "u3")}
+    assert known(feed.poll_feed(spark, str(folder), state)) == first
+    assert known(feed.poll_feed(spark, str(folder), state)) == first  # nothing new
+    polls = sorted(p.name for p in (tmp_path / "state" / "entries").glob("poll=*"))
+    assert polls == ["poll=0"]
+    feed_file(folder, "two.xml", [("b again", "1.1", "u4"), ("c", "1.2", "u5")])
+    second = {("a", "1.0", "u1"), ("b again", "1.1", "u4"), ("no version", None, "u3"), ("c", "1.2", "u5")}
+    assert known(feed.poll_feed(spark, str(folder), state)) == second
+    (folder / "one.xml").unlink()  # an old feed that goes takes nothing along
+    assert known(feed.poll_feed(spark, str(folder), state)) == second
+    feed_file(folder, "three.xml", [])
+    assert known(feed.poll_feed(spark, str(folder), state)) == second
+
+
+def test_a_poll_that_was_broken_off_is_made_again(spark, tmp_path, monkeypatch):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    feed_file(folder, "one.xml", [("a", "1.0", "u1"), ("b", "1.1", "u2")])
+    feed.poll_feed(spark, str(folder), state)
+    commits = tmp_path / "state" / "checkpoint" / "commits"
+    for left in commits.iterdir():  # as if the driver had gone after the rows were written, before the poll was noted as done
+        left.unlink()
+    again = feed.poll_feed(spark, str(folder), state)
+    assert sorted(r["version"] for r in again.collect()) == ["1.0", "1.1"]
+    assert spark.read.parquet(f"{state}/entries").count() == 2
