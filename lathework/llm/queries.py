@@ -140,6 +140,36 @@ split AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
     OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_shouted > n_words) AS kept FROM judged
+""",
+    # Every pair of vectors is compared, without hashing.
+    "op5_lattice": r"""
+WITH RECURSIVE given AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    THEN embedding::DOUBLE[] END AS v FROM embeddings
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM given x JOIN given y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM given UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id)::BIGINT AS n_links, min(b) AS component_id, vec_id = min(b) AS kept FROM reached JOIN given ON given.vec_id = reached.a GROUP BY vec_id
+""",
+    # Shingle sets are joined on the shingles themselves.
+    "op8_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS shingle FROM words WHERE len(w) > 0
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM words LEFT JOIN sized USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
 """,
     # Every pair and every term are compared, without an index.
     "op11_divergence": r"""
