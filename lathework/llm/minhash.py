@@ -10,8 +10,9 @@ their coordinates agree, which is a count-threshold join over the lists (coordin
   whether they agree is read off the signatures of the candidates that the short lists gave.
 * Documents with equal shingle sets are one. Each document is first compared with one other, the centre of
   most of its lists. Only lists that hold several components after that are merged: their members are
-  compared across components in tiles of bounded size, many small tiles to a task's step; a pair is
-  compared in the first list that both its documents are posted in. The likeliest pairs go first, one for
+  compared across components in tiles of bounded size, many small tiles to a task's step; long lists are
+  cut by ranges of shingle counts, and only ranges whose counts allow a link meet. A pair is compared in
+  the first list that both its documents are posted in. The likeliest pairs go first, one for
   each two components at most. The last round tests all pairs above the match threshold that may still
   join components. It does so inside the tiles, to which the texts of documents in such pairs are brought,
   so that the pairs, which may be very many among texts just below the similarity, are never rows.
@@ -22,13 +23,14 @@ their number grows. Every link is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -49,6 +51,8 @@ TILE, STEP_ROWS = 512, 1024
 STEP_BYTES = 4 << 20
 #: Pairs of a tile that are compared at a time.
 BLOCK = 1 << 13
+#: Bands that sizes as far apart as a link allows span, and how far apart their bands may be (one more, for rounding).
+BANDS, REACH = 4, 5
 #: Agreeing coordinates that make a pair likely; such pairs are tried before the rest.
 LIKELY = 194
 
@@ -313,16 +317,79 @@ def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
+def _band(size: Column) -> Column:
+    """Numbers bands of sizes. Sizes that allow a link lie at most REACH bands apart."""
+    return F.floor(F.log(size) * (BANDS / math.log(100 / SIMILAR))).cast("int")
+
+
+def cut(bands: dict[int, list[tuple[int, int]]], tile: int) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """Blocks of one list: (main, band, first, blocks, low, high, low_main, high_main) for each band and kind.
+
+    bands: for main = 0 (members outside the largest component) and 1 (members of it) the bands with their
+    numbers of members. Bands in order share a block until it holds `tile` members; a larger band has several
+    blocks, from `first` on, to be dealt at random. Blocks of main are numbered after the other ones. The
+    blocks to compare with, of bands within reach, are low to high and low_main to high_main; two of main
+    never meet.
+    """
+    placed, ranges = [], {0: [], 1: []}
+    for main in (0, 1):
+        start, held = len(ranges[0]) if main else 0, 0
+        for band, n in sorted(bands.get(main, [])):
+            blocks = -(-n // tile)
+            if blocks == 1 and held and held + n <= tile:
+                held += n
+                ranges[main][-1] = (ranges[main][-1][0], band)
+                placed.append((main, band, start + len(ranges[main]) - 1, 1))
+            else:
+                held = n if blocks == 1 else 0
+                placed.append((main, band, start + len(ranges[main]), blocks))
+                ranges[main] += [(band, band)] * blocks
+    reached = {}
+    for main, start in ((0, 0), (1, len(ranges[0]))):
+        for low, high in set(ranges[0] + ranges[1]):
+            near = [k + start for k, (x, y) in enumerate(ranges[main]) if x - high <= REACH and low - y <= REACH]
+            reached[main, low, high] = (near[0], near[-1]) if near else (0, -1)
+    out = []
+    for main, band, first, blocks in placed:
+        of = ranges[main][first - (len(ranges[0]) if main else 0)]
+        out.append((main, band, first, blocks, *reached[0, *of], *((0, -1) if main else reached[1, *of])))
+    return out
+
+
+CUT = "slot long, main int, band int, first int, blocks int, low int, high int, low_main int, high_main int"
+
+
+def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+    bands: dict[int, list[tuple[int, int]]] = {}
+    for main, band, n in pdf[["main", "band", "n"]].itertuples(index=False):
+        bands.setdefault(int(main), []).append((int(band), int(n)))
+    return pd.DataFrame([(pdf["slot"].iloc[0], *row) for row in cut(bands, TILE)], columns=[c.split()[0] for c in CUT.split(", ")])
+
+
 def tiled(listed: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Tiles of the lists that hold several components, dealt to steps: TILED, sketch and step."""
-    placed = listed.select("rep", "slot", "posted").join(parts, "rep")
+    """Tiles of the lists that hold several components, dealt to steps: TILED, sketch and step.
+
+    A list of TILE members or fewer is one tile. A longer one is cut into blocks by ranges of size, and only
+    blocks whose sizes allow a link meet. Cuts are made from the counts of its bands, of which there are at
+    most as many as sizes have digits to base 100 / SIMILAR, times BANDS.
+    """
+    sized = parts.join(reps.select("rep", "n_shingles"), "rep")
+    placed = listed.select("rep", "slot", "posted").join(sized, "rep")
     sizes = placed.groupBy("slot", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("slot").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top")).where(F.col("n") > F.col("top.size"))
-    mixed = stash(mixed.select("slot", "n", F.col("top.component").alias("main"), F.col("top.size").alias("n_main")))
-    members = placed.join(mixed, "slot")
-    rows = stash(tile_rows(members, ["slot", "rep", "component", "posted"], F.col("n"), F.col("n_main"), F.col("component") == F.col("main"), TILE))
-    discard(mixed)
-    return in_steps(rows, ["slot"], rows.count() // STEP_ROWS).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    mixed = stash(mixed.select("slot", F.col("top.component").alias("top"), (F.col("n") > TILE).alias("long")))
+    members = placed.join(mixed, "slot").withColumns({"main": (F.col("component") == F.col("top")).cast("int"), "band": _band(F.col("n_shingles"))})
+    counts = placed.join(mixed.where("long"), "slot").groupBy("slot", (F.col("component") == F.col("top")).cast("int").alias("main"), _band(F.col("n_shingles")).alias("band")).agg(F.count("*").alias("n"))
+    cuts = stash(counts.groupBy("slot").applyInPandas(_cuts, CUT))
+    found = members.join(cuts, ["slot", "main", "band"], "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("first", 0), ("blocks", 1), ("low", 0), ("high", 0), ("low_main", 0), ("high_main", -1))})  # not long
+    block = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int")
+    ranges = [F.when(F.col(high) >= F.col(low), F.sequence(low, high)).otherwise(F.array().cast("array<int>")) for low, high in (("low", "high"), ("low_main", "high_main"))]
+    columns = ["slot", "rep", "component", "posted", "n_shingles"]
+    met = found.select(*columns, block.alias("block"), F.explode(F.concat(*ranges)).alias("other"))
+    rows = stash(met.select(*columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")))
+    discard(mixed, cuts)
+    return in_steps(rows, ["slot"], rows.count() // STEP_ROWS).join(reps.select("rep", "sketch"), "rep")
 
 
 def likely_pairs(listed: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
