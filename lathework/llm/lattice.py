@@ -33,6 +33,8 @@ TABLES, PROBES = 8, 3
 WIDTH = 1.0
 #: Vectors on each side of a tile, and rows that one step of a task takes on average (a tile's at least).
 TILE, STEP_ROWS = 512, 1024
+#: Bytes of vectors, and vectors at most, on each side of a tile in which links are counted; and vectors compared there at a time.
+COUNT_BYTES, COUNT_TILE, COUNT_BLOCK = 8 << 20, 4096, 256
 
 #: The 240 shortest vectors of E8: two entries of +-1, or all of +-1/2 with an even number of minus signs.
 NEIGHBOURS = np.array(
@@ -201,26 +203,43 @@ def unresolved(posted: DataFrame, parts: DataFrame, vectors: DataFrame, least: f
     return found.select("a", "b").distinct()
 
 
+def links_in(x: np.ndarray, copies: np.ndarray, rows: np.ndarray, cols: np.ndarray, one: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many vectors each of rows links with among cols, and each of cols among rows, copies counted; with `one` rows are cols and none links with itself."""
+    over, under = np.zeros(len(rows)), np.zeros(len(cols))  # doubles hold counts up to 2^53
+    for lo in range(0, len(rows), COUNT_BLOCK):
+        some = rows[lo : lo + COUNT_BLOCK]
+        link = (x[some] @ x[cols].T >= least).astype(np.float64)
+        if one:
+            link[np.arange(len(some)), lo + np.arange(len(some))] = 0
+        over[lo : lo + len(some)] = link @ copies[cols]
+        under += copies[some] @ link
+    return over.astype(np.int64), under.astype(np.int64)
+
+
 def counted(parts: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(rep, found): how many vectors of its component each one links with, copies of the others included."""
+    """(rep, found): how many vectors of its component each one links with, copies of the others included.
+
+    Counting is quadratic in a component. What is shuffled for it is a member for each block of its
+    component, so blocks are as large as a task's memory allows, by the length of the longest vector.
+    """
     sizes = stash(parts.groupBy("component").count().where(F.col("count") > 1))
     members = parts.join(sizes, "component")
-    rows = stash(tile_rows(members, ["rep", "component"], F.col("count"), F.lit(0), F.lit(False), TILE))
+    longest = vectors.agg(F.max(F.octet_length("unit"))).first()[0] or 1
+    tile = max(1, min(COUNT_TILE, COUNT_BYTES // longest))
+    rows = stash(tile_rows(members, ["rep", "component"], F.col("count"), F.lit(0), F.lit(False), tile))
     placed = in_steps(rows, ["component"], rows.count() // STEP_ROWS).join(vectors.select("rep", "copies", "unit"), "rep")
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         reps, found = [], []
-        for tile in tiles_of({c: pdf[c].to_numpy() for c in ("component", "i", "j", "side", "rep", "copies", "unit")}, ["component"]):
-            rows, cols, one = tile_sides(tile)
-            x = np.frombuffer(b"".join(tile["unit"].tolist()), dtype="<f8").reshape(len(tile["rep"]), -1)  # links are between equal lengths
-            link = x[rows] @ x[cols].T >= least
-            if one:
-                np.fill_diagonal(link, False)
-            reps.append(tile["rep"][rows])
-            found.append(link @ tile["copies"][cols])
+        for group in tiles_of({c: pdf[c].to_numpy() for c in ("component", "i", "j", "side", "rep", "copies", "unit")}, ["component"]):
+            rows, cols, one = tile_sides(group)
+            x = np.frombuffer(b"".join(group["unit"].tolist()), dtype="<f8").reshape(len(group["rep"]), -1)  # links are between equal lengths
+            over, under = links_in(x, group["copies"].astype(np.float64), rows, cols, one, least)
+            reps.append(group["rep"][rows])
+            found.append(over)
             if not one:
-                reps.append(tile["rep"][cols])
-                found.append(link.T @ tile["copies"][rows])
+                reps.append(group["rep"][cols])
+                found.append(under)
         return pd.DataFrame({"rep": np.concatenate(reps), "found": np.concatenate(found)})
 
     return placed.groupBy("step").applyInPandas(step, "rep long, found long").groupBy("rep").agg(F.sum("found").alias("found"))

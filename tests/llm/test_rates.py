@@ -75,6 +75,8 @@ def test_large_groups_of_near_vectors(spark, monkeypatch):
     # Groups that span many tiles, every link counted.
     monkeypatch.setattr(lattice, "TILE", 16)
     monkeypatch.setattr(lattice, "STEP_ROWS", 64)
+    monkeypatch.setattr(lattice, "COUNT_TILE", 16)
+    monkeypatch.setattr(lattice, "COUNT_BLOCK", 5)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((3, 32))
     x = np.concatenate([base[k % 3] + 0.12 * rng.standard_normal(32) for k in range(300)]).reshape(300, 32)

@@ -71,3 +71,31 @@ def test_a_long_list_of_unrelated_members(spark):
     assert all(r["k"] > 1 for r in tiles)
     one = {r["rep"]: (r["i"], r["j"], r["side"]) for r in rows.where("i = j").collect()}
     assert len(one) == n - 4000
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_links_in_a_tile(monkeypatch, one):
+    monkeypatch.setattr(lattice, "COUNT_BLOCK", 7)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = rng.integers(1, 5, 50).astype(float)
+    rows, cols = (np.arange(50), np.arange(50)) if one else (np.arange(20), np.arange(20, 50))
+    over, under = lattice.links_in(x, copies, rows, cols, one, 0.5)
+    want = [[sum(int(copies[b]) for b in there if a != b and x[a] @ x[b] >= 0.5) for a in here] for here, there in ((rows, cols), (cols, rows))]
+    assert over.tolist() == want[0] and under.tolist() == want[1]
+
+
+def test_counting_a_large_component(spark):
+    """6,000 vectors of one component: rows are a block's, not a small tile's, and counts are those of brute force."""
+    n = 6000
+    rng = np.random.default_rng(9)
+    x = np.ones(8) + 0.25 * rng.standard_normal((n, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, 1 + k % 3, v.tolist()) for k, v in enumerate(x)], "rep long, copies long, vector array<double>")
+    vectors = lattice.stash(lattice.unit_vectors(df))
+    got = {r["rep"]: r["found"] for r in lattice.counted(df.select("rep", F.lit(0).cast("long").alias("component")), vectors, 0.95).collect()}
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = link @ (1 + np.arange(n) % 3)
+    assert [got[k] for k in range(n)] == want.tolist()
