@@ -37,8 +37,12 @@ def joined(folder: Column, name: Column) -> Column:
 
 
 def standard(path: Column) -> Column:
-    """The path with `//`, `/./` and `/name/..` resolved, as far as text shows it."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    """The path with `//`, `/./` and `/name/..` resolved, as far as text shows it. In a web address (any scheme but file) empty parts count, so only dots go."""
+    site, below, query = (F.regexp_extract(path, r"^((?!(?i:file):)[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)/([^?#]*)((?s:.*))$", k) for k in (1, 2, 3))
+    web, bare = site != "", path.rlike(r"^(?!(?i:file):)[A-Za-z][A-Za-z0-9+.-]*://[^/]*\z")
+    parts = F.filter(F.split(F.when(web, below).otherwise(path), "/"), lambda p: (p != ".") & (web | (p != "")))
     # A part and the .. after it cancel; the empty array stands for the root.
     stack = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    return F.when(path.isNotNull(), F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(stack, "/")))
+    ends = F.when(web & below.rlike(r"(^|/)\.\.?\z"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))  # `a/.` is the folder `a/`
+    head = F.when(web, F.concat(site, F.lit("/"))).when(path.startswith("/"), "/").otherwise("")
+    return F.when(bare, path).when(path.isNotNull(), F.concat(head, F.array_join(F.concat(stack, ends), "/"), query))

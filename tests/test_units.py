@@ -82,6 +82,15 @@ def test_intake(spark):
     assert intake.without(rows, "/a/y.PNG").count() == 3 and intake.cleared(rows).count() == 0
 
 
+def test_standard_web_addresses(spark):
+    """Empty parts of a web address tell pages apart; of a file's path they do not."""
+    given = {"https://x/en/7//img3.JPG": "https://x/en/7//img3.JPG", "https://x/en/7//./x/../img3.JPG": "https://x/en/7//img3.JPG", "https://x/en/7/./x/../img3.JPG": "https://x/en/7/img3.JPG", "https://x/../../a": "https://x/a", "https://x/a/..": "https://x/", "https://x/a/./?q=/../b": "https://x/a/?q=/../b", "https://x/a/.": "https://x/a/", "https://x": "https://x", "file:///a//b": "file:/a/b", "/a//b": "/a/b"}
+    rows = spark.createDataFrame(list(given.items()), "path string, want string").select("want", paths.standard(F.col("path")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    new = intake.queued(intake.path_list(spark, ["https://x/7//a", "https://x/7/a", "https://x/7//b", "/7//a", "/7/a"]), intake.path_list(spark, ["https://x/7//./x/../b"]))
+    assert [r["idx"] for r in new.orderBy("idx").collect()] == [0, 1, 3]
+
+
 def brute_names(rows, existing=()):
     taken, out = set(existing), {}
     for idx, base in sorted(rows):
