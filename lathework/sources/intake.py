@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, extension, raw_extension, standard
 from .file_sink import located
+from .stash import stash
 
 INPUTS = "idx long, path string"
+#: Rows of an Arrow batch of names.
+ROWS = 10_000
+#: Tasks that list folders at most.
+TASKS = 1_024
 
 
 def path_list(spark: SparkSession, paths: Sequence[str | None]) -> DataFrame:
@@ -74,15 +81,30 @@ def existing_names(folders: DataFrame, folder: str = "out_dir") -> DataFrame:
     folder that does not exist, and null or empty ones (bare names in no folder), hold nothing.
     """
 
-    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name in frame["out_dir"]:
-                files, path = located(name)
-                found = [x.base_name for x in files.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))]
-                for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
-                    yield pd.DataFrame({"out_dir": [name] * len(part), "name": part})
-
-    wanted = folders.select(F.col(folder).alias("out_dir")).where(F.coalesce(F.col("out_dir"), F.lit("")) != "").distinct()
-    found = wanted.mapInPandas(listed, "out_dir string, name string")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                found = iter(_names(*located(name)))
+                while part := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_pydict({"out_dir": pa.array([name] * len(part), pa.string()), "name": pa.array(part, pa.string())})
+
+    wanted = stash(folders.select(F.col(folder).alias("out_dir")).where(F.coalesce(F.col("out_dir"), F.lit("")) != "").distinct())
+    found = _dealt(wanted, "out_dir").mapInArrow(listed, "out_dir string, name string")
     return found.select("out_dir", base_name(F.col("name")).alias("base"), raw_extension(F.col("name")).alias("out_ext"))
+
+
+def _dealt(folders: DataFrame, key: str) -> DataFrame:
+    """Folders dealt to a task each, as far as TASKS go; Spark itself would put so few rows into one task."""
+    return folders.repartition(max(1, min(folders.count(), TASKS)), key)
+
+
+def _names(files: arrow_fs.FileSystem, path: str) -> Iterator[str]:
+    """The names in a folder, without a look at each file where that can be spared; none if it is not there."""
+    if not isinstance(files, arrow_fs.LocalFileSystem):
+        yield from (x.base_name for x in files.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True)))
+        return
+    try:
+        with os.scandir(path) as found:
+            yield from (x.name for x in found)
+    except FileNotFoundError:
+        return

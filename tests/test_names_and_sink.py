@@ -141,6 +141,40 @@ def test_sink(spark, tmp_path):
     assert tree(where) == want
 
 
+def most_tasks(spark, act):
+    """Tasks of the widest stage that a function starts."""
+    sc, group = spark.sparkContext, f"tasks of {act}"
+    sc.setJobGroup(group, group)
+    act()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(k) for job in track.getJobIdsForGroup(group) for k in track.getJobInfo(job).stageIds]
+    return max(x.numTasks for x in stages if x)
+
+
+def test_many_files_and_folders_have_many_tasks(spark, tmp_path):
+    where, one = f"{tmp_path}/out", spark.range(0, 9000, 1, 1)
+    name = F.concat((F.col("id") % 40).cast("string"), F.lit("/"), F.col("id").cast("string"))
+    assert most_tasks(spark, lambda: file_sink.write_files(one, where, name, F.lit(b""))) >= 3
+    assert sum(len(names) for _, _, names in os.walk(where)) == 9000 and len(os.listdir(where)) == 40
+    folders = one.select(F.concat(F.lit(f"{where}/"), (F.col("id") % 42).cast("string")).alias("out_dir"))
+    assert most_tasks(spark, lambda: intake.existing_names(folders).collect()) == 42
+    assert intake.existing_names(folders).count() == 9000
+
+
+def test_tasks_that_name_files_may_run_again(tmp_path):
+    root = str(tmp_path)
+    attempt, n = file_sink.stage(root, ".s", iter([("a/b", b"1"), (None, b"2"), ("c", b""), ("d", None)]))
+    other, _ = file_sink.stage(root, ".s", iter([("e", b""), ("c", b"3")]))
+    for _ in range(2):
+        file_sink.name_all(root, attempt)
+    with pytest.raises(FileExistsError):
+        file_sink.name_all(root, other)
+    file_sink.take_back(root, other)
+    file_sink.sweep(root, ".s")
+    assert n == 2 and tree(tmp_path) == {"a/b": b"1", "c": b""}
+
+
 FAILING = """
     import sys
     sys.path.insert(0, {root!r})
