@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -12,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, extension, raw_extension, standard
-from .file_sink import located
+from .file_sink import located, spread
 from .stash import stash
 
 INPUTS = "idx long, path string"
 #: Rows of an Arrow batch of names.
 ROWS = 10_000
+#: Bytes of an Arrow batch of contents; a larger file is one of its own.
+BYTES = 4 << 20
 #: Tasks that list folders at most.
 TASKS = 1_024
 
@@ -28,7 +31,16 @@ def path_list(spark: SparkSession, paths: Sequence[str | None]) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None, content: bool = True) -> DataFrame:
-    """Files under a path with name, size and, if wanted, content; a glob is applied before files are opened."""
+    """Files under a path with name, size and, if wanted, content; a glob is applied before files are opened.
+
+    A folder of a local or mounted file system is listed, level by level, and its files are read by tasks, as the list
+    that Spark's reader makes lies in the driver. Globs, single files and other file systems are left to that reader.
+    Both leave out names that begin with a dot or an underscore, and what lies in such folders; Spark's reader also
+    leaves out empty files.
+    """
+    if glob is None and (root := _mounted(path)):
+        found = _files_below(spark, root)
+        return _contents(found) if content else found
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -36,6 +48,61 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, content:
     return files if content else files.drop("content")
 
 
+def _mounted(path: str) -> str | None:
+    """The folder that a path names on this machine; None if it is another thing."""
+    if not (path.startswith("/") or path.startswith("file:/")) or any(c in path for c in "*?[]{}\\%"):
+        return None
+    _, at = located(path)
+    return (at.rstrip("/") or "/") if os.path.isdir(at) else None
+
+
+def _hidden(name: str) -> bool:
+    """As Spark has it."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime, length) of all files below a folder; the driver sees only how many folders a level has."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                with os.scandir(folder) as there:
+                    seen = ((x.path, x.is_dir(), x.stat()) for x in there if not _hidden(x.name))
+                    while part := list(islice(seen, ROWS)):
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _, _ in part], pa.string()), "folder": pa.array([d for _, d, _ in part], pa.bool_()), "changed": pa.array([s.st_mtime_ns // 1_000_000 for _, _, s in part], pa.int64()), "length": pa.array([s.st_size for _, _, s in part], pa.int64())})
+
+    folders, files = spark.createDataFrame([(root,)], "path string"), []
+    while files == [] or not folders.isEmpty():
+        found = stash(_dealt(folders, "path").mapInArrow(listed, "path string, folder boolean, changed long, length long"))
+        files.append(found.where(~F.col("folder")))
+        folders = found.where("folder").select("path")
+    return reduce(DataFrame.unionAll, files).select(F.concat(F.lit("file:"), "path").alias("path"), F.timestamp_millis("changed").alias("modificationTime"), "length")
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """Adds the content of local files."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, lengths, at = batch.column("path").to_pylist(), batch.column("length").to_pylist(), 0
+            while at < len(paths):
+                to = at + 1
+                size = lengths[at]
+                while to < len(paths) and size + lengths[to] <= BYTES:
+                    size += lengths[to]
+                    to += 1
+                contents = []
+                for path in paths[at:to]:
+                    with open(path.removeprefix("file:"), "rb") as file:
+                        contents.append(file.read())
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+                at = to
+
+    return spread(files, "path").mapInArrow(read, "path string, modificationTime timestamp, length long, content binary")
+
+
 def with_extension(df: DataFrame, allowed: Sequence[str], path: str = "path") -> DataFrame:
     """Rows whose extension, in any case, is allowed; all rows if none is named."""
     return df.where(extension(F.col(path)).isin(*[e.lower() for e in allowed])) if allowed else df

@@ -162,6 +162,30 @@ def test_many_files_and_folders_have_many_tasks(spark, tmp_path):
     assert intake.existing_names(folders).count() == 9000
 
 
+def test_files_are_read_as_spark_reads_them(spark, tmp_path):
+    for name in ("a/x.bin", "a/b/ü y", "top", "_hidden/x", ".h", "a/_no", "a/_k=1/x", "big"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * (400_000 if name == "big" else 1))
+    (tmp_path / "none").mkdir()
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    for where in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        got = intake.read_files(spark, where)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert intake.read_files(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "none" / "empty").write_bytes(b"")
+    assert [(r["length"], r["content"]) for r in intake.read_files(spark, str(tmp_path / "none")).collect()] == [(0, b"")]
+    (tmp_path / "none" / "empty").unlink()
+    assert sorted(map(tuple, intake.read_files(spark, str(tmp_path), content=False).collect())) == sorted(map(tuple, want.drop("content").collect()))
+    assert [r["length"] for r in intake.read_files(spark, str(tmp_path), "*.bin").collect()] == [7] and intake.read_files(spark, f"{tmp_path}/top").count() == 1
+
+
+def test_read_files_are_dealt_by_their_number(spark, tmp_path):
+    """Spark's reader has a task for 32 files and their whole list in the driver."""
+    file_sink.write_files(spark.range(300), str(tmp_path), F.concat(F.lit("d/"), F.col("id")), F.lit(b"x"))
+    assert most_tasks(spark, lambda: intake.read_files(spark, str(tmp_path)).where("content = X'78'").collect()) <= 4
+    assert intake.read_files(spark, str(tmp_path)).where("content = X'78'").count() == 300
+
+
 def test_tasks_that_name_files_may_run_again(tmp_path):
     root = str(tmp_path)
     attempt, n = file_sink.stage(root, ".s", iter([("a/b", b"1"), (None, b"2"), ("c", b""), ("d", None)]))
