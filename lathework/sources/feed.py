@@ -12,6 +12,8 @@ ITEM = """title string, pubDate string, link string, `sparkle:version` string, `
     enclosure struct<_url: string, _length: long, `_sparkle:edSignature`: string>"""
 #: What is kept of an item.
 RELEASES = "title string, published timestamp, link string, build string, version string, minimum_system string, notes string, url string, length long, signature string"
+#: Tasks that look feed files up, for each core.
+LISTERS = 4
 RELEASE = "tag_name string, html_url string, assets array<struct<name: string, browser_download_url: string, size: long>>"
 
 
@@ -50,8 +52,15 @@ def poll_feed(spark: SparkSession, folder: str, state: str) -> DataFrame:
     def record(batch: DataFrame, poll: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/entries/poll={poll}")
 
-    query = entries.writeStream.foreachBatch(record).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # Spark looks each new file up again, by a task a file up to 10,000, and those of the poll before as well.
+    listers = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listers)
+    spark.conf.set(listers, str(min(int(before), LISTERS * spark.sparkContext.defaultParallelism)))
+    try:
+        query = entries.writeStream.foreachBatch(record).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(listers, before)
     return known_releases(spark, state)
 
 

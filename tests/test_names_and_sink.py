@@ -370,6 +370,18 @@ def test_feed_polls(spark, tmp_path):
     assert known(feed.poll_feed(spark, str(folder), state)) == second
 
 
+def test_a_poll_of_many_files_has_few_tasks(spark, tmp_path):
+    folder, jobs = tmp_path / "in", spark.sparkContext._jsc.sc().statusStore().jobsList
+    folder.mkdir()
+    for k in range(150):
+        feed_file(folder, f"{k}.xml", [("a", f"1.{k}", "u")])
+    old, setting = jobs(None).size(), spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert feed.poll_feed(spark, str(folder), str(tmp_path / "state")).count() == 150
+    found = jobs(None)
+    assert found.size() > old and max(found.apply(k).numTasks() for k in range(found.size() - old)) < 100  # the newest come first
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == setting
+
+
 def test_a_poll_that_was_broken_off_is_made_again(spark, tmp_path, monkeypatch):
     folder, state = tmp_path / "in", str(tmp_path / "state")
     folder.mkdir()
