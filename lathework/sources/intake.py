@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import islice
@@ -48,6 +49,19 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, content:
     return files if content else files.drop("content")
 
 
+def names_in(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files in a folder, and of those below it that have a folder `key=value` on their way.
+
+    A folder of a local or mounted file system is listed by tasks. All others, and globs, are listed by Spark, in the
+    driver, and hold what it finds there: of a folder with folders `key=value` only what lies in these.
+    """
+    if not (root := _mounted(path)):
+        return spark.read.format("binaryFile").load(path).select("path")
+    root = "/" + posixpath.normpath(root).lstrip("/")
+    inside = F.substr("path", F.lit(len(f"file:{root.rstrip('/')}/") + 1))
+    return _files_below(spark, root).where(inside.rlike("^[^/]*$|(^|/)[^/=]+=[^/]*/")).select("path")
+
+
 def _mounted(path: str) -> str | None:
     """The folder that a path names on this machine; None if it is another thing."""
     if not (path.startswith("/") or path.startswith("file:/")) or any(c in path for c in "*?[]{}\\%"):
@@ -68,7 +82,7 @@ def _files_below(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 with os.scandir(folder) as there:
-                    seen = ((x.path, x.is_dir(), x.stat()) for x in there if not _hidden(x.name))
+                    seen = ((x.path, x.is_dir(), stat) for x in there if not _hidden(x.name) and (stat := _stat(x)))
                     while part := list(islice(seen, ROWS)):
                         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _, _ in part], pa.string()), "folder": pa.array([d for _, d, _ in part], pa.bool_()), "changed": pa.array([s.st_mtime_ns // 1_000_000 for _, _, s in part], pa.int64()), "length": pa.array([s.st_size for _, _, s in part], pa.int64())})
 
@@ -80,6 +94,14 @@ def _files_below(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionAll, files).select(F.concat(F.lit("file:"), "path").alias("path"), F.timestamp_millis("changed").alias("modificationTime"), "length")
 
 
+def _stat(found: os.DirEntry) -> os.stat_result | None:
+    """None for a link that leads nowhere, and for what has gone meanwhile; Spark leaves both out."""
+    try:
+        return found.stat()
+    except FileNotFoundError:
+        return None
+
+
 def _contents(files: DataFrame) -> DataFrame:
     """Adds the content of local files."""
 

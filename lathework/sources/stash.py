@@ -65,3 +65,12 @@ def discard(*tables: DataFrame) -> None:
     if tables:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a written table another name, in place of a table that has it."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(new, True)
+    if not files.rename(old, new):
+        raise OSError(f"not renamed: {path} to {to}")

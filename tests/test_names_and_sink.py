@@ -10,6 +10,7 @@ import textwrap
 import threading
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lathework.functions import formats, paths
@@ -382,6 +383,108 @@ def test_a_poll_of_many_files_has_few_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == setting
 
 
+def test_a_poll_takes_files_by_portions(spark, tmp_path, monkeypatch):
+    folder, state = tmp_path / "in", tmp_path / "state"
+    monkeypatch.setattr(feed, "FILES", 20, raising=False)
+    folder.mkdir()
+    for k in range(70):
+        feed_file(folder, f"{k}.xml", [("a", f"1.{k}", "u")])
+    store = spark._jsparkSession.sharedState().statusStore()
+    old = store.executionsList().size()
+    known = feed.poll_feed(spark, str(folder), str(state))
+    assert {r["version"] for r in known.collect()} == {f"1.{k}" for k in range(70)}
+    assert sorted(p.name for p in (state / "entries").iterdir()) == ["poll=0"]
+    runs, files = store.executionsList(), []
+    for k in range(old, runs.size()):
+        metrics = runs.apply(k).metrics()
+        ids = [metrics.apply(m).accumulatorId() for m in range(metrics.size()) if metrics.apply(m).name() == "number of files read"]
+        files += [int(v.get().replace(",", "")) for i in ids if (v := store.executionMetrics(runs.apply(k).executionId()).get(i)).isDefined()]
+    assert 0 < max(files) <= 20  # of any plan
+    kept = "".join(p.read_text() for p in (state / "checkpoint" / "sources" / "0").iterdir() if not p.name.startswith("."))
+    assert "parquet" in kept and ".xml" not in kept  # what the stream's driver keeps in mind
+
+
+def test_a_poll_reads_late_files_with_old_dates(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    feed_file(folder, "one.xml", [("a", "1.0", "u1")])
+    feed.poll_feed(spark, str(folder), state)
+    feed_file(folder, "two.xml", [("b", "1.1", "u2")])
+    os.utime(folder / "two.xml", (1_000_000_000, 1_000_000_000))
+    assert {r["version"] for r in feed.poll_feed(spark, str(folder), state).collect()} == {"1.0", "1.1"}
+
+
+def test_a_poll_goes_on_from_a_state_without_notes(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state [1]")
+    folder.mkdir()
+    for name, items in (("a +%.xml", [("a", "1.0", "u1"), ("b", "1.1", "u2")]), ("b.xml", [("b2", "1.1", "u2"), ("c", "1.2", "u3")])):
+        feed_file(folder, name, items)
+        files = spark.readStream.format("xml").option("rowTag", "item").schema(feed.ITEM).load(str(folder))
+        entries = files.select(*feed.entry(), F.col("_metadata.file_modification_time").alias("came"), F.col("_metadata.file_path").alias("file"))
+        stream = entries.writeStream.foreachBatch(lambda batch, poll: batch.write.parquet(f"{state}/entries/poll={poll}"))
+        stream.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    os.utime(folder / "a +%.xml")
+    feed_file(folder, "c.xml", [("d", "1.3", "u4")])
+    for _ in range(2):
+        assert {(r["title"], r["version"]) for r in feed.poll_feed(spark, str(folder), state).collect()} == {("a", "1.0"), ("b2", "1.1"), ("c", "1.2"), ("d", "1.3")}
+    feed_file(folder, "d.xml", [("d2", "1.3", "u4")])
+    assert {(r["title"], r["version"]) for r in feed.poll_feed(spark, str(folder), state).collect()} == {("a", "1.0"), ("b2", "1.1"), ("c", "1.2"), ("d2", "1.3")}
+    read = spark.read.parquet(feed._literal(f"{state}/entries"))
+    assert read.groupBy("poll").count().orderBy("poll").collect() == [(0, 2), (1, 2), (2, 1), (3, 1)]
+
+
+def test_a_poll_of_odd_names(spark, tmp_path):
+    folder, state = tmp_path / "in [1]", tmp_path / "state"
+    names = ["a b.xml", "x[1].xml", "s*r.xml", "q?.xml", "{a,b}.xml", "back\\slash.xml", "per%20cent.xml", "ü.xml", "plus+#.xml"]
+    for odd, below in ((folder, []), (tmp_path / "plain", ["day=1/d.xml", "day=2/x/e.xml"])):
+        for sub in ("sub", "_sub", *map(os.path.dirname, below)):
+            (odd / sub).mkdir(parents=True)
+        for k, name in enumerate([*names, *below]):
+            feed_file(odd, name, [("a", f"1.{k}", "u")])
+        for name in (".hidden.xml", "_hidden.xml", "_sub/y.xml", "sub/y.xml"):
+            feed_file(odd, name, [("a", f"not {name}", "u")])
+        (odd / "empty.xml").write_text("")
+        (odd / "nowhere.xml").symlink_to(odd / "none")
+    want = {f"1.{k}" for k in range(len(names) + 2)}
+    found = feed.poll_feed(spark, str(tmp_path / "plain"), str(state))
+    assert {r["version"] for r in found.collect()} == want
+    same = (f"file://{tmp_path}/plain/", f"{tmp_path}/sub/..//plain", f"file:{tmp_path}/plain")
+    for k, again in enumerate(same):
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        assert feed.poll_feed(spark, again, str(state)).count() == len(want), k
+    assert sorted(p.name for p in (state / "entries").iterdir()) == ["poll=0"]  # nothing is read again
+    globbed = feed.poll_feed(spark, str(folder).replace("[", "\\[").replace("]", "\\]"), str(tmp_path / "globbed"))  # by Spark's own list
+    assert {r["version"] for r in globbed.collect()} == {f"1.{k}" for k in range(len(names))}
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        feed.poll_feed(spark, str(tmp_path / "none"), str(tmp_path / "none state"))
+
+
+def test_a_poll_broken_off_between_portions_shows_nothing(spark, tmp_path, monkeypatch):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    feed_file(folder, "0.xml", [("a", "1.0", "u")])
+    feed.poll_feed(spark, str(folder), state)
+    for k in range(1, 30):
+        feed_file(folder, f"{k}.xml", [("a", f"1.{k}", "u")])
+    monkeypatch.setattr(feed, "FILES", 10)
+    opened, calls = feed._opened, []
+
+    def breaks(session, names):
+        calls.append(names)
+        if len(calls) == 3:
+            raise RuntimeError("as if the driver had gone")
+        return opened(session, names)
+
+    monkeypatch.setattr(feed, "_opened", breaks)
+    with pytest.raises(Exception, match="as if the driver had gone"):
+        feed.poll_feed(spark, str(folder), state)
+    assert [r["version"] for r in feed.known_releases(spark, state).collect()] == ["1.0"]
+    (folder / "7.xml").unlink()  # a noted file that goes
+    feed_file(folder, "late.xml", [("a", "2.0", "u")])
+    assert {r["version"] for r in feed.poll_feed(spark, str(folder), state).collect()} == {f"1.{k}" for k in range(30) if k != 7} | {"2.0"}
+    assert spark.read.parquet(f"{state}/entries").count() == 30
+
+
 def test_a_poll_that_was_broken_off_is_made_again(spark, tmp_path, monkeypatch):
     folder, state = tmp_path / "in", str(tmp_path / "state")
     folder.mkdir()
